@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm import blob_ledger, extract, pack, scratch, shards, topk
+from treeloom.llm import blob_ledger, extract, pack, scratch, shards, substring, topk
 
 SHARDS = 16
 END_ID = 2
@@ -46,10 +46,15 @@ def op5_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(docs, "doc_id", "text", tokenizer_path(), END_ID, LONGEST, ids=False).drop("ids", "bucket")
 
 
+def op8_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without words of windows of 13 that start in an earlier document too."""
+    return substring.digest(substring.dedup(spark, table(spark, sf_dir, "documents"), "doc_id", "text", 13))
+
+
 def op10_no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best of all other rows for each row whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(spark, vectors, vectors.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", TOP)
 
 
-QUERIES = {f.__name__: f for f in (op1_label_propagation, op2_tree_scoring, op3_blob_ledger, op5_power_of_two, op10_no_random_access)}
+QUERIES = {f.__name__: f for f in (op1_label_propagation, op2_tree_scoring, op3_blob_ledger, op5_power_of_two, op8_count_min, op10_no_random_access)}
