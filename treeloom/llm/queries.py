@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm import blob_ledger, extract, pack, scratch, shards, substring, topk
+from treeloom.llm import blob_ledger, extract, near_dup, pack, scratch, shards, substring, topk
 
 SHARDS = 16
 END_ID = 2
@@ -40,6 +40,11 @@ def op3_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blob_ledger.digest(blob_ledger.scan(spark, table(spark, sf_dir, "documents"), ["doc_id"], "text", ledger), "doc_id")
 
 
+def op4_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents: four words a shingle, similarity 0.8."""
+    return near_dup.digest(near_dup.link(spark, table(spark, sf_dir, "documents"), "doc_id", "text", words=4, percent=80))
+
+
 def op5_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents; the digest needs no ids beside their checksum."""
     docs = table(spark, sf_dir, "documents")
@@ -57,4 +62,4 @@ def op10_no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, vectors, vectors.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", TOP)
 
 
-QUERIES = {f.__name__: f for f in (op1_label_propagation, op2_tree_scoring, op3_blob_ledger, op5_power_of_two, op8_count_min, op10_no_random_access)}
+QUERIES = {f.__name__: f for f in (op1_label_propagation, op2_tree_scoring, op3_blob_ledger, op4_minhash_bayes, op5_power_of_two, op8_count_min, op10_no_random_access)}
