@@ -1,10 +1,62 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: quality classifier, line dedup, near-duplicates, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the
+last return the columns of documents. run() applies them in order, each written as Parquet in the
+shared scratch folder and read again by the next. SQL can't express the classifier, so there is no
+ORACLE_SQL; tests compare the other stages with brute force and the classifier with held-out labels.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from treeloom.llm import decontam, lines, near_dup, pack, quality, queries
+from treeloom.llm.scratch import Scratch
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier scores below the bound go."""
+    model = quality.fit(spark, docs, queries.table(spark, sf_dir, "labels"))
+    return quality.score(spark, docs, model).where(F.col("score") >= quality.KEEP).select(*docs.columns)
+
+
+def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of runs of three lines or more go, and documents that this empties."""
+    out = lines.dedup(spark, docs, "doc_id", "text")
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the smallest id. Five words, similarity 0.8."""
+    linked = near_dup.link(spark, docs, "doc_id", "text", words=5, percent=80).select(F.col("doc_id").alias("_linked"), "component_id").where("component_id < _linked").select("_linked")
+    return docs.join(linked, F.col("doc_id") == F.col("_linked"), "left_anti").dropDuplicates(["doc_id"])
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark passage within its edit budget go."""
+    return decontam.clean(spark, docs, queries.table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two lengths with their ids."""
+    return pack.pack(docs, "doc_id", "text", queries.tokenizer_path(), queries.END_ID, queries.LONGEST)
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("line_dedup", lines_stage),
+    ("minhash_near_dedup", near_duplicates_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs, scratch = queries.table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm import blob_ledger, extract, near_dup, pack, scratch, shards, substring, topk
+from treeloom.llm import blob_ledger, decontam, extract, lines, near_dup, pack, quality, scratch, shards, substring, topk
 
 SHARDS = 16
 END_ID = 2
@@ -51,6 +51,24 @@ def op5_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(docs, "doc_id", "text", tokenizer_path(), END_ID, LONGEST, ids=False).drop("ids", "bucket")
 
 
+def op6_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the co-trained classifier."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(spark, docs, quality.fit(spark, docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "content_score", "metadata_score", "score", (F.col("score") >= quality.KEEP).alias("kept"))
+
+
+def op7_qgram_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents contain, with edits and place."""
+    return decontam.contained(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+def op9_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later repeats of runs of three lines or more."""
+    docs = table(spark, sf_dir, "documents")
+    return lines.dedup(spark, docs.select("doc_id", "text"), "doc_id", "text")
+
+
 def op8_count_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without words of windows of 13 that start in an earlier document too."""
     return substring.digest(substring.dedup(spark, table(spark, sf_dir, "documents"), "doc_id", "text", 13))
@@ -62,4 +80,4 @@ def op10_no_random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark, vectors, vectors.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", TOP)
 
 
-QUERIES = {f.__name__: f for f in (op1_label_propagation, op2_tree_scoring, op3_blob_ledger, op4_minhash_bayes, op5_power_of_two, op8_count_min, op10_no_random_access)}
+QUERIES = {f.__name__: f for f in (op1_label_propagation, op2_tree_scoring, op3_blob_ledger, op4_minhash_bayes, op5_power_of_two, op6_co_training, op7_qgram_bands, op8_count_min, op9_winnowed_lines, op10_no_random_access)}
