@@ -35,7 +35,7 @@ def scaled(n: Column, digits: int, promote: float) -> Column:
     out = None
     for power in range(len(UNITS) - 1, 0, -1):
         below = promote * 1024.0 ** (power - 1)
-        shown = F.format_string(f"%.{digits}f {UNITS[power]}", value / 1024.0**power)
+        shown = F.format_string(f"%.{digits}f {UNITS[power]}", F.bround(value / 1024.0**power, digits))
         out = F.when(value >= below, shown) if out is None else out.when(value >= below, shown)
     return out.otherwise(F.concat(n.cast("long").cast("string"), F.lit(" B")))
 
@@ -47,7 +47,7 @@ def human_bytes(n: Column) -> Column:
     for power in range(1, len(UNITS)):
         unit = value / 1024.0**power
         last = power == len(UNITS) - 1
-        shown = F.format_string(f"%.1f {UNITS[power]}", unit)
+        shown = F.format_string(f"%.1f {UNITS[power]}", F.bround(unit, 1))
         out = out.otherwise(shown) if last else out.when(unit < 1023.95, shown)
     return out
 
@@ -86,5 +86,5 @@ def entry_size(major: Column, minor: Column, content_length: Column, target: Col
 
 def rate_owed(done: Column, rate: Column) -> Column:
     """Nanoseconds that a copy of `done` bytes should have taken at a rate; whole seconds first, so nothing overflows."""
-    whole = F.floor(done / rate).cast("long")
-    return F.when(rate <= 0, F.lit(0).cast("long")).otherwise(whole * 1_000_000_000 + F.floor((done - whole * rate) * 1_000_000_000 / rate).cast("long"))
+    quotient = lambda x: ((x - x % rate) / rate).cast("long")
+    return F.when(rate <= 0, F.lit(0).cast("long")).otherwise(quotient(done) * 1_000_000_000 + quotient(done % rate * 1_000_000_000))
