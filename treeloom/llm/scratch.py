@@ -1,70 +1,16 @@
-"""Shared scratch tables, per-worker caches and skew-safe ranks used by the operators of this subpackage."""
+"""Per-worker caches and skew-safe ranks used by the operators of this subpackage."""
 
 from __future__ import annotations
 
-import gc
 import sys
 import types
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Where scratch tables go in local mode when the session names no checkpoint folder (tests).
-LOCAL_FALLBACK = "file:///tmp/treeloom-scratch"
+from treeloom.scratch import Scratch, exists, release, remove, root
 
-
-def root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
-
-    Only a session in local mode may leave it unset; then everything runs on one machine."""
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if told:
-        return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return LOCAL_FALLBACK
-
-
-class Scratch:
-    """Written tables that cut lineage: a lost executor re-reads them instead of recomputing everything before.
-
-    Tables can be dropped as soon as nothing that is still to run reads them."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{root(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self.count += 1
-        path = f"{self.path}/{name}-{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            remove(self.spark, t._scratch_path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder by Hadoop's file system, whichever store it is in."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no plan refers to any more, before the next large shuffle."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+__all__ = ["Scratch", "exists", "rank", "release", "remove", "root", "worker_cache"]
 
 
 def worker_cache() -> dict:
