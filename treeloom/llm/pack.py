@@ -26,61 +26,117 @@ from treeloom.llm.scratch import worker_cache
 
 #: Words whose ids a worker remembers at most; then it starts anew.
 MEMO_WORDS = 1_000_000
+#: Texts whose new words are encoded together.
+TEXTS = 256
 #: Ids that one output batch holds at most, unless one document alone has more.
 BATCH_IDS = 1_000_000
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that never joins across ASCII white space: each distinct word is encoded once."""
+    """Ids of texts by a tokenizer that never joins across ASCII white space: each distinct word is encoded once.
+
+    A word of letters with marks behind it is two units, and ASCII letters count in lower case, as
+    the tokenizer parts and lowers them too. Units of letters are encoded many at a time: each ends
+    with exactly one id of a word's end."""
+
+    TAIL = b".,!?;:"
+    TOGETHER = 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.words: dict[bytes, int] = {}
+        self.units: dict[bytes, int] = {}
+        self.of = np.full((1 << 14, 2), -1, np.int32)
         self.flat = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def parts(self, word: bytes) -> tuple[bytes, bytes | None]:
+        core = word.rstrip(self.TAIL)
+        if core and core.decode().isalpha():
+            tail = word[len(core) :] or None
+            return (core.lower() if core.isascii() else core), tail
+        return word, None
+
+    def store(self, ids: np.ndarray, sizes: np.ndarray, names: list[bytes]) -> None:
+        n = len(self.units)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
+        if n + len(names) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(len(self.starts), len(names)), np.int64)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[n + 1 : n + 1 + len(names)] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.units.update(zip(names, range(n, n + len(names)), strict=True))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def learn(self, words: list[bytes]) -> None:
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                ids, n = e.ids, len(self.index)
-                if self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
-                if n + 2 > len(self.starts):
-                    self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.starts[n + 1] = self.used
-                self.index[w] = n
-
-    def ids(self, text: str) -> np.ndarray:
-        words = text.encode().split()
-        if not words:
-            return np.empty(0, np.uint32)
-        new = set(words).difference(self.index)
-        if len(self.index) + len(new) > MEMO_WORDS and self.index:
+        """Make units of words that are new to the index, in its order."""
+        pairs = [self.parts(w) for w in words]
+        new = list(dict.fromkeys(u for pair in pairs for u in pair if u is not None and u not in self.units))
+        letters = [u for u in new if u.decode().isalpha()]
+        single = [u for u in new if not u.decode().isalpha()]
+        groups = [letters[i : i + self.TOGETHER] for i in range(0, len(letters), self.TOGETHER)]
+        for group, ids in zip(groups, self.encode([b" ".join(g).decode() for g in groups]), strict=True):
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                self.store(ids, np.diff(np.r_[0, ends]), group)
+            else:
+                single += group
+        for i in range(0, len(single), 4096):
+            ids = self.encode([u.decode() for u in single[i : i + 4096]])
+            self.store(np.concatenate(ids), np.array([len(x) for x in ids]), single[i : i + 4096])
+        first = len(self.words) - len(words)
+        while len(self.of) < len(self.words):
+            self.of = np.concatenate([self.of, np.full_like(self.of, -1)])
+        get = self.units.__getitem__
+        self.of[first : len(self.words), 0] = [get(u) for u, _ in pairs]
+        self.of[first : len(self.words), 1] = [-1 if t is None else get(t) for _, t in pairs]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids."""
+        if len(self.words) > MEMO_WORDS:
             self.clear()
-            new = set(words)
+        known, new, places = self.words, [], []
+        for t in texts:
+            words = t.encode().split()
+            at = list(map(known.get, words))
+            if None in at:
+                for i, x in enumerate(at):
+                    if x is None:
+                        w = words[i]
+                        if (x := known.get(w)) is None:
+                            x = known[w] = len(known)
+                            new.append(w)
+                        at[i] = x
+            places.append(np.array(at, np.int64))
         if new:
-            self.learn(list(new))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        start, length = self.starts[at], self.starts[at + 1] - self.starts[at]
-        total = int(length.sum())
-        step = np.ones(total, np.int64)
+            self.learn(new)
+        return [self.spread(at) for at in places]
+
+    def spread(self, at: np.ndarray) -> np.ndarray:
+        unit = self.of[at].ravel()
+        unit = unit[unit >= 0]
+        start, length = self.starts[unit], self.starts[unit + 1] - self.starts[unit]
         some = length > 0
         start, length = start[some], length[some]
-        if total:
-            ends = np.cumsum(length)
-            step[0] = start[0]
-            step[ends[:-1]] = start[1:] - (start[:-1] + length[:-1] - 1)
-            return self.flat[np.cumsum(step)]
-        return np.empty(0, np.uint32)
+        if not len(start):
+            return np.empty(0, np.uint32)
+        ends = np.cumsum(length)
+        step = np.ones(int(ends[-1]), np.int64)
+        step[0] = start[0]
+        step[ends[:-1]] = start[1:] - (start[:-1] + length[:-1] - 1)
+        return self.flat[np.cumsum(step)]
 
 
 def lengths(n: int, most: int) -> list[int]:
@@ -121,7 +177,9 @@ def pack(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, most
                 return out
 
             for i, t in enumerate(texts):
-                doc = np.append(words.ids(t or ""), np.uint32(end_id)).astype("<u4")
+                if i % TEXTS == 0:
+                    made = words.ids([x or "" for x in texts[i : i + TEXTS]])
+                doc = np.append(made[i % TEXTS], np.uint32(end_id)).astype("<u4")
                 at = 0
                 for n in lengths(len(doc), most):
                     piece = doc[at : at + n]
