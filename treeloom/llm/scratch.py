@@ -22,21 +22,21 @@ def worker_cache() -> dict:
 RANK_CHUNKS = 256
 
 
-def rank(df: DataFrame, group: list[str], order: list[Column], spread: Column, name: str, chunks: int = RANK_CHUNKS) -> DataFrame:
+def rank(df: DataFrame, group: list[str], order: list[Column], spread: Column, name: str, chunks: int = RANK_CHUNKS, then: Column | None = None) -> DataFrame:
     """Add `name`: a gapless number from 0 within each group, without gathering a group in one task.
 
     Rows are ordered by `order`, a few columns of bounded variety (may be empty), then by chunk of
-    `spread`'s hash, then by `spread`. Chunk sizes are counted first (map-side combined) and turned
+    `spread`'s hash, then by `spread` and `then`. Chunk sizes are counted first (map-side combined) and turned
     into offsets by a window over at most chunks * variety rows per group; each chunk is then
     numbered on its own."""
     keys = [f"_o{i}" for i in range(len(order))]
-    d = df.withColumns({k: c for k, c in zip(keys, order, strict=True)} | {"_chunk": F.pmod(F.xxhash64(spread, F.lit(11)), F.lit(chunks)).cast("int"), "_spread": spread})
+    d = df.withColumns({k: c for k, c in zip(keys, order, strict=True)} | {"_chunk": F.pmod(F.xxhash64(spread, F.lit(11)), F.lit(chunks)).cast("int"), "_spread": spread, "_then": spread if then is None else then})
     at = [*group, *keys, "_chunk"]
     sizes = d.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = before.orderBy(*keys, "_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    numbered = d.withColumn("_at", F.row_number().over(Window.partitionBy(*at).orderBy("_spread")) - 1)
+    numbered = d.withColumn("_at", F.row_number().over(Window.partitionBy(*at).orderBy("_spread", "_then")) - 1)
     starts = starts.select(*[F.col(c).alias(f"_s{c}") for c in at], "_start")
     on = [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in at]
     joined = numbered.join(starts, on)

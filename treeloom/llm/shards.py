@@ -2,9 +2,10 @@
 
 Every document starts in a shard of its own hash. In each round a join brings the shards of linked
 documents to a document; it wants the shard that most of them are in. Documents whose id is smaller
-than all they are linked with hold still, so labels flow outward from them and don't swap. A shard
-takes no more than its quota has room for: applicants are ranked by how much they gain, then by their
-group's anchor, and those beyond the quota stay and ask again in the next round.
+than all they are linked with are anchors. They and the others never move in the same round, so labels
+flow outward and don't swap; an anchor moves only where its followers weren't let in. A shard takes no
+more than its quota has room for: applicants are ranked by how much they gain and by whom they follow, and
+those beyond the quota stay and ask again in the next round.
 
 At the end the least attached documents beyond a quota and all documents without links fill the
 shards up, so that under the law `rows` counts differ by one at most.
@@ -41,7 +42,7 @@ def link_groups(docs: DataFrame, key: str, group: str, hubs: int = HUBS) -> Data
     return up.unionByName(leaf)
 
 
-def shard(spark: SparkSession, docs: DataFrame, links: DataFrame, key: str, shards: int, rounds: int = 4) -> DataFrame:
+def shard(spark: SparkSession, docs: DataFrame, links: DataFrame, key: str, shards: int, rounds: int = 6) -> DataFrame:
     """key, shard and slot of every row of docs; links has a and b, ids of linked documents."""
     scratch = Scratch(spark, "shards")
     ids = scratch.save(docs.select(F.col(key).alias("_id")), "ids")
@@ -51,9 +52,10 @@ def shard(spark: SparkSession, docs: DataFrame, links: DataFrame, key: str, shar
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     linked = edges.select(F.col("a").alias("_id")).distinct()
     start = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(shards)).cast("int")
-    labels = scratch.save(linked.select("_id", start.alias("shard"), F.lit(0).cast("long").alias("kept")), "labels")
+    labels = scratch.save(linked.select("_id", start.alias("shard"), F.lit(0).cast("long").alias("kept"), F.lit(None).cast("int").alias("denied"), F.col("_id").alias("hub")), "labels")
     quotas = spark.createDataFrame(list(enumerate(quota)), "want int, quota long")
-    for _ in range(rounds):
+    for round_ in range(rounds):
+        anchors = round_ >= 2 and round_ % 2 == 0
         # what neighbours hold, counted by document and shard
         votes = edges.join(labels.select(F.col("_id").alias("b"), F.col("shard").alias("want")), "b").groupBy("a", "want").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("least"))
         here = labels.select(F.col("_id").alias("a"), "shard")
@@ -63,32 +65,35 @@ def shard(spark: SparkSession, docs: DataFrame, links: DataFrame, key: str, shar
             F.min("least").alias("least"),
         )
         wish = scratch.save(top.select(F.col("a").alias("_id"), "shard", "kept", F.col("top.want").alias("want"), F.col("top.n").alias("n"), "least"), "wish")
-        moving = wish.where((F.col("want") != F.col("shard")) & (F.col("n") > F.col("kept")) & (F.col("least") < F.col("_id")))
+        moving = wish.where((F.col("want") != F.col("shard")) & (F.col("n") > F.col("kept")) & ((F.col("least") > F.col("_id")) if anchors else (F.col("least") < F.col("_id"))))
         held = wish.groupBy("shard").agg(F.count(F.lit(1)).alias("held"))
         gain = F.least(F.col("n") - F.col("kept"), F.lit(3)).cast("int")
-        # a group's applicants stand together: the anchor they follow deals them to a chunk, their id orders them
-        asking = rank(moving.select("_id", "want", gain.alias("gain"), "least"), ["want"], [-F.col("gain")], F.col("_id"), "place")
+        asking = rank(moving.select("_id", "want", gain.alias("gain"), "least"), ["want"], [-F.col("gain")], F.col("least"), "place", then=F.col("_id"))
         room = quotas.join(held.withColumnRenamed("shard", "want"), "want", "left").select("want", (F.col("quota") - F.coalesce("held", F.lit(0))).alias("room"))
         granted = asking.join(F.broadcast(room), "want").where(F.col("place") < F.col("room")).select("_id", F.col("want").alias("to"))
-        moved = wish.join(granted, "_id", "left").select("_id", F.coalesce("to", "shard").alias("shard"), F.when(F.col("to").isNull(), F.col("kept")).otherwise(F.col("n")).alias("kept"))
+        alone = F.col("to").isNull() & (F.col("kept") == 0) & (F.col("want") != F.col("shard"))
+        moved = wish.join(granted, "_id", "left").select(
+            "_id", F.coalesce("to", "shard").alias("shard"), F.when(F.col("to").isNull(), F.col("kept")).otherwise(F.col("n")).alias("kept"), F.when(alone, F.col("want")).alias("denied"), F.least("least", "_id").alias("hub")
+        )
         before, labels = labels, scratch.save(moved, "labels")
         scratch.drop(before, wish)
     return settle(spark, scratch, ids, labels, quota)
 
 
 def settle(spark: SparkSession, scratch: Scratch, ids: DataFrame, labels: DataFrame, quota: list[int]) -> DataFrame:
-    """Exact counts: what exceeds a quota, least attached first, and what has no links fill the shards."""
+    """Exact counts: what a full shard kept away from all its links, what exceeds a quota (least attached
+    first) and what has no links fill the shards up, linked documents by their hub and largest gaps first."""
     shards = len(quota)
-    placed = rank(labels, ["shard"], [-F.least(F.col("kept"), F.lit(3)).cast("int")], F.col("_id"), "place")
+    placed = rank(labels.where("denied is null"), ["shard"], [-F.least(F.col("kept"), F.lit(3)).cast("int")], F.col("hub"), "place", then=F.col("_id"))
     limits = spark.createDataFrame(list(enumerate(quota)), "shard int, quota long")
     stays = scratch.save(placed.join(F.broadcast(limits), "shard").where(F.col("place") < F.col("quota")).select("_id", "shard"), "stays")
     held = {r["shard"]: r["n"] for r in stays.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a shard
     starts, at = [], 0
-    for s in range(shards):
-        lack = quota[s] - held.get(s, 0)
+    for lack, s in sorted(((quota[s] - held.get(s, 0), s) for s in range(shards)), reverse=True):
         starts.append((s, at, at + lack))
         at += lack
-    rest = rank(ids.join(stays, "_id", "left_anti"), [], [], F.col("_id"), "place")
+    pool = ids.join(stays, "_id", "left_anti").join(labels.select("_id", "denied", "hub"), "_id", "left")
+    rest = rank(pool, [], [F.coalesce("denied", F.lit(shards))], F.coalesce("hub", "_id"), "place", then=F.col("_id"))
     gaps = spark.createDataFrame(starts, "shard int, lo long, hi long")
     filled = rest.join(F.broadcast(gaps), (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi"))).select("_id", "shard")
     return rank(stays.unionByName(filled), ["shard"], [], F.col("_id"), "slot")
