@@ -14,6 +14,7 @@ from treeloom.scratch import Scratch
 def reachable(spark: SparkSession, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """key and depth: every key that a root reaches, roots included, each once at its least depth."""
     scratch = Scratch(spark, "closure")
+    edges = scratch.save(edges.select("parent", "child"), "edges")  # narrow, and read in every round
     frontier = scratch.save(roots.select("key").distinct().withColumn("depth", F.lit(0)), "seen")
     seen = frontier
     while not frontier.isEmpty():
@@ -45,6 +46,7 @@ def walk(spark: SparkSession, entries: DataFrame, root: DataFrame) -> DataFrame:
 
     A shared subtree is listed under each of its paths."""
     scratch = Scratch(spark, "walk")
+    entries = scratch.save(entries.select("dir", "name", "key"), "entries")
     level = scratch.save(root.select(F.lit("").alias("path"), "key", F.lit(0).alias("depth")), "level")
     found = level
     while not level.isEmpty():
@@ -60,6 +62,7 @@ def resolve(entries: DataFrame, root: DataFrame, paths: DataFrame, depth: int, l
 
     Empty components are skipped, and single dots too unless dots are literal names; then a parent
     component is refused as well."""
+    entries = Scratch(paths.sparkSession, "resolve").save(entries.select("dir", "name", "key"), "entries")
     parts = F.filter(F.split("path", "/"), lambda p: (p != "") & (F.lit(literal_dots) | (p != ".")))
     at = paths.withColumn("_parts", parts).crossJoin(F.broadcast(root.select(F.col("key").alias("_at")).limit(1)))
     refused = F.lit(not literal_dots) & F.array_contains("_parts", "..")
