@@ -111,7 +111,7 @@ class Engine:
         placed = segments.assign(numbered, "n", "slen", self.options.segment_size, first)
         rows = fresh.select("key", "payload").join(placed.select("key", "slen", "segment_id", "pos", "off"), "key")
         out = rows.select("key", F.col("slen").alias("ulen"), "slen", "pos", "off", F.lit(time.time_ns()).alias("written_ns"), "payload", "segment_id")
-        out.repartition("segment_id").sortWithinPartitions("segment_id", "pos").write.mode("append").partitionBy("segment_id").parquet(f"{self.path}/objects")
+        out.repartition("segment_id").sortWithinPartitions("segment_id", "pos").write.mode("append").option("parquet.bloom.filter.enabled#key", "true").partitionBy("segment_id").parquet(f"{self.path}/objects")
 
     def get(self, key: bytes) -> bytes:
         row = self.objects().where(F.col("key") == F.lit(key)).select("payload").head()

@@ -88,3 +88,18 @@ def rate_owed(done: Column, rate: Column) -> Column:
     """Nanoseconds that a copy of `done` bytes should have taken at a rate; whole seconds first, so nothing overflows."""
     quotient = lambda x: ((x - x % rate) / rate).cast("long")
     return F.when(rate <= 0, F.lit(0).cast("long")).otherwise(quotient(done) * 1_000_000_000 + quotient(done % rate * 1_000_000_000))
+
+
+def progress(done: Column, total: Column, files: Column, all_files: Column, seconds: Column, width: int = 16) -> Column:
+    """An ingest's progress line. An empty total counts as done; the time left comes from the rate so far."""
+    rate = F.when(seconds > 0, done / seconds).otherwise(F.lit(0.0))
+    percent = F.when(total > 0, F.least(done / total * 100, F.lit(100.0))).otherwise(F.lit(100.0))
+    # whole seconds, as the rate isn't finer
+    left = F.when((total > 0) & (done > 0) & (done < total) & (rate > 0), duration(F.floor((total - done) / rate))).otherwise("--:--")
+    return F.concat(
+        F.lit("ingest "), F.format_string("%5.1f", F.bround(percent, 1)), F.lit("% "), bar(percent, width),
+        F.lit("  "), human_bytes(done), F.lit("/"), human_bytes(total),
+        F.lit("  "), human_bytes(F.floor(rate).cast("long")), F.lit("/s  elapsed "), duration(seconds), F.lit("  eta "), left,
+        F.lit("  files "), files.cast("string"), F.lit("/"), all_files.cast("string"),
+        F.when((total > 0) & (done >= total), "  finalizing…").otherwise(""),
+    )

@@ -471,3 +471,55 @@ def pack_stream(spark, d):
     objects = store.table(spark, d, "benchmark").select(keys.key(keys.BLOB, size, keys.digest(F.col("text"))).alias("key"), F.col("text").cast("binary").alias("payload"))
     packs = wirepack.packed(objects).select(F.lit("stream").alias("path"), "content")
     return hexed(wirepack.parse(packs).select("key", "ulen", F.sha2("payload", 256).alias("sha"), "error"), "key")
+
+
+@query
+def progress_lines(spark, d):
+    """Progress of reading each order's pages: a line every 50 orders."""
+    o = store.table(spark, d, "orders").where(F.col("o_orderkey") % 50 == 0)
+    done, total = F.col("o_orderkey") * 3000, F.lit(30_000_000).cast("long")
+    line = display.progress(done, total, F.col("o_orderkey"), F.lit(10_000), (F.col("o_orderkey") / 8).cast("double"))
+    return o.select("o_orderkey", line.alias("line"))
+
+
+@query
+def cbor_dirleaf_roundtrip(spark, d):
+    """Leaves of eight documents each, encoded and decoded again."""
+    import pyarrow as pa
+
+    f = store.files(spark, d).select((F.col("doc_id") / 8).cast("long").alias("leaf"), F.struct("name", "key").alias("e"))
+    leaves = f.groupBy("leaf").agg(F.array_sort(F.collect_list("e")).alias("entries"))
+
+    def read(batches):
+        for b in batches:
+            rows = []
+            for leaf, listed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                made = [codec.Entry(e["name"].encode(), 0o100644, content=e["key"]) for e in listed]
+                k, data = codec.dir_leaf(made)
+                rows.append((leaf, k.hex(), codec.key_length(k) - len(data), codec.entries(data) == made))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["leaf", "key", "below", "same"])
+
+    return leaves.mapInArrow(read, "leaf long, key string, below long, same boolean")
+
+
+@query
+def inbox_stream(spark, d):
+    """Conversations staged as packs (header and body in a column) and opened as the stream's batches are."""
+    import pyarrow as pa
+
+    from treeloom.streaming import inbox
+
+    turns = store.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+
+    def stage(batches):
+        for b in batches:
+            rows = []
+            for conv, listed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                blobs = [codec.blob((t["text"] or "").encode()) for t in listed]
+                body = codec.write_pack([codec.encode_record(k, x) for k, x in blobs])
+                rows.append((f"conv/{conv}", codec.meta_header(f"conv/{conv}", blobs[0][0], conv) + (body[:-1] if conv % 10 == 3 else body)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary()), strict=True)], names=["path", "content"])
+
+    opened = inbox.opened(turns.mapInArrow(stage, "path string, content binary"))
+    return opened.groupBy("path").agg(F.count("key").alias("objects"), F.max("error").alias("error"))

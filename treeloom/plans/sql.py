@@ -75,6 +75,15 @@ def scaled(digits: int, least: float) -> str:
     return f"CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' {cases} END"
 
 
+def human(n: str) -> str:
+    """One decimal, promoted at 1023.95."""
+    return HUMAN1.replace("n /", f"{n} /").replace("n <", f"{n} <").replace("CAST(n", f"CAST({n}")
+
+
+def clock(s: str) -> str:
+    return f"CASE WHEN {s} >= 3600 THEN printf('%d:%02d:%02d', {s} // 3600, {s} // 60 % 60, {s} % 60) ELSE printf('%d:%02d', {s} // 60, {s} % 60) END"
+
+
 HUMAN1 = "CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || ' B' " + " ".join(f"WHEN n / power(1024.0, {p}) < 1023.95 THEN printf('%.1f {UNITS[p - 1]}', n / power(1024.0, {p}))" for p in range(1, 6)) + " ELSE printf('%.1f EiB', n / power(1024.0, 6)) END"
 MTIME = "CASE WHEN t > now OR t < now - INTERVAL 6 MONTH THEN strftime(t, '%b') || ' ' || lpad(CAST(day(t) AS VARCHAR), 2, ' ') || '  ' || strftime(t, '%Y') ELSE strftime(t, '%b') || ' ' || lpad(CAST(day(t) AS VARCHAR), 2, ' ') || ' ' || strftime(t, '%H:%M') END"
 
@@ -152,4 +161,9 @@ SELECT dir, count(*) AS leaves, max(run) + 1 AS nodes FROM up GROUP BY dir""",
     "unsafe_names": "SELECT p_partkey, p_partkey % 5 <= 1 AS entry, p_partkey % 7 <= 1 AS path FROM part",
     "inbox_pending": "SELECT conv_id % 10 AS root, count(DISTINCT conv_id) AS pending FROM conversations GROUP BY 1",
     "length_audit": "SELECT CAST(0 AS BIGINT) AS wrong",
+    "progress_lines": f"""WITH x AS (SELECT o_orderkey AS k, CAST(o_orderkey * 3000 AS BIGINT) AS d, CAST(30000000 AS BIGINT) AS t, o_orderkey / 8.0 AS s FROM orders WHERE o_orderkey % 50 = 0),
+y AS (SELECT *, CASE WHEN s > 0 THEN d / s ELSE 0.0 END AS rate, least(d / t * 100, 100.0) AS pct, CAST(round(s) AS BIGINT) AS e FROM x),
+z AS (SELECT *, CAST(floor((t - d) / nullif(rate, 0)) AS BIGINT) AS l FROM y)
+SELECT k AS o_orderkey, 'ingest ' || printf('%5.1f', pct) || '% [' || repeat(chr(9608), CAST(trunc(pct / 100 * 16) AS INTEGER)) || repeat(chr(9617), 16 - CAST(trunc(pct / 100 * 16) AS INTEGER)) || ']  ' || {human('d')} || '/' || {human('t')} || '  ' || {human('CAST(floor(rate) AS BIGINT)')} || '/s  elapsed ' || {clock('e')}
+ || '  eta ' || CASE WHEN d > 0 AND d < t AND rate > 0 THEN {clock('l')} ELSE '--:--' END || '  files ' || CAST(k AS VARCHAR) || '/10000' || CASE WHEN d >= t THEN '  finalizing' || chr(8230) ELSE '' END AS line FROM z""",
 }
