@@ -1,7 +1,7 @@
 """Quality classifier by co-training on two views of a document.
 
-One view sees the text alone (marks of its characters, words and lines, and words that tell the
-classes apart), the other its metadata alone (language, source, length). Each is a logistic regression
+One view sees the text alone (marks of its characters, words and lines, and the words and pieces of
+words that tell the classes apart), the other its metadata alone (language, source, length). Each is a logistic regression
 fitted on labelled rows and calibrated on rows held out. Over rounds each view scores a pool of
 unlabelled rows, and what it is confident about becomes a pseudo-label for the other. At the end a
 logistic regression over both calibrated views, fitted on the held-out rows, scores every document.
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from treeloom.llm.scratch import Scratch
 
 MOST_LABELLED, MOST_POOL = 12_000, 6_000
-WORDS, LEAST_ROWS = 512, 4
+PIECES, LEAST_ROWS, GRAM = 768, 4, 5
+#: Words whose pieces a worker remembers at most, and pieces that a task counts before it passes them on.
+MEMO_WORDS, HELD_PIECES = 1_000_000, 500_000
 ROUNDS, CONFIDENT, PER_ROUND = 3, 0.97, 1_000
 META_BUCKETS = 64
 KEEP = 0.5
@@ -43,6 +45,26 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.lower().translate(LETTERS).split()
 
 
+def pieces(word: bytes) -> set[bytes]:
+    """A word and, behind a mark, its character grams: inflected words share them."""
+    w = word.decode("utf-8", "replace")
+    return {word, *(b"~" + w[i : i + GRAM].encode() for i in range(len(w) - GRAM + 1))}
+
+
+class Index(dict):
+    """For each word the places of its pieces among the features, worked out at first sight."""
+
+    def __init__(self, vocabulary: list[bytes]):
+        super().__init__()
+        self.places = {p: i for i, p in enumerate(vocabulary)}
+
+    def __missing__(self, word: bytes) -> tuple:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        found = self[word] = tuple(self.places[p] for p in pieces(word) if p in self.places)
+        return found
+
+
 def marks(raw: bytes, words: list[bytes], distinct: int) -> list[float]:
     """Figures of a text's form."""
     n = max(1, len(raw))
@@ -79,19 +101,23 @@ def meta(lang, source, length: int) -> list[float]:
 
 
 class Logistic:
-    """Ridge logistic regression over standardised columns, by Newton steps."""
+    """Ridge logistic regression over standardised columns, by Newton steps over chunks of rows."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 8):
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0)
+    CHUNK = 2048
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 8, start: np.ndarray | None = None):
+        self.mean, self.scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64)
         self.scale[self.scale < 1e-6] = 1.0
-        z = self.design(x)
-        w = np.zeros(z.shape[1])
-        keep = np.full(z.shape[1], ridge)
+        d = x.shape[1] + 1
+        w, keep = np.zeros(d) if start is None else start, np.full(d, ridge)
         keep[-1] = 1e-6
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            g = z.T @ (p - y) + keep * w
-            h = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(keep)
+            g, h = keep * w, np.diag(keep)
+            for i in range(0, len(x), self.CHUNK):
+                z = self.design(x[i : i + self.CHUNK])
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                g = g + z.T @ (p - y[i : i + self.CHUNK])
+                h = h + (z * (p * (1 - p) + 1e-6)[:, None]).T @ z
             step = np.linalg.solve(h, g)
             w = w - step
             if np.abs(step).max() < 1e-4:
@@ -103,7 +129,8 @@ class Logistic:
         return np.concatenate([np.clip(z, -8, 8), np.ones((len(x), 1))], axis=1)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self.design(x) @ self.w, -30, 30)
+        parts = [self.design(x[i : i + self.CHUNK]) @ self.w for i in range(0, len(x), self.CHUNK)]
+        return np.clip(np.concatenate(parts) if parts else np.empty(0), -30, 30)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -113,8 +140,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 class View:
     """A regression with its calibration: a logistic map of its logit, fitted on held-out rows."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.ndarray):
-        self.model = Logistic(x, y)
+    def __init__(self, x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.ndarray, before: View | None = None):
+        self.model = Logistic(x, y, steps=8 if before is None else 3, start=None if before is None else before.model.w)
         self.to = Logistic(self.model.logit(held_x)[:, None], held_y, ridge=0.1)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
@@ -126,31 +153,45 @@ def bounded(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key, F.lit(17)), key).limit(most)
 
 
-def telling_words(rows: DataFrame, words: int, least: int) -> list[bytes]:
-    """The words whose presence tells the classes apart best. rows: t and good."""
+def telling_pieces(rows: DataFrame, most: int, least: int) -> list[bytes]:
+    """The pieces whose presence tells the classes apart best, by the likelihood ratio. rows: t and good."""
 
     def count(batches):
         seen: dict[bytes, list[int]] = {}
+
+        def batch():
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([c[0] for c in seen.values()], pa.int64()), pa.array([c[1] for c in seen.values()], pa.int64())], names=["w", "bad", "good"])
+            seen.clear()
+            return out
+
         for b in batches:
             for t, good in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w in set(words_of((t or "").encode())):
+                found: set[bytes] = set()
+                found.update(*map(pieces, set(words_of((t or "").encode()))))
+                for w in found:
                     seen.setdefault(w, [0, 0])[good] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([c[0] for c in seen.values()], pa.int64()), pa.array([c[1] for c in seen.values()], pa.int64())], names=["w", "bad", "good"])
+                if len(seen) > HELD_PIECES:
+                    yield batch()
+        yield batch()
 
     totals = {r["good"]: r["n"] for r in rows.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = F.col("bad") + 0.5, F.col("good") + 0.5
-    odds = F.log(bad / (F.lit(totals.get(0, 0)) + 1 - bad)) - F.log(good / (F.lit(totals.get(1, 0)) + 1 - good))
-    z = F.abs(odds) / F.sqrt(1 / bad + 1 / good)
+    all_bad, all_good = totals.get(0, 0), totals.get(1, 0)
+    n = all_bad + all_good
+    bad, good = F.col("bad").cast("double"), F.col("good").cast("double")
+
+    def part(cell, row, column):
+        return F.when((cell > 0) & (row > 0), cell * F.log(cell * n / (row * column))).otherwise(F.lit(0.0))
+
+    ratio = part(bad, bad + good, all_bad) + part(good, bad + good, all_good) + part(all_bad - bad, n - bad - good, all_bad) + part(all_good - good, n - bad - good, all_good)
     counted = rows.select("t", "good").mapInArrow(count, "w binary, bad long, good long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    best = counted.where(F.col("bad") + F.col("good") >= least).select("w", z.alias("z")).where("z >= 2").orderBy(F.desc("z"), "w").limit(words)
+    best = counted.where(F.col("bad") + F.col("good") >= least).select("w", ratio.alias("ratio")).where("ratio >= 4").orderBy(F.desc("ratio"), "w").limit(most)
     return [bytes(r["w"]) for r in best.collect()]
 
 
 def features(rows: DataFrame, vocabulary: list[bytes], extra: list[str]) -> DataFrame:
     """extra columns, content and metadata, both arrays of float; rows: t, lang, source."""
-    index = {w: i for i, w in enumerate(vocabulary)}
-
     def read(batches):
+        index = Index(vocabulary)
         for b in batches:
             content, side = [], []
             n = len(extra)
@@ -164,15 +205,16 @@ def features(rows: DataFrame, vocabulary: list[bytes], extra: list[str]) -> Data
     return rows.select(*extra, "t", "lang", "source").mapInArrow(read, f"{kinds}content array<float>, side array<float>")
 
 
-def row_features(t, lang, source, index: dict) -> tuple[np.ndarray, np.ndarray]:
+def row_features(t, lang, source, index: Index) -> tuple[np.ndarray, np.ndarray]:
     raw = (t or "").encode()
     words = words_of(raw)
     distinct = set(words)
     figures = marks(raw, words, len(distinct))
-    out = np.zeros(len(figures) + len(index), np.float32)
+    out = np.zeros(len(figures) + len(index.places), np.float32)
     out[: len(figures)] = figures
-    for w in distinct & index.keys():
-        out[len(figures) + index[w]] = 1
+    found: set[int] = set()
+    found.update(*map(index.__getitem__, distinct))
+    out[[len(figures) + i for i in found]] = 1
     return out, np.array(meta(lang, source, len(t or "")), np.float32)
 
 
@@ -190,9 +232,10 @@ def co_train(vocabulary: list[bytes], labelled: tuple, pool: tuple, rounds: int
     """labelled: content, side, y and held (bool); pool: content and side."""
     content, side, y, held = labelled
     free = np.ones(len(pool[0]), bool)
+    views: dict = {"content": None, "side": None}
     taught = {"content": (content[~held], y[~held]), "side": (side[~held], y[~held])}
     for r in range(rounds + 1):
-        views = {"content": View(*taught["content"], content[held], y[held]), "side": View(*taught["side"], side[held], y[held])}
+        views = {"content": View(*taught["content"], content[held], y[held], views["content"]), "side": View(*taught["side"], side[held], y[held], views["side"])}
         if r == rounds or not free.any():
             break
         for view, other, mine, theirs in (("content", "side", pool[0], pool[1]), ("side", "content", pool[1], pool[0])):
@@ -236,7 +279,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc
     told = sample.where("good is not null")
     if told.select("good").distinct().count() < 2:
         return None
-    vocabulary = telling_words(told, WORDS, LEAST_ROWS)
+    vocabulary = telling_pieces(told, PIECES, LEAST_ROWS)
     got = arrays(features(sample, vocabulary, ["k", "good"]).orderBy("k"))
     good = got["good"].astype(float)
     labelled = ~np.isnan(good)
@@ -267,7 +310,7 @@ def score(spark: SparkSession, docs: DataFrame, model: CoTrained | None) -> Data
 
     def read(batches):
         m = cloudpickle.loads(sent.value)
-        index = {w: i for i, w in enumerate(m.vocabulary)}
+        index = Index(m.vocabulary)
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
