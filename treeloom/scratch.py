@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where scratch tables go in local mode when the session names no checkpoint folder (tests).
-LOCAL_FALLBACK = "file:///tmp/treeloom-scratch"
+#: Where scratch tables go in local mode when the session names no checkpoint folder (tests); it goes with the process.
+LOCAL_FALLBACK = f"/tmp/treeloom-scratch-{os.getpid()}"
+atexit.register(shutil.rmtree, LOCAL_FALLBACK, ignore_errors=True)
 
 
 def root(spark: SparkSession) -> str:
@@ -18,9 +22,10 @@ def root(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if told:
         return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return LOCAL_FALLBACK
+    return f"file://{LOCAL_FALLBACK}"
 
 
 class Scratch:
