@@ -9,7 +9,8 @@ verified exactly on the full shingle sets.
 Only what can change a component is compared, and never all pairs of a bucket by joining it with
 itself: first every member with its bucket's smallest member (one pair a member and bucket), by the
 most frequent such pair before the others; then, in buckets that still hold different components,
-members of different components, by tiles of bounded size. No bucket is capped.
+members of different components, within tiles of bounded size that return links only. No bucket is
+capped.
 
 A pair at the threshold has no common band with probability (1 - 0.8**4)**32 = 5e-8, and is dropped by
 the posterior with at most about `miss` a batch.
@@ -36,7 +37,7 @@ from treeloom.llm.scratch import Scratch, release
 HASHES, BAND = 128, 4
 BATCH = 32
 #: Members of a block of a large bucket; a tile holds two blocks at most.
-BLOCK = 512
+BLOCK = 1024
 #: Shingles hashed at once, so that a chunk stays in the CPU's cache.
 CHUNK = 1 << 15
 #: Cells of the filter by which documents are read again: one bit each.
@@ -122,7 +123,7 @@ def sign(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def banded(signed: DataFrame) -> DataFrame:
-    """bucket and k for every band of every signature."""
+    """bucket, band and k for every band of every signature."""
 
     def read(batches):
         for b in batches:
@@ -132,9 +133,10 @@ def banded(signed: DataFrame) -> DataFrame:
             bands = sig.shape[1]
             key = wordhash.mix(sig ^ wordhash.mix(np.arange(1, bands + 1, dtype=np.uint64) * wordhash.ODD))
             k = np.repeat(b.column(0).to_numpy(zero_copy_only=False), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(k)], names=["bucket", "k"])
+            band = np.tile(np.arange(bands, dtype=np.int32), b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(k)], names=["bucket", "band", "k"])
 
-    return signed.select("k", "sig").mapInArrow(read, "bucket long, k long")
+    return signed.select("k", "sig").mapInArrow(read, "bucket long, band int, k long")
 
 
 def sizes_fit(a: str, b: str, percent: int):
@@ -260,63 +262,104 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
             return labels.select("k", "c")
 
 
-def crossing(members: DataFrame, signed: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs a, b of one bucket and different components that comparison doesn't rule out.
+def set_rows(texts: DataFrame, words: int) -> DataFrame:
+    """k and set, the sorted shingle hashes as bytes."""
 
-    members: bucket, k, c, m (members of the bucket). A large bucket is cut into blocks, and each pair
-    of blocks is a tile, so that no task gathers a bucket; pairs are made and judged within numpy."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("k", F.lit(3)), F.greatest(blocks, F.lit(1))).cast("int")
-    tiled = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1)))
-    tiled = tiled.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "k", "c", "mine")
-    whole = tiled.join(signed.select("k", "n", "sig"), "k")
+    def read(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["k", "set"])
+
+    return texts.mapInArrow(read, "k long, set binary")
+
+
+def crossing(members: DataFrame, signed: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Links a, b between members of one bucket and different components: enough of them to join all that are linked.
+
+    members: bucket, band, k, c (component), first and m (members) of the bucket. A large bucket is cut
+    into blocks, and each pair of blocks is a tile, so that no task gathers a bucket. Within a tile, pairs
+    are made in numpy and never become rows. A pair is judged in the first band that it shares, by
+    posterior bounds and then exactly, unless links found in the tile have joined its components; a
+    pair with the bucket's first member has been judged before."""
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK).cast("int"), F.lit(1))
+    mine = F.pmod(F.xxhash64("k", F.lit(3)), blocks).cast("int")
+    tiled = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiled = tiled.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "band", "k", "c", (F.col("k") == F.col("first")).alias("head"), "mine")
+    whole = tiled.join(signed.select("k", "n", "sig"), "k").join(sets, "k")
     needed = thresholds(percent, miss)
 
-    def judge(rows):
-        """rows: sorted by tile; compares each row with those behind it in its tile."""
-        tile, k, c, mine, diagonal, n, sig = rows
-        found_a, found_b = [], []
-        step, at = 1, np.arange(len(k) - 1)
-        while len(at):
-            at = at[at + step < len(k)]
+    def candidates(tile, band, c, head, mine, diagonal, n, sig):
+        """Places of the pairs to be judged exactly; rows are sorted by tile."""
+        bands = sig.view(np.uint64)
+        xs, ys, step, at = [], [], 1, np.arange(len(tile))
+        while True:
+            at = at[at + step < len(tile)]
             at = at[tile[at] == tile[at + step]]
+            if not len(at):
+                break
             other = at + step
-            ok = (c[at] != c[other]) & (diagonal[at] | (mine[at] != mine[other])) & (np.minimum(n[at], n[other]) * 100 >= np.maximum(n[at], n[other]) * percent)
+            ok = (c[at] != c[other]) & ~head[at] & ~head[other] & (diagonal[at] | (mine[at] != mine[other])) & (np.minimum(n[at], n[other]) * 100 >= np.maximum(n[at], n[other]) * percent)
             x, y = at[ok], other[ok]
-            if len(x):
-                s = survivors(sig[x], sig[y], needed)
-                found_a.append(np.minimum(k[x[s]], k[y[s]]))
-                found_b.append(np.maximum(k[x[s]], k[y[s]]))
+            for i in range(0, len(x), 1 << 14):
+                u, v = x[i : i + (1 << 14)], y[i : i + (1 << 14)]
+                here = (bands[u] == bands[v]).argmax(axis=1) == band[u]
+                u, v = u[here], v[here]
+                s = survivors(sig[u], sig[v], needed)
+                xs.append(u[s])
+                ys.append(v[s])
             step += 1
-        a, b = (np.concatenate(f) if f else np.empty(0, np.int64) for f in (found_a, found_b))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        return (np.concatenate(f) if f else np.empty(0, np.int64) for f in (xs, ys))
+
+    def judge(tile, band, k, c, head, mine, diagonal, n, sig, held):
+        x, y = candidates(tile, band, c, head, mine, diagonal, n, sig)
+        root: dict = {}
+
+        def find(i):
+            while (up := root.get(i, i)) != i:
+                i = up
+            return i
+
+        order = np.lexsort((y, x))
+        found_a, found_b, last, of_last = [], [], -1, None
+        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+            of_i, of_j = find(int(c[i])), find(int(c[j]))
+            if of_i == of_j:
+                continue
+            if i != last:
+                last, of_last = i, np.frombuffer(held[i], np.uint64)
+            other = np.frombuffer(held[j], np.uint64)
+            at = np.searchsorted(of_last, other)
+            at[at == len(of_last)] = 0
+            common = int((of_last[at] == other).sum())
+            if 100 * common >= percent * (len(of_last) + len(other) - common):
+                root[max(of_i, of_j)] = min(of_i, of_j)
+                found_a.append(min(k[i], k[j]))
+                found_b.append(max(k[i], k[j]))
+        return pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+
+    def numbered(parts):
+        tile, band, k, c, head, mine, n, sig, held = parts
+        number = np.cumsum(np.r_[True, (tile[1:] != tile[:-1]).any(axis=1)])
+        return number, band, k, c, head, mine, tile[:, 1] == tile[:, 2], n, sig, held
 
     def read(batches):
-        held = None
+        waiting = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket, i, j, k, c, mine, n = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("bucket", "i", "j", "k", "c", "mine", "n"))
+            bucket, i, j, band, k, c, head, mine, n = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("bucket", "i", "j", "band", "k", "c", "head", "mine", "n"))
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(len(k), -1)
-            tile = np.stack([bucket, i.astype(np.int64), j.astype(np.int64)], axis=1)
-            parts = [tile, k, c, mine, n, sig]
-            if held is not None:
-                parts = [np.concatenate(p) for p in zip(held, parts, strict=True)]
+            parts = [np.stack([bucket, i.astype(np.int64), j.astype(np.int64)], axis=1), band, k, c, head, mine, n, sig, batch.column("set").to_pylist()]
+            if waiting is not None:
+                parts = [np.concatenate(p) if isinstance(p[0], np.ndarray) else p[0] + p[1] for p in zip(waiting, parts, strict=True)]
             tile = parts[0]
-            change = np.r_[True, (tile[1:] != tile[:-1]).any(axis=1)]
-            last = np.flatnonzero(change)[-1]
-            held = [p[last:] for p in parts]
+            last = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(axis=1)])[-1]
+            waiting = [p[last:] for p in parts]  # the last tile may go on in the next batch
             if last:
-                yield judge(numbered([p[:last] for p in parts]))
-        if held is not None:
-            yield judge(numbered(held))
+                yield judge(*numbered([p[:last] for p in parts]))
+        if waiting is not None:
+            yield judge(*numbered(waiting))
 
-    def numbered(parts):
-        tile, k, c, mine, n, sig = parts
-        number = np.cumsum(np.r_[True, (tile[1:] != tile[:-1]).any(axis=1)])
-        return number, k, c, mine, tile[:, 1] == tile[:, 2], n, sig
-
-    return whole.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(read, "a long, b long").distinct()
+    return whole.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(read, "a long, b long")
 
 
 def link(spark: SparkSession, docs: DataFrame, key: str, text: str, words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
@@ -326,7 +369,7 @@ def link(spark: SparkSession, docs: DataFrame, key: str, text: str, words: int =
     heads = scratch.save(all_signed.where("g is not null and k is not null").groupBy("g").agg(F.min("k").alias("k")), "heads")
     signed = scratch.save(all_signed.select("k", "n", "g", "sig").join(heads.select(F.col("g").alias("hg"), F.col("k").alias("hk")), (F.col("k") == F.col("hk")) & (F.col("g") == F.col("hg")), "left_semi").dropDuplicates(["k"]).select("k", "n", "sig"), "signed")
     first = scratch.save(banded(signed).groupBy("bucket").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").withColumnRenamed("bucket", "at"), "first")
-    members = scratch.save(banded(signed).join(first, F.col("bucket") == F.col("at")).select("bucket", "k", "first", "m"), "members")
+    members = scratch.save(banded(signed).join(first, F.col("bucket") == F.col("at")).select("bucket", "band", "k", "first", "m"), "members")
     scratch.drop(first)
     release(spark)
     pairs = members.where("k != first").groupBy(F.col("first").alias("a"), F.col("k").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
@@ -342,19 +385,19 @@ def link(spark: SparkSession, docs: DataFrame, key: str, text: str, words: int =
     links = links.unionByName(more)
     joined = components(scratch, links)
     # buckets of three and more that still hold several components
-    labelled = members.where("m > 2").join(joined.withColumnRenamed("k", "jk"), F.col("k") == F.col("jk"), "left").select("bucket", "k", "m", F.coalesce("c", "k").alias("c"))
+    labelled = members.where("m > 2").join(joined.withColumnRenamed("k", "jk"), F.col("k") == F.col("jk"), "left").select("bucket", "band", "k", "first", "m", F.coalesce("c", "k").alias("c"))
     labelled = scratch.save(labelled, "labelled")
     mixed = scratch.save(labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("bucket").alias("at")), "mixed")
-    rest = scratch.save(crossing(labelled.join(mixed, F.col("bucket") == F.col("at"), "left_semi"), signed, percent, miss), "crossing")
-    scratch.drop(labelled, mixed, members)
-    tested = likely.select("a", "b").unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = scratch.save(rest.join(tested, ["a", "b"], "left_anti"), "rest")
+    apart_still = scratch.save(labelled.join(mixed, F.col("bucket") == F.col("at"), "left_semi"), "apart")
+    scratch.drop(labelled, mixed, members, texts)
+    release(spark)
+    sets = scratch.save(set_rows(texts_of(spark, docs, key, text, apart_still.select("k").distinct()), words), "sets")
+    rest = scratch.save(crossing(apart_still, signed, sets, percent, miss), "links")
+    scratch.drop(sets, apart_still)
     if not rest.isEmpty():
-        texts2 = scratch.save(texts_of(spark, docs, key, text, rest.select(F.col("a").alias("k")).unionByName(rest.select(F.col("b").alias("k"))).distinct()), "texts")
-        links = links.unionByName(scratch.save(verified(rest, texts2, words, percent), "links"))
+        links = links.unionByName(rest)
         joined = components(scratch, links)
-        scratch.drop(texts2)
-    scratch.drop(texts, signed, likely)
+    scratch.drop(signed, likely)
     release(spark)
     by_set = scratch.save(heads.join(joined.withColumnRenamed("k", "jk"), F.col("k") == F.col("jk"), "left").select(F.col("g").alias("hg"), F.coalesce("c", "k").alias("c")), "by-set")
     out = all_signed.join(by_set, F.col("g") == F.col("hg"), "left")
