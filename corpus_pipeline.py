@@ -20,19 +20,24 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier scores below the bound go."""
     model = quality.fit(spark, docs, queries.table(spark, sf_dir, "labels"))
-    return quality.score(spark, docs, model).where(F.col("score") >= quality.KEEP).select(*docs.columns)
+    own = "_" * (1 + max(map(len, docs.columns)))  # longer than any name of the table
+    scored = quality.score(spark, docs, model, (f"{own}content", f"{own}side", f"{own}score"))
+    return scored.where(F.col(f"{own}score") >= quality.KEEP).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of three lines or more go, and documents that this empties."""
     out = lines.dedup(spark, docs, "doc_id", "text")
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the smallest id. Five words, similarity 0.8."""
     linked = near_dup.link(spark, docs, "doc_id", "text", words=5, percent=80).select(F.col("doc_id").alias("_linked"), "component_id").where("component_id < _linked").select("_linked")
-    return docs.join(linked, F.col("doc_id") == F.col("_linked"), "left_anti").dropDuplicates(["doc_id"])
+    kept = docs.join(linked, F.col("doc_id") == F.col("_linked"), "left_anti")
+    # rows that repeat with their id are one document; those without an id stay
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    return kept.withColumn("_own", own).dropDuplicates(["doc_id", "_own"]).drop("_own")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,9 +20,12 @@ def test_stages_and_registration():
 
 def test_stages_on_planted_cases(spark, documents, tmp_path):
     text = prose(1, 200)
-    docs = documents([(1, text), (2, "x " + text.split(" ", 1)[1]), (3, text), (4, prose(2, 100)), (5, None), (6, "")])
+    docs = documents([(1, text), (2, "x " + text.split(" ", 1)[1]), (3, text), (4, prose(2, 100)), (5, None), (6, ""), (4, prose(2, 100)), (None, text), (None, "y")], ["score", "k"])
     out = corpus_pipeline.near_duplicates_stage(spark, docs, "")
-    assert sorted(r["doc_id"] for r in out.collect()) == [1, 4, 5, 6] and out.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "4", "5", "6", "None", "None"] and out.columns == docs.columns
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    same = corpus_pipeline.quality_stage(spark, docs, str(tmp_path))  # no class to tell apart: all stay, with their columns
+    assert same.columns == docs.columns and sorted(map(str, same.collect())) == sorted(map(str, docs.collect()))
     passage = prose(9, 40)
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     mixed = documents([(1, "a " + passage + " b"), (2, prose(3, 80))])

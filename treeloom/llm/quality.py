@@ -299,9 +299,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc
     return co_train(vocabulary, both, (content[~labelled], side[~labelled]))
 
 
-def score(spark: SparkSession, docs: DataFrame, model: CoTrained | None) -> DataFrame:
-    """docs with content_score, metadata_score and score (probabilities of a good document)."""
-    names = ("content_score", "metadata_score", "score")
+def score(spark: SparkSession, docs: DataFrame, model: CoTrained | None, names: tuple[str, str, str] = ("content_score", "metadata_score", "score")) -> DataFrame:
+    """docs with three columns: both views' and the combined probability of a good document. Columns of these names are replaced."""
     rest = [c for c in docs.columns if c not in names]
     if model is None:
         return docs.select(*[F.col(f"`{c}`") for c in rest], *[F.lit(1.0).alias(c) for c in names])
@@ -320,4 +319,4 @@ def score(spark: SparkSession, docs: DataFrame, model: CoTrained | None) -> Data
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sigmoid(logits[:, 0])), pa.array(sigmoid(logits[:, 1])), pa.array(p)], names=[*rest, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in rest)
-    return docs.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(read, f"{kinds}, content_score double, metadata_score double, score double")
+    return docs.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(read, f"{kinds}, " + ", ".join(f"`{c}` double" for c in names))
