@@ -28,6 +28,17 @@ def root(spark: SparkSession) -> str:
     return f"file://{LOCAL_FALLBACK}"
 
 
+#: Rows of an Arrow batch at most: texts are long, and a batch is held on both sides of the pipe.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have this session cut Arrow batches small enough for rows that hold whole texts; smaller settings stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
     """Written tables that cut lineage: a lost executor re-reads them instead of recomputing everything before.
 
@@ -36,6 +47,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        small_batches(spark)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.count += 1
