@@ -78,6 +78,7 @@ def scan(spark: SparkSession, versions: DataFrame, keys: list[str], text: str, l
     `ledger` is the folder of the ledger table, which grows by this call. The text of a blob moves
     once: one version of each unseen blob is chosen on narrow rows, the rest only by their address.
     """
+    scratch.small_batches(spark)
     version = rule_version(rules)
     content = F.coalesce(F.col(text), F.lit(""))
     addressed = versions.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], content.alias("_text")).withColumn("blob", F.unhex(F.sha2("_text", 256)))

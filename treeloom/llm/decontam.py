@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.llm import wordhash
+from treeloom.llm.scratch import small_batches
 
 Q = 10
 RATE = 0.06
@@ -186,6 +187,7 @@ def blocks(items: DataFrame, key: str, text: str):
 
 def contained(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, q: int = Q, rate: float = RATE) -> DataFrame:
     """key, item_id, edits, start and end (code points of the text, end exclusive)."""
+    small_batches(spark)
     schema = f"`{key}` long, item_id long, edits int, start long, end long"
     found = None
     for block in blocks(items, item_key, item_text):
@@ -206,6 +208,7 @@ def contained(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str,
 
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str) -> DataFrame:
     """docs without those that contain a benchmark item, decided where a document is read; columns as they were."""
+    small_batches(spark)
     out = docs
     for block in blocks(items, item_key, item_text):
         sent = spark.sparkContext.broadcast(block)

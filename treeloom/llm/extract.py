@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeloom.llm.scratch import small_batches
+
 # HTML's element kinds, and names by which pages mark what isn't their article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
@@ -264,6 +266,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, page: str, out: str = "text") -> DataFrame:
     """Add `out`, the main text of each row's page; other columns pass through."""
+    small_batches(pages.sparkSession)
     names = [c for c in pages.columns if c != page and c != out]
 
     def read(batches):

@@ -40,6 +40,8 @@ BATCH = 32
 BLOCK = 1024
 #: Shingles hashed at once, so that a chunk stays in the CPU's cache.
 CHUNK = 1 << 15
+#: Rows whose sets are held at once.
+ROWS = 512
 #: Cells of the filter by which documents are read again: one bit each.
 FILTER_BITS = 26
 
@@ -110,7 +112,7 @@ def sign(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """k, n (size of the set), g (digest of the set) and sig; g and sig are null for an empty set."""
 
     def read(batches):
-        for b in batches:
+        for b in (x.slice(i, ROWS) for x in batches for i in range(0, x.num_rows, ROWS)):
             sets = [shingles(t, words) for t in b.column(1).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             digests, sigs = [None] * len(sets), [None] * len(sets)
@@ -214,13 +216,19 @@ def texts_of(spark: SparkSession, docs: DataFrame, key: str, text: str, ids: Dat
 
     some = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k is not null").mapInArrow(read, "k long, t string")
 
-    def once(batches):
-        seen = set()  # rows that repeat meet in one partition; a pair needs one of them
+    return some.join(ids.hint("shuffle_hash"), "k", "left_semi")
+
+
+def once(texts: DataFrame) -> DataFrame:
+    """One row an id: rows that repeat meet in one partition of texts_of()."""
+
+    def read(batches):
+        seen = set()
         for b in batches:
             keep = [i for i, k in enumerate(b.column(0).to_pylist()) if not (k in seen or seen.add(k))]
             yield b.take(pa.array(keep, pa.int64()))
 
-    return some.join(ids.hint("shuffle_hash"), "k", "left_semi").mapInArrow(once, "k long, t string")
+    return texts.mapInArrow(read, "k long, t string")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -266,7 +274,10 @@ def set_rows(texts: DataFrame, words: int) -> DataFrame:
     """k and set, the sorted shingle hashes as bytes."""
 
     def read(batches):
-        for b in batches:
+        seen = set()  # rows that repeat meet in one partition of texts_of()
+        for b in (x.slice(i, ROWS) for x in batches for i in range(0, x.num_rows, ROWS)):
+            keep = [i for i, k in enumerate(b.column(0).to_pylist()) if not (k in seen or seen.add(k))]
+            b = b.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["k", "set"])
 
     return texts.mapInArrow(read, "k long, set binary")
@@ -374,7 +385,7 @@ def link(spark: SparkSession, docs: DataFrame, key: str, text: str, words: int =
     release(spark)
     pairs = members.where("k != first").groupBy(F.col("first").alias("a"), F.col("k").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
     likely = scratch.save(probable(pairs, signed, percent, miss), "likely")
-    texts = scratch.save(texts_of(spark, docs, key, text, likely.select(F.col("a").alias("k")).unionByName(likely.select(F.col("b").alias("k"))).distinct()), "texts")
+    texts = scratch.save(once(texts_of(spark, docs, key, text, likely.select(F.col("a").alias("k")).unionByName(likely.select(F.col("b").alias("k"))).distinct())), "texts")
     release(spark)
     # the pair that most bands propose for each member, then those pairs that still join components
     most = likely.groupBy("b").agg(F.max(F.struct(F.col("bands"), (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.scratch import worker_cache
+from treeloom.llm.scratch import small_batches, worker_cache
 
 #: Words whose ids a worker remembers at most; then it starts anew.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 #: Texts whose new words are encoded together.
 TEXTS = 256
 #: Ids that one output batch holds at most, unless one document alone has more.
@@ -149,6 +149,7 @@ def pack(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int, most
     """One row per piece: key, start, length, ids (null unless asked for), ids_crc32, doc_tokens, bucket, sequence_id, offset."""
     if most & (most - 1) or most < 1:
         raise ValueError("the longest sequence must be a power of two")
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, bucket int"
 

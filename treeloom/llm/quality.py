@@ -32,7 +32,7 @@ from treeloom.llm.scratch import Scratch
 MOST_LABELLED, MOST_POOL = 12_000, 6_000
 PIECES, LEAST_ROWS, GRAM = 768, 4, 5
 #: Words whose pieces a worker remembers at most, and pieces that a task counts before it passes them on.
-MEMO_WORDS, HELD_PIECES = 1_000_000, 500_000
+MEMO_WORDS, HELD_PIECES = 250_000, 300_000
 ROUNDS, CONFIDENT, PER_ROUND = 3, 0.97, 1_000
 META_BUCKETS = 64
 KEEP = 0.5

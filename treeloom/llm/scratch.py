@@ -8,9 +8,9 @@ import types
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.scratch import Scratch, exists, release, remove, root
+from treeloom.scratch import Scratch, exists, release, remove, root, small_batches
 
-__all__ = ["Scratch", "exists", "rank", "release", "remove", "root", "worker_cache"]
+__all__ = ["Scratch", "exists", "rank", "release", "remove", "root", "small_batches", "worker_cache"]
 
 
 def worker_cache() -> dict:

@@ -8,7 +8,7 @@ import xxhash
 from treeloom.llm.scratch import worker_cache
 
 #: Distinct words whose hash a worker remembers at most; then it starts anew.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 250_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
