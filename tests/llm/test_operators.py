@@ -398,6 +398,32 @@ def test_lines(spark, documents, gram, window):
     assert lines.dedup(spark, documents([]), "doc_id", "text").count() == 0
 
 
+def without_long_runs(rows, n, size):
+    """Texts without the lines of runs of n lines, or of fewer that hold `size` words, that occur earlier."""
+    parts = {k: [x.strip() for x in (t or "").split("\n") if x.strip()] for k, t in rows}
+    runs = [(k, i, m, tuple(p[i : i + m])) for k, p in sorted(parts.items()) for i in range(len(p)) for m in range(1, n + 1) if i + m <= len(p)]
+    runs = [x for x in runs if x[2] == n or sum(max(len(y.split()), len(y.encode()) // 8) for y in x[3]) >= size]
+    first, gone = {}, set()
+    for k, i, m, run in runs:
+        if first.setdefault(run, (k, i)) < (k, i):
+            gone.update((k, j) for j in range(i, i + m))
+    return {k: [x for j, x in enumerate(p) if (k, j) not in gone] for k, p in parts.items()}, parts
+
+
+@pytest.mark.parametrize("gram,window", [(2, 2), (1, 3)])
+def test_long_repeats_of_few_lines_go(spark, documents, gram, window):
+    r = random.Random(5)
+    pool = [prose(i, n) for i, n in enumerate([1, 3, 6, 7, 12, 13, 14, 60, 90])] + ["汉" * 60]
+    texts = [None, "", pool[8], "own head\n" + pool[8] + "\nown tail", pool[8], pool[5], pool[5], pool[4], pool[4], pool[2] + "\n" + pool[3], pool[2] + "\n\n" + pool[3], pool[9], "a\n" + pool[9], pool[7] + "\n" + pool[7]]
+    texts += ["\n".join(r.choice([*pool, f"line {r.randrange(40)}"]) for _ in range(r.randint(1, 6))) for _ in range(60)]
+    rows = list(enumerate(texts))
+    got = {x["doc_id"]: x["text"] for x in lines.dedup(spark, documents(rows), "doc_id", "text", gram, window).collect()}
+    want, had = without_long_runs(rows, gram + window - 1, 13)
+    assert got[3] == "own head\nown tail" and got[12] == "a" and got[8] == pool[4] and 10 not in got
+    assert set(got) == {k for k in want if want[k] or not had[k]}
+    assert all([x for x in (t or "").split("\n") if x.strip()] == want[k] for k, t in got.items())
+
+
 def test_winnowing_guarantee():
     r = np.random.default_rng(2)
     for _ in range(50):

@@ -3,18 +3,19 @@
 A document is the sequence of its lines that hold more than white space; a line's hash is that of its
 text without outer white space. Hashes of `gram` consecutive lines are winnowed: of each `window`
 neighbouring grams the least is selected, so every run of at least gram + window - 1 lines that occurs
-twice has a selected gram at the same place in both. Selected grams that are shared are joined back
+twice has a selected gram at the same place in both. Runs of fewer lines count if they are long: from
+`size` words in all, each of them is a gram of its own. Selected grams that are shared are joined back
 to all their positions; from there matches are extended both ways: every run of the guaranteed length
 that holds the position is looked up exactly, and runs that overlap grow into one. Lines of a run
 that occurs at an earlier position (smaller id, then earlier line) are deleted, the first is kept.
 
-Every line that a brute-force search over all runs of gram + window - 1 lines would delete is deleted
-and no other: grams only choose where to look.
+Every line that a brute-force search over all runs of gram + window - 1 lines, and over all shorter ones
+of at least `size` words, would delete is deleted and no other: grams only choose where to look.
 
 Defined cases: a null text stays null; blank lines separate nothing and are kept, unless their
-neighbours on both sides are deleted; documents with fewer lines than a run are unchanged; rows that
-repeat with their id are judged alike; documents of which no line is left are dropped; other columns
-pass through unchanged; an empty table gives an empty table.
+neighbours on both sides are deleted; eight bytes count as a word at least, as some scripts have no
+spaces; rows that repeat with their id are judged alike; documents of which no line is left are dropped;
+other columns pass through unchanged; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,13 +30,20 @@ from treeloom.llm import wordhash
 from treeloom.llm.scratch import Scratch, release
 
 GRAM, WINDOW = 2, 2
+#: Words from which a run of any number of lines counts.
+SIZE = 13
 
 
 def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lines that aren't blank, and their places among all lines."""
-    lines = [x.strip() for x in text.encode().split(b"\n")]
-    at = [i for i, x in enumerate(lines) if x]
-    return np.array([xxhash.xxh3_64_intdigest(lines[i]) for i in at], np.uint64), np.array(at, np.int64)
+    """Hashes and sizes of the lines that aren't blank."""
+    lines = [x for x in (x.strip() for x in text.encode().split(b"\n")) if x]
+    return np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64), np.array([max(len(x.split()), len(x) // 8) for x in lines], np.int64)
+
+
+def long_runs(sizes: np.ndarray, lines: int, size: int) -> np.ndarray:
+    """First lines of the runs of so many lines that hold at least `size` words."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    return np.flatnonzero(total[lines:] - total[:-lines] >= size)
 
 
 def winnow(grams: np.ndarray, window: int) -> np.ndarray:
@@ -50,8 +58,9 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     return np.unique(best)
 
 
-def positions(docs: DataFrame, key: str, text: str, gram: int, window: int) -> DataFrame:
-    """h, k, at: every selected gram."""
+def positions(docs: DataFrame, key: str, text: str, gram: int, window: int, size: int) -> DataFrame:
+    """h, k, at: every selected gram, of at % length + 1 lines if that is less than the length, from line at // length."""
+    length = gram + window - 1
 
     def read(batches):
         for b in batches:
@@ -59,42 +68,47 @@ def positions(docs: DataFrame, key: str, text: str, gram: int, window: int) -> D
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if k is None or not t:
                     continue
-                h, _ = line_hashes(t)
-                g = wordhash.runs(h, gram)
-                at = winnow(g, window)
-                if len(at):
-                    out.append((g[at].view(np.int64), np.full(len(at), k, np.int64), at.astype(np.int32)))
+                h, sizes = line_hashes(t)
+                for n in range(1, length + 1):
+                    g = wordhash.runs(h, gram) if n == length else wordhash.mix(wordhash.runs(h, n) ^ wordhash.ODD)  # unlike grams
+                    at = long_runs(sizes, n, size) if n < length else winnow(g, window)
+                    if len(at):
+                        out.append((g[at].view(np.int64), np.full(len(at), k, np.int64), at * length + n - 1))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["h", "k", "at"])
 
-    return docs.select(F.col(key).cast("long").alias("k"), text).mapInArrow(read, "h long, k long, at int")
+    return docs.select(F.col(key).cast("long").alias("k"), text).mapInArrow(read, "h long, k long, at long")
 
 
-def repeats(spark: SparkSession, docs: DataFrame, key: str, text: str, gram: int, window: int, scratch: Scratch) -> DataFrame:
-    """k and at: the first lines of runs of the guaranteed length that occur earlier too."""
+def repeats(spark: SparkSession, docs: DataFrame, key: str, text: str, gram: int, window: int, size: int, scratch: Scratch) -> DataFrame:
+    """k and at: the first lines of runs that occur earlier too, and with them how many lines (as in positions)."""
     length = gram + window - 1
-    found = scratch.save(positions(docs, key, text, gram, window), "positions")
+    found = scratch.save(positions(docs, key, text, gram, window, size), "positions")
     shared = scratch.save(found.groupBy("h").agg(F.min(F.col("k")).alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi or n > 1").select(F.col("h").alias("sh")), "shared")
     places = scratch.save(found.join(shared, F.col("h") == F.col("sh"), "left_semi").groupBy("k").agg(F.collect_list("at").alias("at")).withColumnRenamed("k", "pk"), "places")
     scratch.drop(found, shared)
     release(spark)
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(places, F.col("k") == F.col("pk")).select("k", "t", "at")
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(places.hint("shuffle_hash"), F.col("k") == F.col("pk")).select("k", "t", "at")
 
     def extend(batches):
         for b in batches:
             out = []
             for k, t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 h, _ = line_hashes(t)
-                whole = wordhash.runs(h, length)
-                check = wordhash.runs(h, length, wordhash.ODD2)
-                # both ways from each position: the runs that hold its gram
-                start = np.unique((np.asarray(at.values.to_numpy(), np.int64)[:, None] - np.arange(window)[None, :]).ravel())
-                start = start[(start >= 0) & (start < len(whole))]
-                out.append((whole[start].view(np.int64), check[start].view(np.int64), np.full(len(start), k, np.int64), start.astype(np.int32)))
+                first, lines = np.divmod(np.asarray(at.values.to_numpy(), np.int64), length)
+                for n in np.unique(lines + 1):
+                    start = np.unique(first[lines + 1 == n])
+                    whole = wordhash.runs(h, n)
+                    check = wordhash.runs(h, n, wordhash.ODD2)
+                    if n == length:
+                        # both ways from each position: the runs that hold its gram
+                        start = np.unique((start[:, None] - np.arange(window)[None, :]).ravel())
+                        start = start[(start >= 0) & (start < len(whole))]
+                    out.append((whole[start].view(np.int64), check[start].view(np.int64), np.full(len(start), k, np.int64), start * length + n - 1))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["h", "c", "k", "at"])
 
-    runs = scratch.save(rows.mapInArrow(extend, "h long, c long, k long, at int"), "runs")
+    runs = scratch.save(rows.mapInArrow(extend, "h long, c long, k long, at long"), "runs")
     first = runs.groupBy("h", "c").agg(F.min(F.col("k")).alias("k1"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = scratch.save(first.select(F.col("h").alias("fh"), F.col("c").alias("fc"), "k1"), "first")
     same = (F.col("h") == F.col("fh")) & (F.col("c") == F.col("fc"))
@@ -111,12 +125,12 @@ def repeats(spark: SparkSession, docs: DataFrame, key: str, text: str, gram: int
 
 
 def kept_lines(text: str, starts: np.ndarray, length: int) -> str | None:
-    """The text without the runs at `starts`; None if no line that isn't blank is left."""
+    """The text without the runs at `starts` (as in positions); None if no line that isn't blank is left."""
     lines = text.split("\n")
     places = np.array([i for i, x in enumerate(lines) if x.encode().strip()], np.int64)
     gone = np.zeros(len(places), bool)
     for s in starts:
-        gone[s : s + length] = True
+        gone[s // length : s // length + s % length + 1] = True
     if gone.all():
         return None
     drop = np.zeros(len(lines), bool)
@@ -128,15 +142,15 @@ def kept_lines(text: str, starts: np.ndarray, length: int) -> str | None:
     return "\n".join(x for x, d in zip(lines, drop, strict=True) if not d)
 
 
-def dedup(spark: SparkSession, docs: DataFrame, key: str, text: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, key: str, text: str, gram: int = GRAM, window: int = WINDOW, size: int = SIZE) -> DataFrame:
     """docs with repeated runs of lines deleted from the text, and without the documents that this empties."""
     length = gram + window - 1
     scratch = Scratch(spark, "lines")
     columns = docs.columns
     rest = [c for c in columns if c != text]
     own = "_" * (1 + max((len(c) for c in columns), default=0))  # longer than any name of the table
-    starts = repeats(spark, docs, key, text, gram, window, scratch).withColumnsRenamed({"k": f"{own}k", "at": f"{own}at"})
-    joined = docs.join(starts, F.col(key).cast("long") == F.col(f"{own}k"), "left").select(*[F.col(f"`{c}`") for c in rest], F.col(text).alias(f"{own}t"), f"{own}at")
+    starts = repeats(spark, docs, key, text, gram, window, size, scratch).withColumnsRenamed({"k": f"{own}k", "at": f"{own}at"})
+    joined = docs.join(starts.hint("shuffle_hash"), F.col(key).cast("long") == F.col(f"{own}k"), "left").select(*[F.col(f"`{c}`") for c in rest], F.col(text).alias(f"{own}t"), f"{own}at")
 
     def cut(batches):
         for b in batches:

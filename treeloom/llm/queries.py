@@ -64,7 +64,7 @@ def op7_qgram_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without later repeats of runs of three lines or more."""
+    """All documents without later repeats of runs of three lines, or of 13 words, or more."""
     docs = table(spark, sf_dir, "documents")
     return lines.dedup(spark, docs.select("doc_id", "text"), "doc_id", "text")
 
