@@ -92,6 +92,35 @@ def test_main_text(name):
     assert extract.main_text(page) == want
 
 
+LONG = "".join(f"<p>{prose(i, 40)}, and more.</p>" for i in range(20))
+SHORT = "<section><p>short closing paragraph</p></section>"
+WHOLE = {
+    "short section": (f"<div class=content><section>{LONG}</section>{SHORT}</div>", ["short closing paragraph"]),
+    "deeper": (f"<div><div><section>{LONG}</section></div><div>{SHORT}</div></div>", ["short closing paragraph"]),
+    "lists, tables, quotes and code": (f"<div><div>{LONG}</div><ul><li>one</ul><table><tr><td>cell</table><blockquote>said</blockquote><pre>x = 1</pre>bare</div>", ["one", "cell", "said", "x = 1", "bare"]),
+    "has": (f"<div class='content has-sidebar'>{LONG}</div>", []),
+    "with": (f"<div class='page-with-sidebar'>{LONG}</div><p>z</p>", ["z"]),
+    "open": (f"<div class='hentry comments-open'>{LONG}</div>", []),
+    "article inside": (f"<div id=sidebar-layout><article>{LONG}</article></div>", []),
+    "form around": (f"<form id=aspnetForm><div>{LONG}</div></form>", []),
+    "layout": (f"<div class=layout-sidebar-right><div>{LONG}</div></div>", []),
+}
+GONE = "<div class=menu-open><p>go, go, go</p></div><div><a href=/>Home page of it</a></div><div class='comments'><p>I agree, really</p></div><div hidden><p>not, seen</p></div>"
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_main_text_is_whole(name):
+    page, more = WHOLE[name]
+    want = [f"{prose(i, 40)}, and more." for i in range(20)] + more
+    assert extract.main_text(page).split("\n") == want
+    assert extract.main_text(f"<body>{page}{GONE}</body>").split("\n") == want
+
+
+def test_long_comments_go():
+    page = f"<div class=post><p>Brief, but all of it.</p></div><div class=comments>{LONG}</div>"
+    assert extract.main_text(page) == "Brief, but all of it."
+
+
 def test_extract_table(spark):
     rows = [(1, "u", PAGES["article"][0], "q"), (2, None, None, None), (2, None, None, None), (3, "v", "<p>" + "word, " * 50_000 + "</p>", "x"), (4, "d", "<div>" * 5000 + "deep, deep, text" + "</div>" * 5000, "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

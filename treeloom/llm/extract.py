@@ -1,9 +1,12 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of its containers. Each paragraph passes points for its length and its commas to
-its ancestors, fewer the further up; a container's points are discounted by its link density. The best
-container and those of its siblings that score well are kept, without the parts in them that are
-menus, headers, footers, sidebars, notices, adverts, forms, scripts or reader comments.
+its ancestors, fewer the further up; a container's points are discounted by its link density. The article
+around the best container is kept with those of its siblings that score well; without an article, the best
+container and all that stands beside it and beside its ancestors, whatever its length, unless it consists of
+links. Parts that are menus, headers, footers, sidebars, notices, adverts, forms, scripts or reader comments
+go. Names of states (has-sidebar, comments-open beside entry) mark no such part, nor is a container one that
+holds an article, or nearly all of the page's text.
 
 Defined cases: a null or empty page, or one without text, gives the empty text; broken markup is read
 leniently (unclosed and stray tags, tags in scripts and comments); pages of any length are read whole;
@@ -42,18 +45,43 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 WORD = re.compile(r"[a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-#: Siblings of the best container are kept from this part of its score, and from this many points.
+#: Behind these words a name says what a container has or lacks, before those how it is.
+HAVING = frozenset("has have no not with without".split())
+STATES = frozenset("open opened closed enabled disabled on off active inactive visible".split())
+READERS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+
+#: Siblings of an article are kept from this part of its score, and from this many points.
 SIBLING_SHARE, SIBLING_LEAST = 0.2, 10.0
+#: Others are kept up to this part of links.
+MOST_LINKS = 0.25
+#: A container isn't a side part if all that stands outside of such parts is shorter than this part of it.
+OUTSIDE = 0.1
 
 
 class Node:
     """A container: its children in order are nodes and strings; `links` counts characters in links."""
 
-    __slots__ = ("tag", "parent", "children", "negative", "positive", "points", "chars", "links")
+    __slots__ = ("tag", "parent", "children", "negative", "positive", "points", "chars", "links", "whole")
 
     def __init__(self, tag: str, parent: Node | None, negative: bool = False, positive: bool = False):
         self.tag, self.parent, self.children, self.negative, self.positive = tag, parent, [], negative, positive
-        self.points, self.chars, self.links = 0.0, 0, 0
+        self.points, self.chars, self.links, self.whole = 0.0, 0, 0, False
+
+
+def named(value: str) -> set[str]:
+    """The words of class and id names that say what a container is."""
+    names = [WORD.findall(CAMEL.sub(" ", x).lower()) for x in value.split()]
+    names = [w[: next((i for i, x in enumerate(w) if x in HAVING), len(w))] for w in names]
+    plain = {x for w in names if w and w[-1] not in STATES for x in w}
+    return plain if plain & POSITIVE else {x for w in names for x in w}
+
+
+def wraps(tag: str, attributes: str) -> bool:
+    """Whether a container marked negative is so by its name or as a form, so that it may wrap the article all the same."""
+    given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
+    hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
+    words = named(given.get("class", "") + " " + given.get("id", ""))
+    return not hidden and (tag == "form" or tag not in DROPPED and tag != "header" and given.get("role", "").lower() not in SIDE_ROLES - {"form"}) and not words & READERS
 
 
 def marks(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
@@ -62,17 +90,18 @@ def marks(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
         return True, False
     if not attributes.strip():
         return False, tag in ("article", "main")
-    words: set[str] = set()
+    names, words = "", set()
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            words.update(WORD.findall(CAMEL.sub(" ", value).lower()))
+            names += " " + value
         elif name == "role" and value.lower() in SIDE_ROLES:
             return True, False
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
             return True, False
         elif name == "role" and value.lower() in ("main", "article"):
             words.add("article")
+    words |= named(names)
     good = bool(words & POSITIVE) or tag in ("article", "main")
     bad = bool(words & NEGATIVE) and tag not in ("article", "main", "body", "html")
     if bad and inside_article and words & {"header", "body", "content"} and not words & (NEGATIVE - {"header"}):
@@ -149,6 +178,7 @@ def parse(page: str) -> Node:
         at = stack[-1]
         bad, good = marks(tag, m[3], articles > 0)
         node = Node(tag, at, bad, good)
+        node.whole = bad and wraps(tag, m[3])
         at.children.append(node)
         stack.append(node)
         at = node
@@ -174,8 +204,33 @@ def order_of(root: Node) -> list[Node]:
     return out
 
 
+def unwrap(root: Node) -> None:
+    """Containers that hold an article, or nearly all of the page's text, are no side parts whatever their name."""
+    nodes, todo = [], [(root, False)]
+    while todo:
+        node, fixed = todo.pop()
+        fixed = fixed or node.negative and not node.whole
+        if not fixed:
+            nodes.append(node)
+            todo.extend((x, fixed) for x in reversed(node.children) if not isinstance(x, str))
+    if not any(x.negative for x in nodes):
+        return
+    inner, held = dict.fromkeys(map(id, nodes), 0), set()
+    for node in reversed(nodes):
+        inner[id(node)] += max(0, len(own_text(node)) - node.links)
+        if node.parent is not None:
+            inner[id(node.parent)] += inner[id(node)]
+            if node.tag in ("article", "main") or id(node) in held:
+                held.add(id(node.parent))
+    outside = sum(max(0, len(own_text(x)) - x.links) for x in order_of(root))
+    for node in nodes:
+        if node.negative and (id(node) in held or outside < OUTSIDE * inner[id(node)] and 2 * inner[id(node)] > inner[id(root)]):
+            node.negative = False
+
+
 def score(root: Node) -> list[Node]:
     """Give points; returns the kept containers."""
+    unwrap(root)
     nodes = order_of(root)
     for node in nodes:
         text = own_text(node)
@@ -250,6 +305,8 @@ def main_text(page: str | None) -> str:
         best = up
     elif best.tag in PARAGRAPH and best.parent is not None:
         best = best.parent
+    if up is None:
+        return "\n".join(beside(best))
     if best.parent is None:
         return "\n".join(blocks(best))
     least = max(SIBLING_LEAST, SIBLING_SHARE * best.points)
@@ -259,11 +316,27 @@ def main_text(page: str | None) -> str:
             kept += blocks(best)
         elif isinstance(x, Node) and not x.negative and x.tag not in ("header",):
             density = x.links / max(1, x.chars)
-            if x.points >= least and density < 0.25 or x.tag == "p" and x.chars > 80 and density < 0.25 or x.tag in HEADINGS and best.tag not in ("article", "main") and x.chars and density < 0.25:
+            if x.points >= least and density < MOST_LINKS or x.tag == "p" and x.chars > 80 and density < MOST_LINKS:
                 kept += blocks(x)
     return "\n".join(kept)
 
 
+def beside(best: Node) -> list[str]:
+    """The blocks of the page without side parts and without what consists of links beside a container and its ancestors."""
+    at = best
+    while at.parent is not None:
+        up = at.parent
+        inner = [x for x in up.children if not isinstance(x, str) and not x.negative]
+        own, links = up.chars - sum(x.chars for x in inner), up.links - sum(x.links for x in inner)
+        if links >= MOST_LINKS * max(1, own):
+            up.children = [x if not isinstance(x, str) else " " for x in up.children]
+        for x in inner:
+            if x is not at and x.links >= MOST_LINKS * max(1, x.chars):
+                x.negative = True
+        at = up
+    return blocks(at)
+
+
 def extract(pages: DataFrame, page: str, out: str = "text") -> DataFrame:
     """Add `out`, the main text of each row's page; other columns pass through."""
     small_batches(pages.sparkSession)
