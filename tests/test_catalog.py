@@ -1,8 +1,11 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import hashlib
+
 import duckdb
 import pytest
 
+from treeloom.plans import catalog
 from treeloom.plans.catalog import QUERIES
 from treeloom.plans.sql import SQL
 
@@ -35,5 +38,17 @@ def test_query(spark, tables, name):
     assert got == rows([c[0] for c in want.description], want.fetchall())
 
 
+def test_records_and_packs_hold_whole_documents(spark, tmp_path, monkeypatch):
+    texts = [None, "", "é", "short text", "same", "same", "word " * 40_000, "".join(chr(33 + i * i % 90) for i in range(30_000))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    raw = [(t or "").encode() for t in texts]
+    got = QUERIES["record_roundtrip"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["ulen"], r["same"]) for r in got) == [(i, len(x), True) for i, x in enumerate(raw)]
+    for most in (4 << 20, 100):  # in one pack and in many
+        monkeypatch.setattr(catalog, "PACK_BYTES", most)
+        got = QUERIES["pack_stream"](spark, str(tmp_path)).collect()
+        assert sorted((r["ulen"], r["sha"], r["error"]) for r in got) == sorted((len(x), hashlib.sha256(x).hexdigest(), None) for x in raw)
+
+
 def test_slow_queries_are_registered():
     assert set(SQL) >= SLOW

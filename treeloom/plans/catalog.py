@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from treeloom.functions import codec, display, keys, names
 from treeloom.operators import cdc, closure, dedup, figures, listing, refs, runs, segments
 from treeloom.plans import store
+from treeloom.scratch import small_batches
 from treeloom.sources import wirepack
 
 NOW = "2024-01-01 00:00:00"
 BITS = 3
 RATIO = 0.3
+PACK_BYTES = 4 << 20
 
 QUERIES: dict = {}
 
@@ -434,15 +436,15 @@ def record_roundtrip(spark, d):
     def read(batches):
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = (text or "").encode()
-                k, _ = codec.blob(data)
+            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
+            for doc, data, h in zip(b.column(0).to_pylist(), texts, codec.blake3_many(texts), strict=True):
+                k, _ = codec.blob(data, lambda _, h=h: h)
                 r = codec.parse_record(codec.encode_record(k, data))
                 rows.append((doc, r.flags, r.ulen, codec.payload(r) == data))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], names=["doc_id", "flags", "ulen", "same"])
 
-    short = store.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return short.mapInArrow(read, "doc_id long, flags int, ulen long, same boolean")
+    small_batches(spark)
+    return store.table(spark, d, "documents").select("doc_id", "text").mapInArrow(read, "doc_id long, flags int, ulen long, same boolean")
 
 
 @query
@@ -466,10 +468,11 @@ def cdc_chunks(spark, d):
 
 @query
 def pack_stream(spark, d):
-    """Benchmark items written as wire packs, one a partition, and read again."""
-    size = F.octet_length("text").cast("long")
-    objects = store.table(spark, d, "benchmark").select(keys.key(keys.BLOB, size, keys.digest(F.col("text"))).alias("key"), F.col("text").cast("binary").alias("payload"))
-    packs = wirepack.packed(objects).select(F.lit("stream").alias("path"), "content")
+    """Documents written as wire packs of bounded size and read again."""
+    small_batches(spark)
+    text = F.coalesce("text", F.lit(""))
+    objects = store.table(spark, d, "documents").select(keys.key(keys.BLOB, F.octet_length(text).cast("long"), keys.digest(text)).alias("key"), text.cast("binary").alias("payload"))
+    packs = wirepack.packed(objects, most=PACK_BYTES).select(F.lit("stream").alias("path"), "content")
     return hexed(wirepack.parse(packs).select("key", "ulen", F.sha2("payload", 256).alias("sha"), "error"), "key")
 
 

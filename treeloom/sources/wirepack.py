@@ -42,12 +42,26 @@ def read(spark: SparkSession, path: str, magic: bytes = codec.PACK_MAGIC, decode
     return parse(spark.read.format("binaryFile").load(path), magic, decode)
 
 
-def packed(objects: DataFrame, magic: bytes = codec.PACK_MAGIC) -> DataFrame:
-    """One pack a partition of objects (key, payload): content and the number of its objects. An empty partition is an empty pack."""
+def packed(objects: DataFrame, magic: bytes = codec.PACK_MAGIC, most: int | None = None) -> DataFrame:
+    """One pack a partition of objects (key, payload): content and the number of its objects. An empty partition is an empty pack.
+
+    With `most`, a partition begins another pack where one would exceed so many bytes of records."""
 
     def write(batches):
-        records = [codec.encode_record(k, d) for b in batches for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([codec.write_pack(records, magic)], pa.binary()), pa.array([len(records)], pa.int64())], names=["content", "objects"])
+        records, held = [], 0
+
+        def pack():
+            return pa.RecordBatch.from_arrays([pa.array([codec.write_pack(records, magic)], pa.binary()), pa.array([len(records)], pa.int64())], names=["content", "objects"])
+
+        for b in batches:
+            for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                r = codec.encode_record(k, d)
+                if most is not None and records and held + len(r) > most:
+                    yield pack()
+                    records, held = [], 0
+                records.append(r)
+                held += len(r)
+        yield pack()
 
     return objects.select("key", "payload").mapInArrow(write, "content binary, objects long")
 
