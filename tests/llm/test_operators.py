@@ -265,6 +265,17 @@ def test_packing_round_trip(spark, documents):
     assert pack.pack(documents([]), "doc_id", "text", path, 2).count() == 0
 
 
+def test_every_code_point_is_tokenized_as_the_tokenizer_does():
+    path = queries.tokenizer_path()
+    w = pack.WordIds(path)
+    code_points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and not 0xE0000 <= c and not 0x30000 <= c < 0xE0000]
+    for i in range(0, len(code_points), 20_000):
+        texts = [f"a{chr(c)}b{chr(c)}. {chr(c)};, {chr(c)}" for c in code_points[i : i + 20_000]]
+        want = w.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        got = w.ids(texts)
+        assert [hex(code_points[i + j]) for j in range(len(texts)) if got[j].tolist() != want[j].ids] == []
+
+
 def test_lengths():
     assert pack.lengths(9000, 4096) == [4096, 4096, 512, 256, 32, 8] and pack.lengths(1, 4096) == [1] and pack.lengths(4096, 4096) == [4096]
 

@@ -15,6 +15,7 @@ empty table.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -32,6 +33,11 @@ TEXTS = 256
 BATCH_IDS = 1_000_000
 
 
+def only_letters(word: str) -> bool:
+    """Whether the tokenizer sees nothing but letters: some become a letter and a mark as it composes and lowers them."""
+    return word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha()
+
+
 class WordIds:
     """Ids of texts by a tokenizer that never joins across ASCII white space: each distinct word is encoded once.
 
@@ -61,7 +67,7 @@ class WordIds:
 
     def parts(self, word: bytes) -> tuple[bytes, bytes | None]:
         core = word.rstrip(self.TAIL)
-        if core and core.decode().isalpha():
+        if core and (core.isalpha() or only_letters(core.decode())):
             tail = word[len(core) :] or None
             return (core.lower() if core.isascii() else core), tail
         return word, None

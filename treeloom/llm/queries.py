@@ -48,7 +48,7 @@ def op4_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents; the digest needs no ids beside their checksum."""
     docs = table(spark, sf_dir, "documents")
-    return pack.pack(docs, "doc_id", "text", tokenizer_path(), END_ID, LONGEST, ids=False).drop("ids", "bucket")
+    return pack.pack(docs, "doc_id", "text", tokenizer_path(), END_ID, LONGEST, ids=False).drop("ids")
 
 
 def op6_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
