@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.llm import wordhash
+from treeloom.llm.idfilter import FILTER_BITS, id_filter, passing
 from treeloom.llm.scratch import Scratch, release
 
 HASHES, BAND = 128, 4
@@ -42,8 +43,6 @@ BLOCK = 1024
 CHUNK = 1 << 15
 #: Rows whose sets are held at once.
 ROWS = 512
-#: Cells of the filter by which documents are read again: one bit each.
-FILTER_BITS = 26
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -164,45 +163,6 @@ def probable(pairs: DataFrame, signed: DataFrame, percent: int, miss: float) ->
     return pairs.where(sizes_fit("n_a", "n_b", percent)).select("a", "b", *rest, "sig_a", "sig_b").mapInArrow(read, kinds)
 
 
-def id_filter(spark: SparkSession, ids: DataFrame, bits: int = FILTER_BITS):
-    """A broadcast of 2**bits bits: set for each id (column k), and for few others."""
-    low_bits = min(16, bits)
-
-    def mark(batches):
-        for b in batches:
-            if b.num_rows:
-                at = np.unique(filter_cells(b.column(0).to_numpy(zero_copy_only=False), bits))
-                block = at >> low_bits
-                first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-                low = (at & ((1 << low_bits) - 1)).astype("<u2")
-                parts = [low[i:j].tobytes() for i, j in zip(first, np.r_[first[1:], len(at)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(block[first].astype(np.int32)), pa.array(parts, pa.binary())], names=["block", "cells"])
-
-    def merge(batches):
-        at, dense = None, None
-        for b in batches:
-            for block, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if block != at:
-                    if at is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(dense).tobytes()], pa.binary())], names=["block", "cells"])
-                    at, dense = block, np.zeros(1 << low_bits, bool)
-                dense[np.frombuffer(part, "<u2")] = True
-        if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(dense).tobytes()], pa.binary())], names=["block", "cells"])
-
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    size = (1 << low_bits) // 8
-    merged = ids.select("k").mapInArrow(mark, "block int, cells binary").repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, cells binary")
-    for b in merged.toArrow().to_batches():  # a bit a cell: 8 MB
-        for block, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            out[block * size : (block + 1) * size] = np.frombuffer(part, np.uint8)
-    return spark.sparkContext.broadcast(out)
-
-
-def filter_cells(ids: np.ndarray, bits: int) -> np.ndarray:
-    return (wordhash.mix(ids.astype(np.int64).view(np.uint64) * wordhash.ODD) >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def texts_of(spark: SparkSession, docs: DataFrame, key: str, text: str, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """k and t of the wanted documents; a filter of a fixed size spares the others the shuffle."""
     sent = id_filter(spark, ids, bits)
@@ -211,8 +171,7 @@ def texts_of(spark: SparkSession, docs: DataFrame, key: str, text: str, ids: Dat
         for b in batches:
             k = b.column(0).to_numpy(zero_copy_only=False)
             if len(k):
-                at = filter_cells(k, bits)
-                yield b.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+                yield b.filter(pa.array(passing(sent, k, bits)))
 
     some = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k is not null").mapInArrow(read, "k long, t string")
 
