@@ -4,8 +4,9 @@ Every document starts in a shard of its own hash. In each round a join brings th
 documents to a document; it wants the shard that most of them are in. Documents whose id is smaller
 than all they are linked with are anchors. They and the others never move in the same round, so labels
 flow outward and don't swap; an anchor moves only where its followers weren't let in. A shard takes no
-more than its quota has room for: applicants are ranked by how much they gain and by whom they follow, and
-those beyond the quota stay and ask again in the next round.
+more than its quota has room for: applicants are ranked by how much they gain and by whom they follow. As many
+as want to go from one shard to another as from there to here change places; the others are let in while
+there is room, and those beyond it stay and ask again in the next round.
 
 At the end the least attached documents beyond a quota and all documents without links fill the
 shards up, so that under the law `rows` counts differ by one at most.
@@ -13,8 +14,9 @@ shards up, so that under the law `rows` counts differ by one at most.
 Links must have a bounded degree: link_groups() joins equal documents by a tree of hubs, not by all
 pairs or one star.
 
-Defined cases: a null text is the empty text; ids are taken as unique, and null ids have no links;
-no links leave an even deal by hash; an empty table gives an empty table. Other columns are ignored.
+Defined cases: digest() takes a null text as the empty text, and numbers rows, so that repeated rows and
+null ids are rows like others; shard() takes ids that are unique, and null ids have no links; no links
+leave an even deal by hash; an empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,15 +70,23 @@ def shard(spark: SparkSession, docs: DataFrame, links: DataFrame, key: str, shar
         moving = wish.where((F.col("want") != F.col("shard")) & (F.col("n") > F.col("kept")) & ((F.col("least") > F.col("_id")) if anchors else (F.col("least") < F.col("_id"))))
         held = wish.groupBy("shard").agg(F.count(F.lit(1)).alias("held"))
         gain = F.least(F.col("n") - F.col("kept"), F.lit(3)).cast("int")
-        asking = rank(moving.select("_id", "want", gain.alias("gain"), "least"), ["want"], [-F.col("gain")], F.col("least"), "place", then=F.col("_id"))
+        asking = rank(moving.select("_id", "shard", "want", gain.alias("gain"), "least"), ["shard", "want"], [-F.col("gain")], F.col("least"), "pair", then=F.col("_id"))
+        asking = scratch.save(asking, "asking")
+        # as many as want to go the other way change places, whatever room there is
+        way = asking.groupBy("shard", "want").agg(F.count(F.lit(1)).alias("n"))
+        back = way.select(F.col("want").alias("shard"), F.col("shard").alias("want"), F.col("n").alias("back"))
+        change = way.join(back, ["shard", "want"]).select("shard", "want", F.least("n", "back").alias("change"))  # a row two shards at most
+        judged = asking.join(F.broadcast(change), ["shard", "want"], "left").withColumn("swaps", F.col("pair") < F.coalesce("change", F.lit(0)))
+        queue = rank(judged.where("not swaps").select("_id", "want", "gain", "least"), ["want"], [-F.col("gain")], F.col("least"), "place", then=F.col("_id"))
         room = quotas.join(held.withColumnRenamed("shard", "want"), "want", "left").select("want", (F.col("quota") - F.coalesce("held", F.lit(0))).alias("room"))
-        granted = asking.join(F.broadcast(room), "want").where(F.col("place") < F.col("room")).select("_id", F.col("want").alias("to"))
+        let_in = queue.join(F.broadcast(room), "want").where(F.col("place") < F.col("room")).select("_id", F.col("want").alias("to"))
+        granted = judged.where("swaps").select("_id", F.col("want").alias("to")).unionByName(let_in)
         alone = F.col("to").isNull() & (F.col("kept") == 0) & (F.col("want") != F.col("shard"))
         moved = wish.join(granted, "_id", "left").select(
             "_id", F.coalesce("to", "shard").alias("shard"), F.when(F.col("to").isNull(), F.col("kept")).otherwise(F.col("n")).alias("kept"), F.when(alone, F.col("want")).alias("denied"), F.least("least", "_id").alias("hub")
         )
         before, labels = labels, scratch.save(moved, "labels")
-        scratch.drop(before, wish)
+        scratch.drop(before, wish, asking)
     return settle(spark, scratch, ids, labels, quota)
 
 
@@ -100,10 +110,14 @@ def settle(spark: SparkSession, scratch: Scratch, ids: DataFrame, labels: DataFr
 
 
 def digest(spark: SparkSession, docs: DataFrame, shards: int) -> DataFrame:
-    """The shards of documents whose equal texts are linked, under the law of rows."""
+    """The shards of rows whose equal texts are linked, under the law of rows.
+
+    Rows are numbered when they are written down once; shards are dealt to these numbers, so rows that
+    repeat or have no id have a shard and a slot each."""
     content = F.coalesce("text", F.lit(""))
     scratch = Scratch(spark, "sharded")
-    narrow = scratch.save(docs.select("doc_id", (F.octet_length(content) + 1).cast("long").alias("size"), F.crc32(content.cast("binary")).alias("text_crc32"), F.unhex(F.md5(content.cast("binary"))).alias("group")), "narrow")
-    placed = shard(spark, narrow, link_groups(narrow, "doc_id", "group"), "doc_id", shards)
-    out = narrow.drop("group").join(placed.withColumnRenamed("_id", "doc_id"), "doc_id")
+    narrow = docs.select("doc_id", (F.octet_length(content) + 1).cast("long").alias("size"), F.crc32(content.cast("binary")).alias("text_crc32"), F.unhex(F.md5(content.cast("binary"))).alias("group"))
+    narrow = scratch.save(narrow.withColumn("row", F.monotonically_increasing_id()), "narrow")
+    placed = shard(spark, narrow, link_groups(narrow, "row", "group"), "row", shards)
+    out = narrow.drop("group").join(placed.withColumnRenamed("_id", "row"), "row")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
