@@ -5,6 +5,8 @@ table of (blob, rules) pairs that have been scanned, with what was found. A scan
 that the ledger lacks, appends them, and joins all findings of the wanted rule versions back to every
 path that holds the blob.
 
+A pair that two scans store at once, or one scan twice after a failure, counts once.
+
 Defined cases: a null text is the empty text; a version without findings has an empty array; rows
 that repeat are kept as often as they occur; an empty table gives an empty table; null paths stay
 null. Other columns of the input are passed through only as `keys` names them.
@@ -29,6 +31,10 @@ RULES: dict[str, tuple[str, bool, int, int]] = {
     "hex": (r"[0-9a-f]+", False, 0, 16),
     "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", False, 0, 1),
     "github": (r"gh[pousr]_[A-Za-z0-9]+", False, 0, 40),
+    "google": (r"AIza[A-Za-z0-9_-]+", False, 0, 39),
+    "slack": (r"xox[abprs]-[A-Za-z0-9-]+", False, 0, 24),
+    "stripe": (r"[rs]k_live_[A-Za-z0-9]+", False, 0, 32),
+    "jwt": (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", False, 0, 40),
 }
 FOUND = "array<struct<kind:string,start:int,end:int>>"
 
@@ -109,7 +115,8 @@ def scan(spark: SparkSession, versions: DataFrame, keys: list[str], text: str, l
 
     fresh = texts.mapInArrow(look, f"blob binary, found {FOUND}").withColumn("rules", F.lit(version))
     fresh.select("blob", "rules", "found").write.mode("append").parquet(ledger)
-    known = ledger_frame(spark, ledger).where(F.col("rules") == version).where(F.size("found") > 0)
+    # a scan that ran twice, or beside another, may have stored a pair twice: both hold the same
+    known = ledger_frame(spark, ledger).where(F.col("rules") == version).where(F.size("found") > 0).dropDuplicates(["blob"])
     return join_back(addressed.drop("_text"), known, keys)
 
 
