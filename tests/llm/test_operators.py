@@ -55,6 +55,47 @@ def test_shards(spark, documents):
     assert shards.digest(spark, documents([]), 8).count() == 0
 
 
+def test_shards_of_repeated_and_null_ids(spark, documents):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, None), (3, "a"), (3, "a")] + [(None, "e")] * 5
+    out = shards.digest(spark, documents(rows), 4).toPandas()
+    assert Counter((None if math.isnan(k) else int(k), c) for k, c in zip(out.doc_id, out.text_crc32, strict=True)) == Counter((k, zlib.crc32((t or "").encode())) for k, t in rows)
+    counts = out.groupby("shard").size()
+    assert counts.sum() == len(rows) and counts.max() - counts.min() <= 1
+    assert all(sorted(s.slot) == list(range(len(s))) for _, s in out.groupby("shard"))
+
+
+def cut(links, shard):
+    return sum(shard[a] != shard[b] for a, b in links)
+
+
+def test_propagation_cuts_few_edges(spark):
+    """Against the even deal by hash and the best balanced placement by brute force over whole clusters."""
+    r = random.Random(7)
+    links, shard_size, n = [], 16, 64
+    clusters = [list(range(i, i + 8)) for i in range(0, n, 8)]
+    for c in clusters:
+        links += [(a, b) for i, a in enumerate(c) for b in c[i + 1 :] if r.random() < 0.6]
+    for a, b in zip(clusters[::2], clusters[1::2], strict=True):  # pairs of clusters that belong in one shard
+        links += [(r.choice(a), r.choice(b)) for _ in range(2)]
+    docs = spark.range(n).withColumnRenamed("id", "doc_id")
+    edges = spark.createDataFrame(links, "a long, b long")
+    placed = {x["_id"]: x["shard"] for x in shards.shard(spark, docs, edges, "doc_id", n // shard_size, rounds=10).collect()}
+    assert Counter(placed.values()) == dict.fromkeys(range(4), shard_size)
+    by_hash = {i: i % 4 for i in range(n)}
+    best = min(cut(links, {i: s for s, pair in enumerate(order) for c in pair for i in clusters[c]}) for order in pairings(list(range(8))))
+    assert best == 0 and cut(links, placed) < 0.5 * cut(links, by_hash)
+
+
+def pairings(left):
+    """All ways to put clusters into shards of two."""
+    if not left:
+        yield []
+        return
+    for j in range(1, len(left)):
+        for rest in pairings(left[1:j] + left[j + 1 :]):
+            yield [(left[0], left[j]), *rest]
+
+
 def test_links_are_trees_of_bounded_degree(spark, documents):
     d = documents(["a"] * 300 + ["b"] * 2 + ["c"]).withColumnRenamed("text", "g")
     pairs = [tuple(r) for r in shards.link_groups(d, "doc_id", "g", hubs=16).collect()]
@@ -174,6 +215,25 @@ def test_ledger(spark, documents, tmp_path):
     assert blob_ledger.scan(spark, documents([]), ["doc_id"], "text", ledger).count() == 0
 
 
+def test_ledger_pairs_stored_twice_count_once(spark, documents, tmp_path):
+    ledger = f"file://{tmp_path}/twice"
+    docs = documents(SECRETS)
+    blob_ledger.scan(spark, docs, ["doc_id"], "text", ledger).count()
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger)  # as two scans at once do
+    out = blob_ledger.digest(blob_ledger.scan(spark, docs, ["doc_id"], "text", ledger), "doc_id").collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(len(SECRETS)))
+    assert all(r["base_sha256"] == base(SECRETS[r["doc_id"]])[1] for r in out)
+
+
+def test_ledger_rules():
+    scanners = blob_ledger.compiled(blob_ledger.RULES)
+    secrets = {"github": "ghp_" + "a1B2" * 9, "google": "AIza" + "x_-9Z" * 7, "slack": "xoxb-123456789012-abcdefghij", "stripe": "sk_live_" + "4e" * 12, "jwt": "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NSJ9.c2lnbmF0dXJl", "pem": "-----BEGIN EC PRIVATE KEY-----"}
+    for kind, secret in secrets.items():
+        text = f"é {secret} end"
+        assert (kind, 2, 2 + len(secret)) in {(x["kind"], x["start"], x["end"]) for x in blob_ledger.spans_of(text, scanners)}
+        assert not [x for x in blob_ledger.spans_of(f"{secret[:7]} end", scanners) if x["kind"] == kind]
+
+
 def test_ledger_keeps_repeated_rows_and_versions(spark, tmp_path):
     df = spark.createDataFrame([("p", 1, "token=aaaaaaaaaaaaaaaa"), ("p", 1, "token=aaaaaaaaaaaaaaaa"), ("p", 2, None), (None, 1, "x")], "path string, version long, text string")
     out = blob_ledger.scan(spark, df, ["path", "version"], "text", f"file://{tmp_path}/l2")
@@ -224,6 +284,18 @@ def test_repeated_and_null_ids(spark, documents):
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in out) == [("5", "5"), ("5", "5"), ("9", "5"), ("None", "None")]
 
 
+def test_keep_one(spark, documents):
+    text, names = prose(1, 200), ["_own", "_linked", "k", "c", "___________"]
+    rows = [(1, text), (2, "x " + text.split(" ", 1)[1]), (3, text), (4, prose(2, 100)), (5, None), (6, ""), (4, prose(2, 100)), (None, text), (None, "y"), (None, "y")]
+    docs = documents(rows, names)
+    out = near_dup.keep_one(spark, docs, "doc_id", "text")
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "4", "5", "6", "None", "None", "None"]
+    assert all(r[n] == (None if r["doc_id"] is None else str(r["doc_id"])) for r in got for n in names)
+    assert near_dup.keep_one(spark, documents([]), "doc_id", "text").count() == 0
+
+
 def test_tiles_of_large_buckets_find_what_small_ones_do(spark, monkeypatch, documents):
     texts = [edited(prose(1, 80), i, 0.045) for i in range(60)]
     monkeypatch.setattr(near_dup, "BLOCK", 7)
@@ -338,19 +410,43 @@ def test_bands_and_alignment_miss_nothing():
             i = r.randrange(len(s))
             s[i : i + 1] = r.choice([[], ["x"], [s[i], "y"]])
         text = "qq ww " * r.randint(0, 4) + "".join(s) + " ee rr" * r.randint(0, 4)
-        parts = decontam.Parts([(1, item)], part=10_000)
-        if parts.item:
-            edits = distance(decontam.normal(item.strip())[0], decontam.normal(text)[0])
+        plain = decontam.normal(text)[0]
+        for part in (10_000, decontam.PART, 50):
+            parts = decontam.Parts([(1, item)], part=part)
+            edits = [distance(x, plain) for x in parts.chars]
             found = decontam.find(text, parts)
-            assert bool(found) == (edits <= parts.k[0])
-            assert not found or found[0][1] == edits
+            assert bool(found) == any(e <= k for e, k in zip(edits, parts.k, strict=True))
+            assert not found or found[0][1] == min(e for e, k in zip(edits, parts.k, strict=True) if e <= k)
+
+
+def test_excerpts_of_one_and_a_half_parts_hold_a_part():
+    item = "".join(random.Random(8).choice("abcdefghij klmnopqrst") for _ in range(1000)).strip()
+    parts = decontam.Parts([(1, item)])
+    assert len(parts.chars) > 10 and len({len(x) for x in parts.chars}) == 1
+    for i in range(0, len(item) - 240, 7):
+        assert decontam.find("zz " + item[i : i + 240] + " zz", parts)
+
+
+def test_short_items_occur_exactly_between_edges_of_words():
+    items = [(1, "What is the capital of France? Paris."), (2, "a cat"), (3, "x"), (4, " \n "), (5, "É"), (6, "a  CAT")]
+    parts = decontam.Parts(items)
+    texts = {
+        "Q: what is the  capital of\nFrance? PARIS. Next": {1}, "what is the capital of france? pari.": set(), "a cat": {2, 6}, "a cats": set(), "la cat": set(),
+        "(A CAT)": {2, 6}, "x": {3}, "xx ax": set(), "ax x": {3}, "éa é": {5}, "": set(), " ": set(), "a cats and a cat": {2, 6},
+    }
+    for text, want in texts.items():
+        low = " ".join(text.lower().split())
+        brute = {i for i, t in items if t.strip() and re.search(rf"(?<![^\W_]){re.escape(' '.join(t.lower().split()))}(?![^\W_])" if t.strip()[-1].isalnum() else rf"(?<![^\W_]){re.escape(' '.join(t.lower().split()))}", low)}
+        assert {h[0] for h in decontam.find(text, parts)} == want == brute, text
 
 
 def test_decontamination(spark, documents, monkeypatch):
     a, b = "The quick brown fox jumps over the lazy dog and runs far away home.", prose(1, 60)
     items = spark.createDataFrame([(1, a), (2, b), (3, None), (4, "short"), (5, "")], "item_id long, text string")
     texts = [None, "", "clean " * 30, "x " + a + " y", "x\n" + a.upper().replace(" ", "\n ") + "y", b, prose(2, 5000) + b + prose(3, 5000), a[:30], a.replace("quick", "quack")]
-    hits = {3: 1, 4: 1, 5: 2, 6: 2, 8: 1}
+    hits = {3: 1, 4: 1, 5: 2, 6: 2, 8: 1, 9: 4, 10: 4}
+    texts += ["cut it short.", "SHORT", "shorter", "a_short"]
+    hits[12] = 4
     for size in (1024, 1):  # in one block and in many
         monkeypatch.setattr(decontam, "BLOCK_ITEMS", size)
         docs = documents(texts, ["edits"])
@@ -360,6 +456,9 @@ def test_decontamination(spark, documents, monkeypatch):
         assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - set(hits)
     r = next(r for r in out if r["doc_id"] == 3)
     assert texts[3][r["start"] : r["end"]] == a and r["edits"] == 0
+    rows = [(1, a), (1, a), (None, a), (None, "clean"), (2, "clean"), (2, "clean")]
+    assert sorted(str(x["doc_id"]) for x in decontam.contained(spark, documents(rows), items, "doc_id", "text", "item_id", "text").collect()) == ["1", "1", "None"]
+    assert sorted(str(x["doc_id"]) for x in decontam.clean(spark, documents(rows), items, "doc_id", "text", "item_id", "text").collect()) == ["2", "2", "None"]
     assert decontam.contained(spark, documents([]), items, "doc_id", "text", "item_id", "text").count() == 0
     assert decontam.contained(spark, docs, items.limit(0), "doc_id", "text", "item_id", "text").count() == 0
     assert decontam.clean(spark, docs, items.limit(0), "doc_id", "text", "item_id", "text").count() == len(texts)
@@ -497,3 +596,55 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(spark, few, few.where("vec_id = 0"), "vec_id", "embedding", 5).count() == 2
     assert topk.top_k(spark, few.limit(0), few, "vec_id", "embedding", 5).count() == 0
     assert topk.top_k(spark, few, few.limit(0), "vec_id", "embedding", 5).count() == 0
+
+
+def by_brute_force(rows, k, scale=256):
+    """{query: [(id, score)]} for ids divisible by 50; vectors meet their own length only."""
+    v = [(i, [min(max(math.floor(scale * x), -(2**63)), 2**63 - 1) for x in e]) for i, e in rows if i is not None]
+    out = {}
+    for q, a in v:
+        if q % 50 == 0:
+            every = sorted((-min(max(sum(x * y for x, y in zip(a, b, strict=True)), -(2**63)), 2**63 - 1), i) for i, b in v if i != q and len(a) == len(b))
+            out[q] = [(i, -s) for s, i in every[:k]]
+    return {q: x for q, x in out.items() if x}
+
+
+def answers(df, k):
+    got = {}
+    for x in sorted(topk.top_k(df.sparkSession, df, df.where("vec_id % 50 = 0"), "vec_id", "v", k).collect(), key=lambda x: (x["query_id"], x["rank"])):
+        got.setdefault(x["query_id"], []).append((x["vec_id"], x["score"]))
+    return got
+
+
+def test_top_k_of_several_lengths_and_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "FIRST_BLOCK", 8)
+    monkeypatch.setattr(topk, "LIST_BLOCK", 32)
+    r = np.random.default_rng(5)
+    two = [(i, [float(x) for x in r.normal(0, 1, 2 if i % 3 else 1)]) for i in range(200)] + [(None, [1.0, 2.0])]
+    huge = [(1000 + i, [float(x) for x in r.normal(0, 1e8, 5)]) for i in range(120)]
+    beyond = [(2000 + i, [float(x) for x in r.normal(0, 3e15, 7)]) for i in range(60)]
+    same = [(3000 + i, [1e8 + 1, 1.0 + i % 2 / 256, 1e-3, 0.0]) for i in range(60)]  # sums that differ in the last bit
+    rows = two + huge + beyond + same
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, v array<double>, score int").repartition(3)
+    assert answers(df, 5) == by_brute_force(rows, 5)
+    assert answers(df.where("vec_id in (0, 1, 2, 3)"), 5) == by_brute_force([x for x in rows if x[0] in (0, 1, 2, 3)], 5)
+
+
+def test_reading_stops_before_the_lists_end():
+    """On vectors with few large components most lists are left unread, and results are those of full products."""
+    r = np.random.default_rng(6)
+    x = np.floor(256 * r.standard_t(1.5, (4096, 16))).astype(np.int64)
+    lists, q = topk.Lists(np.arange(4096), x), x[:40]
+    score = q @ x.T
+    score[np.arange(40), np.arange(40)] = -(1 << 62)
+    floor = np.sort(score, axis=1)[:, -5].astype(float)
+    depths = []
+    for i in range(40):
+        at = topk.read_on(lists, q[i].astype(float), np.flatnonzero(np.arange(4096) != i), 64, 5, floor[i], 0.0)
+        assert set(np.argsort(-score[i], kind="stable")[:5]) <= set(at.tolist())
+        depths.append(len(at))
+    assert np.median(depths) <= 8
+    qs, ids, s = topk.best(lists, q, np.arange(40), 5, np.full(40, -np.inf))
+    for i in range(40):
+        want = sorted((-int(score[i, j]), j) for j in range(4096) if j != i)[:5]
+        assert sorted((-int(b), int(a)) for a, b in zip(ids[qs == i], s[qs == i], strict=True)) == want

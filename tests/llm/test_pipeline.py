@@ -20,7 +20,7 @@ def test_stages_and_registration():
 
 def test_stages_on_planted_cases(spark, documents, tmp_path):
     text = prose(1, 200)
-    docs = documents([(1, text), (2, "x " + text.split(" ", 1)[1]), (3, text), (4, prose(2, 100)), (5, None), (6, ""), (4, prose(2, 100)), (None, text), (None, "y")], ["score", "k"])
+    docs = documents([(1, text), (2, "x " + text.split(" ", 1)[1]), (3, text), (4, prose(2, 100)), (5, None), (6, ""), (4, prose(2, 100)), (None, text), (None, "y")], ["score", "k", "_own", "_linked", "t", "at", "_id", "__________"])
     out = corpus_pipeline.near_duplicates_stage(spark, docs, "")
     assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "4", "5", "6", "None", "None"] and out.columns == docs.columns
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -34,6 +34,29 @@ def test_stages_on_planted_cases(spark, documents, tmp_path):
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in ran} == {0: ("a\nb\nc\nd", 7), 1: ("x\ny", 3)}
 
 
+def test_stages_on_empty_tables(spark, documents, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "some passage of the benchmark, which is long enough")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    empty = documents([])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == empty.columns)
+
+
+def test_packing_stage(spark, documents):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    texts = [None, "", prose(1, 900), prose(1, 900)]
+    out = corpus_pipeline.packing_stage(spark, documents([*texts, (3, texts[3])], ["ids", "length"]), "").toPandas()
+    for i, t in enumerate(texts):
+        d = out[out.doc_id == i].sort_values(["start", "sequence_id"])
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        copies = 2 if i == 3 else 1
+        assert d.length.sum() == copies * len(ids) and len(d[d.start == 0]) == copies
+        assert [x for y in d.drop_duplicates("start").ids for x in y] == ids
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SMALL).toPandas()
     assert len(out) and out.sequence_id.is_unique

@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from treeloom.llm import wordhash
+from treeloom.llm.scratch import small_batches
 
 #: Cells of the filter: one bit each.
 FILTER_BITS = 26
@@ -55,3 +57,25 @@ def passing(sent, ids: np.ndarray, bits: int) -> np.ndarray:
     """Where ids may be among those that the broadcast filter was made of."""
     at = filter_cells(ids, bits)
     return (sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def split(spark: SparkSession, docs: DataFrame, key: str, ids: DataFrame, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """docs without the rows whose key may be among ids (column k), and these rows: only they need to move.
+
+    Rows with a null key are among the first."""
+    small_batches(spark)
+    sent, at = id_filter(spark, ids, bits), len(docs.columns)
+    # a column of its own at the end, whatever type and name the key has
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{key}`").cast("long").alias("_" * (1 + max(map(len, docs.columns)))))
+
+    def part(wanted: bool) -> DataFrame:
+        def read(batches):
+            for b in batches:
+                k = b.column(at)
+                may = np.zeros(b.num_rows, bool)
+                may[k.is_valid().to_numpy(zero_copy_only=False)] = passing(sent, k.drop_null().to_numpy(), bits)
+                yield pa.RecordBatch.from_arrays(b.columns[:at], names=b.schema.names[:at]).filter(pa.array(may == wanted))
+
+        return rows.mapInArrow(read, docs.schema)
+
+    return part(False), part(True)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.llm import wordhash
-from treeloom.llm.idfilter import FILTER_BITS, id_filter, passing
+from treeloom.llm.idfilter import split
 from treeloom.llm.scratch import Scratch, release
 
 GRAM, WINDOW = 2, 2
@@ -158,22 +158,9 @@ def dedup(spark: SparkSession, docs: DataFrame, key: str, text: str, gram: int =
     rest = [c for c in columns if c != text]
     own = "_" * (1 + max((len(c) for c in columns), default=0))  # longer than any name of the table
     starts = repeats(spark, docs, key, text, gram, window, size, scratch)
-    sent = id_filter(spark, starts.select("k"))
+    others, moving = split(spark, docs, key, starts.select("k"))
     starts = starts.withColumnsRenamed({"k": f"{own}k", "at": f"{own}at"})
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{key}`").cast("long").alias(f"{own}k0"))
-
-    def some(wanted: bool):
-        def read(batches):
-            for b in batches:
-                ids = b.column(b.num_columns - 1)
-                may = np.zeros(b.num_rows, bool)
-                here = ids.is_valid().to_numpy(zero_copy_only=False)
-                may[here] = passing(sent, ids.drop_null().to_numpy(), FILTER_BITS)
-                yield b.filter(pa.array(may == wanted))
-
-        return rows.mapInArrow(read, rows.schema)
-
-    joined = some(True).join(starts.hint("shuffle_hash"), F.col(f"{own}k0") == F.col(f"{own}k"), "left").select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias(f"{own}t"), f"{own}at")
+    joined = moving.join(starts.hint("shuffle_hash"), F.col(f"`{key}`").cast("long") == F.col(f"{own}k"), "left").select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias(f"{own}t"), f"{own}at")
 
     def cut(batches):
         for b in batches:
@@ -190,4 +177,4 @@ def dedup(spark: SparkSession, docs: DataFrame, key: str, text: str, gram: int =
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text)
     done = joined.mapInArrow(cut, (f"{kinds}, " if kinds else "") + f"`{text}` string")
-    return some(False).select(*[F.col(f"`{c}`") for c in columns]).unionByName(done.select(*[F.col(f"`{c}`") for c in columns]))
+    return others.unionByName(done.select(*[F.col(f"`{c}`") for c in columns]))

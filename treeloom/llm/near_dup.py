@@ -9,8 +9,8 @@ verified exactly on the full shingle sets.
 Only what can change a component is compared, and never all pairs of a bucket by joining it with
 itself: first every member with its bucket's smallest member (one pair a member and bucket), by the
 most frequent such pair before the others; then, in buckets that still hold different components,
-members of different components, within tiles of bounded size that return links only. No bucket is
-capped.
+members of different components, within tiles of bounded size that return links only. Signatures are
+compared first; the sets move only of members that these leave in question. No bucket is capped.
 
 A pair at the threshold has no common band with probability (1 - 0.8**4)**32 = 5e-8, and is dropped by
 the posterior with at most about `miss` a batch.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.llm import wordhash
-from treeloom.llm.idfilter import FILTER_BITS, id_filter, passing
+from treeloom.llm.idfilter import FILTER_BITS, id_filter, passing, split
 from treeloom.llm.scratch import Scratch, release
 
 HASHES, BAND = 128, 4
@@ -242,19 +242,34 @@ def set_rows(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(read, "k long, set binary")
 
 
-def crossing(members: DataFrame, signed: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+def tiles(members: DataFrame) -> DataFrame:
+    """members of buckets that hold several components, once for each tile that they are compared in.
+
+    members: bucket, band, k, c (component) and first of the bucket. The members of a bucket's most frequent
+    component aren't compared with each other, so a bucket of m members, o of which are in other components,
+    takes o * m comparisons. Both kinds are cut into blocks; a block of the others makes a tile with
+    each block of either kind, so that no task gathers a bucket."""
+    counts = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
+    major = counts.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("x"), F.sum("n").alias("m"))
+    major = major.select(F.col("bucket").alias("at"), (-F.col("x.c")).alias("major"), F.col("x.n").alias("inside"), (F.col("m") - F.col("x.n")).alias("outside"))
+    n_out, n_in = (F.ceil(F.col(x) / BLOCK).cast("int") for x in ("outside", "inside"))
+    is_major = F.col("c") == F.col("major")
+    mine = F.when(is_major, n_out + F.pmod(F.xxhash64("k", F.lit(3)), n_in).cast("int")).otherwise(F.pmod(F.xxhash64("k", F.lit(3)), n_out).cast("int"))
+    met = F.sequence(F.lit(0), F.when(is_major, n_out).otherwise(n_out + n_in) - 1)
+    each = members.join(major, F.col("bucket") == F.col("at")).withColumn("mine", mine).withColumn("other", F.explode(met))
+    return each.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "band", "k", "c", (F.col("k") == F.col("first")).alias("head"), "mine")
+
+
+def crossing(tiled: DataFrame, signed: DataFrame, sets: DataFrame | None, percent: int, miss: float) -> DataFrame:
     """Links a, b between members of one bucket and different components: enough of them to join all that are linked.
 
-    members: bucket, band, k, c (component), first and m (members) of the bucket. A large bucket is cut
-    into blocks, and each pair of blocks is a tile, so that no task gathers a bucket. Within a tile, pairs
-    are made in numpy and never become rows. A pair is judged in the first band that it shares, by
-    posterior bounds and then exactly, unless links found in the tile have joined its components; a
-    pair with the bucket's first member has been judged before."""
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK).cast("int"), F.lit(1))
-    mine = F.pmod(F.xxhash64("k", F.lit(3)), blocks).cast("int")
-    tiled = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiled = tiled.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "band", "k", "c", (F.col("k") == F.col("first")).alias("head"), "mine")
-    whole = tiled.join(signed.select("k", "n", "sig"), "k").join(sets, "k")
+    Without sets: the rows of `tiled` that signatures alone leave in question, as only their sets are needed.
+    Within a tile, pairs are made in numpy and never become rows. A pair is judged in the first band that it
+    shares, by posterior bounds and then exactly, unless links found in the tile have joined its
+    components; a pair with the bucket's first member has been judged before."""
+    whole = tiled.join(signed.select("k", "n", "sig"), "k")
+    by_signature = sets is None
+    whole = whole if by_signature else whole.join(sets, "k")
     needed = thresholds(percent, miss)
 
     def candidates(tile, band, c, head, mine, diagonal, n, sig):
@@ -279,8 +294,10 @@ def crossing(members: DataFrame, signed: DataFrame, sets: DataFrame, percent: in
             step += 1
         return (np.concatenate(f) if f else np.empty(0, np.int64) for f in (xs, ys))
 
-    def judge(tile, band, k, c, head, mine, diagonal, n, sig, held):
+    def judge(tile, band, k, c, head, mine, diagonal, n, sig, held, rows):
         x, y = candidates(tile, band, c, head, mine, diagonal, n, sig)
+        if by_signature:
+            return rows.take(pa.array(np.unique(np.r_[x, y]), pa.int64()))
         root: dict = {}
 
         def find(i):
@@ -306,30 +323,31 @@ def crossing(members: DataFrame, signed: DataFrame, sets: DataFrame, percent: in
                 found_b.append(max(k[i], k[j]))
         return pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
-    def numbered(parts):
-        tile, band, k, c, head, mine, n, sig, held = parts
-        number = np.cumsum(np.r_[True, (tile[1:] != tile[:-1]).any(axis=1)])
-        return number, band, k, c, head, mine, tile[:, 1] == tile[:, 2], n, sig, held
+    names = ["bucket", "i", "j", "band", "k", "c", "head", "mine"]
+
+    def tiles_of(rows):
+        """Judges whole tiles."""
+        bucket, i, j, band, k, c, head, mine, n = (rows.column(x).to_numpy(zero_copy_only=False) for x in (*names, "n"))
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(len(k), -1)
+        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+        return judge(np.cumsum(new), band, k, c, head, mine, i == j, n, sig, None if by_signature else rows.column("set").to_pylist(), rows.select(names))
 
     def read(batches):
         waiting = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket, i, j, band, k, c, head, mine, n = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("bucket", "i", "j", "band", "k", "c", "head", "mine", "n"))
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(len(k), -1)
-            parts = [np.stack([bucket, i.astype(np.int64), j.astype(np.int64)], axis=1), band, k, c, head, mine, n, sig, batch.column("set").to_pylist()]
-            if waiting is not None:
-                parts = [np.concatenate(p) if isinstance(p[0], np.ndarray) else p[0] + p[1] for p in zip(waiting, parts, strict=True)]
-            tile = parts[0]
-            last = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(axis=1)])[-1]
-            waiting = [p[last:] for p in parts]  # the last tile may go on in the next batch
+            rows = batch if waiting is None else pa.concat_batches([waiting, batch])
+            at = [rows.column(x).to_numpy(zero_copy_only=False) for x in ("bucket", "i", "j")]
+            last = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in at], axis=0)])[-1]
+            waiting = rows.slice(last)  # the last tile may go on in the next batch
             if last:
-                yield judge(*numbered([p[:last] for p in parts]))
+                yield tiles_of(rows.slice(0, last))
         if waiting is not None:
-            yield judge(*numbered(waiting))
+            yield tiles_of(waiting)
 
-    return whole.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(read, "a long, b long")
+    schema = "a long, b long" if not by_signature else tiled.select(*names).schema
+    return whole.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(read, schema)
 
 
 def link(spark: SparkSession, docs: DataFrame, key: str, text: str, words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
@@ -358,20 +376,40 @@ def link(spark: SparkSession, docs: DataFrame, key: str, text: str, words: int =
     labelled = members.where("m > 2").join(joined.withColumnRenamed("k", "jk"), F.col("k") == F.col("jk"), "left").select("bucket", "band", "k", "first", "m", F.coalesce("c", "k").alias("c"))
     labelled = scratch.save(labelled, "labelled")
     mixed = scratch.save(labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(F.col("bucket").alias("at")), "mixed")
-    apart_still = scratch.save(labelled.join(mixed, F.col("bucket") == F.col("at"), "left_semi"), "apart")
+    apart_still = scratch.save(labelled.join(mixed, F.col("bucket") == F.col("at"), "left_semi").select("bucket", "band", "k", "first", "c"), "apart")
     scratch.drop(labelled, mixed, members, texts)
     release(spark)
-    sets = scratch.save(set_rows(texts_of(spark, docs, key, text, apart_still.select("k").distinct()), words), "sets")
-    rest = scratch.save(crossing(apart_still, signed, sets, percent, miss), "links")
-    scratch.drop(sets, apart_still)
+    doubtful = scratch.save(crossing(tiles(apart_still), signed, None, percent, miss), "doubtful")
+    sets = scratch.save(set_rows(texts_of(spark, docs, key, text, doubtful.select("k").distinct()), words), "sets")
+    rest = scratch.save(crossing(doubtful, signed, sets, percent, miss), "links")
+    scratch.drop(sets, apart_still, doubtful)
     if not rest.isEmpty():
         links = links.unionByName(rest)
         joined = components(scratch, links)
     scratch.drop(signed, likely)
     release(spark)
     by_set = scratch.save(heads.join(joined.withColumnRenamed("k", "jk"), F.col("k") == F.col("jk"), "left").select(F.col("g").alias("hg"), F.coalesce("c", "k").alias("c")), "by-set")
-    out = all_signed.join(by_set, F.col("g") == F.col("hg"), "left")
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("k").isNull(), F.col("k")).otherwise(F.coalesce("c", "k")).alias("component_id"))
+    out = all_signed.select("k", "n", "g").join(by_set, F.col("g") == F.col("hg"), "left")
+    out = scratch.save(out.select("k", "n", F.when(F.col("k").isNull(), F.col("k")).otherwise(F.coalesce("c", "k")).alias("c")), "linked")
+    scratch.drop(all_signed, heads, by_set)
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, key: str, text: str, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group of near-duplicates, the smallest id; columns as they were.
+
+    Rows that repeat with their id are one document; rows without an id stay. Only rows that a filter of a
+    fixed size lets pass move; all others stay where they are read."""
+    scratch = Scratch(spark, "keep-one")
+    linked = link(spark, docs, key, text, words, percent).select(F.col(key).alias("k"), F.col("component_id").alias("c")).where("k is not null")
+    often = linked.groupBy("k").agg(F.min("c").alias("c"), F.count(F.lit(1)).alias("n"))
+    touched = scratch.save(often.where("c < k or n > 1").select("k", (F.col("c") < F.col("k")).alias("gone")), "touched")
+    others, moving = split(spark, docs, key, touched.select("k"))
+    own = "_" * (1 + max(map(len, docs.columns)))  # longer than any name of the table
+    gone = touched.where("gone").select(F.col("k").alias(f"{own}k"))
+    moving = moving.withColumn(own, F.col(f"`{key}`").cast("long"))
+    kept = moving.join(gone.hint("shuffle_hash"), F.col(own) == F.col(f"{own}k"), "left_anti").dropDuplicates([own])
+    return others.unionByName(kept.drop(own))
 
 
 def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
