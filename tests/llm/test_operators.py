@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +164,72 @@ def test_long_comments_go():
     assert extract.main_text(page) == "Brief, but all of it."
 
 
+def test_names_that_say_more_are_parts_of_the_best_container():
+    more = "<div class='side-by-side'><p>Left, and right.</p></div><section id='alert-levels'><p>Red, and amber.</p></section><p>A <span class='notice-period'>month</span> ago.</p>"
+    gone = "<div class='ad-slot-3'>Buy</div><div class='share-buttons'>Share</div><aside>x</aside><p class='comment-12'>I agree</p><p>B<span class=ad>uy</span></p>"
+    want = "\n".join([*(f"{prose(i, 40)}, and more." for i in range(20)), "Left, and right.", "Red, and amber.", "A month ago.", "B"])
+    for around in ("article", "main", "div class=content", "div"):
+        page = f"<body><div class='side-note'><p>Sign, up</p></div><{around}>{LONG}{more}{gone}</{around.split()[0]}>"
+        assert extract.main_text(page) == want, around
+
+
+def test_scores_choose_among_articles_and_others():
+    teasers = "".join(f"<article><a href=/{i}>Teaser {i}</a></article>" for i in range(5))
+    assert extract.main_text(f"<div class=list>{teasers}</div><div class=content>{LONG}</div>") == "\n".join(f"{prose(i, 40)}, and more." for i in range(20))
+    linked = "".join(f"<a href=/{i}><p>{prose(90 + i, 12)}, and on, and on, and on</p></a>" for i in range(9))  # blocks in links are links
+    assert extract.main_text(f"<div><div>{linked}</div><div><p>Brief, but the text.</p></div></div>") == "Brief, but the text."
+    twice = f"<div><p>{prose(1, 30)}</p></div>"
+    assert extract.main_text(twice + twice) == f"{prose(1, 30)}\n{prose(1, 30)}"  # a tie: the other stands beside the first
+
+
+def made_page(r):
+    """A page and the text of its article, by construction."""
+    want = []
+
+    def block(tag, text, markup=None):
+        want.append(" ".join(text.split()))
+        return f"<{tag}>{markup or text}" + (f"</{tag}>" if tag not in ("p", "li") or r.random() < 0.7 else "")
+
+    def words(n):
+        return ", ".join(prose(r.random(), r.randint(3, 9)) for _ in range(n))
+
+    def part(depth):
+        kind = r.choice(["p", "p", "p", "h2", "ul", "quote", "bold", "section"]) if depth < 4 else "p"
+        if kind == "ul":
+            return "<ul>" + "".join(block("li", words(1)) for _ in range(r.randint(1, 4))) + "</ul>"
+        if kind == "quote":
+            return f"<blockquote>{block('p', words(2))}</blockquote>"
+        if kind == "section":
+            return f"<section class='{r.choice(['side-by-side', 'part', 'alert-levels', 'x'])}'>" + "".join(part(depth + 1) for _ in range(r.randint(1, 3))) + "</section>"
+        if kind == "bold":
+            a, b = words(1), words(2)
+            return block("p", f"{a} {b}", f"<b class=x>{a}</b>\n &#32;{b}")
+        return block("h2" if kind == "h2" else "p", words(1 if kind == "h2" else r.randint(1, 8)))
+
+    inner = "".join(part(0) + r.choice(["", "", "<div class='ad'>Buy, now, cheap</div>", "<script>if (a < b) c('<p>')</script>", "<!-- <p>old</p> -->"]) for _ in range(r.randint(4, 12)))
+    long_one = block("p", words(30))
+    around = r.choice(["article", "main", "div class=post", "div", "section"])
+    body = f"<{around}>{inner}{long_one}</{around.split()[0]}>"
+    if r.random() < 0.3:
+        body = f"<div class=wrapper><div>{body}</div></div>"
+    head = r.choice(["", "<header><h1>Site, of sites</h1></header>"]) + "<nav><ul>" + "".join(f"<li><a href=/{i}>{prose(i, 3)}</a>" for i in range(6)) + "</ul></nav>"
+    tail = r.choice(["", "<aside><p>Side, text, here</p></aside>"]) + r.choice(["", f"<div id=comments><p>{words(9)}</p></div>"]) + r.choice(["", "<form>Mail, please<input></form>"]) + "<footer>(c)</footer>"
+    return f"<html><head><title>t</title></head><body>{head}{body}{tail}</body></html>", "\n".join(want)
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_made_pages(seed):
+    page, want = made_page(random.Random(seed))
+    assert extract.main_text(page) == want
+
+
+@pytest.mark.parametrize("piece", ['<a "', '<a x="', "<p class='", "<svg/>", "<div></p>", "<script", "<b ", "<!--", "<p><li>", "</x>", "<td><p>", "<"])
+def test_hostile_pages_take_linear_time(piece):
+    start = time.process_time()
+    extract.main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - start < 30
+
+
 def test_extract_table(spark):
     rows = [(1, "u", PAGES["article"][0], "q"), (2, None, None, None), (2, None, None, None), (3, "v", "<p>" + "word, " * 50_000 + "</p>", "x"), (4, "d", "<div>" * 5000 + "deep, deep, text" + "</div>" * 5000, "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -385,6 +453,37 @@ def test_classifier_cases(spark, documents):
     assert quality.score(spark, documents([]), quality.fit(spark, docs, labels)).count() == 0
 
 
+def test_sums_over_the_pool_are_those_of_all_its_rows(spark, documents):
+    texts = [prose(i, 30) for i in range(60)] + ["BUY!! NOW!! " * (5 + i) for i in range(40)] + [None, "", prose(1, 30), prose(1, 30)]
+    y = np.r_[np.ones(60), np.zeros(40)]
+    langs, sources = ["en", None] * 52, ["s" if i < 60 else f"x{i % 3}" for i in range(104)]
+    vocabulary = [b"buy", b"now", b"w1", b"w2", b"w3"]
+    rows = quality.Rows.read(texts, langs, sources, quality.Index(vocabulary))
+    assert quality.Rows.of(pa.RecordBatch.from_arrays(rows.arrays(), names=quality.Rows.NAMES), 5).content().tolist() == rows.content().tolist()
+    table = spark.createDataFrame(list(zip(texts, langs, sources, strict=True)), "t string, lang string, source string").repartition(5)
+    held = np.arange(100) % 4 == 0
+    model = quality.CoTrained(vocabulary, *(quality.View(rows.take(slice(0, 100)), y, held, side) for side in (False, True)))
+    got = quality.taught(spark, quality.features(table, vocabulary, []), model)
+    p = [quality.sigmoid(v.logit(rows)) for v in (model.content, model.side)]
+    sure = {(view, c): p[1 - view] >= quality.CONFIDENT if c else p[1 - view] <= 1 - quality.CONFIDENT for view in (0, 1) for c in (0, 1)}
+    assert set(got) == {k for k, x in sure.items() if x.any()} and len(got) >= 3
+    for (view, c), (n, total) in got.items():
+        v = (model.content, model.side)[view]
+        z = v.model.design(v.see(rows))[sure[view, c]].astype(float)
+        q = 1 / (1 + np.exp(-np.clip(z @ v.model.w, -30, 30)))
+        want = np.concatenate([(z.T @ (q - c))[None, :], (z * (q * (1 - q) + 1e-6)[:, None]).T @ z])
+        assert n == sure[view, c].sum() and np.allclose(total, want, rtol=1e-3, atol=1e-3)
+
+
+def test_repeated_rows_score_alike_and_pseudo_labels_have_no_cap(spark, documents):
+    rows = [(i, prose(i, 30)) for i in range(40)] + [(100 + i, "BUY!! NOW!! " * 20) for i in range(12)] + [(None, prose(3, 30)), (3, prose(3, 30))]
+    docs = documents(rows, ["k", "figures", "content_score", "lang_"])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(100 + i, 0, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    out = quality.score(spark, docs, quality.fit(spark, docs, labels)).collect()
+    assert len(out) == len(rows) and len({r["score"] for r in out if r["text"] == prose(3, 30)}) == 1
+    assert all((r["score"] >= 0.5) == (r["text"][0] == "w") for r in out)
+
+
 # --- 7 decontamination --------------------------------------------------------------------------
 
 

@@ -1,22 +1,30 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of its containers. Each paragraph passes points for its length and its commas to
-its ancestors, fewer the further up; a container's points are discounted by its link density. The article
-around the best container is kept with those of its siblings that score well; without an article, the best
-container and all that stands beside it and beside its ancestors, whatever its length, unless it consists of
-links. Parts that are menus, headers, footers, sidebars, notices, adverts, forms, scripts or reader comments
-go. Names of states (has-sidebar, comments-open beside entry) mark no such part, nor is a container one that
-holds an article, or nearly all of the page's text.
+its ancestors, fewer the further up, but in full to the nearest `article` or `main` element; a container's
+points are discounted by its link density, and tags and names that speak of an article are a bonus. The
+container with the most points is kept, and with it those of its siblings that score well. If it stands
+in no article or main element, all that stands beside it and beside its ancestors is kept, whatever its
+length, unless it consists of links.
+
+Parts that are menus, headers, footers, sidebars, notices, adverts, forms, scripts or reader comments
+go. A name tells such a part if it says nothing else (ad, share-buttons, comment-12); one that says more
+(side-by-side, alert-levels) does so only outside of the best container. Names of states (has-sidebar,
+comments-open beside entry) mark no such part, nor is a container one that holds an article, or nearly
+all of the page's text.
 
 Defined cases: a null or empty page, or one without text, gives the empty text; broken markup is read
-leniently (unclosed and stray tags, tags in scripts and comments); pages of any length are read whole;
-rows that repeat are kept as often as they occur. Only the named columns are read.
+leniently (unclosed and stray tags, tags in scripts and comments; once a tag runs to the page's end for a
+quote that isn't closed, quotes don't count any more); of containers with equal points the first is the best;
+pages of any length are read whole, in time that grows with their length; rows that repeat are kept as often
+as they occur. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +48,14 @@ NEGATIVE = frozenset(
 POSITIVE = frozenset("article articles body content contents entry hentry main page post posts story text blog".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+#: Words that say nothing of a part beside where or how large it is.
+GENERIC = frozenset(
+    "area bar bars block body bottom box button buttons card center col column columns container content count cta desktop element form group grid holder icon icons id inline inner item items js "
+    "label large left link links list mobile module news outer page panel panels placement post posts right row section single site slot small sticky sub tag text title top unit view wp wrap wrapper zone".split()
+)
+
+TAG = re.compile(r"</?[a-zA-Z][^\s/>]*")
+TAG_STOP = re.compile(r">|=\s*[\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -61,12 +76,15 @@ OUTSIDE = 0.1
 class Node:
     """A container: its children in order are nodes and strings; `links` counts characters in links."""
 
-    __slots__ = ("tag", "parent", "children", "negative", "positive", "points", "chars", "links", "whole")
+    __slots__ = ("tag", "parent", "children", "negative", "loose", "positive", "points", "chars", "links", "whole")
 
-    def __init__(self, tag: str, parent: Node | None, negative: bool = False, positive: bool = False):
-        self.tag, self.parent, self.children, self.negative, self.positive = tag, parent, [], negative, positive
+    def __init__(self, tag: str, parent: Node | None, negative: bool = False, positive: bool = False, loose: bool = False):
+        self.tag, self.parent, self.children, self.negative, self.positive, self.loose = tag, parent, [], negative, positive, loose
         self.points, self.chars, self.links, self.whole = 0.0, 0, 0, False
 
+    def is_article(self) -> bool:
+        return self.tag in ("article", "main")
+
 
 def named(value: str) -> set[str]:
     """The words of class and id names that say what a container is."""
@@ -76,6 +94,15 @@ def named(value: str) -> set[str]:
     return plain if plain & POSITIVE else {x for w in names for x in w}
 
 
+def says_no_more(value: str) -> bool:
+    """Whether one of the class and id names is that of a side part and of nothing else."""
+    for x in value.split():
+        words = set(WORD.findall(CAMEL.sub(" ", x).lower()))
+        if words & NEGATIVE and all(w in NEGATIVE or w in GENERIC or w in STATES or w.isdigit() for w in words):
+            return True
+    return False
+
+
 def wraps(tag: str, attributes: str) -> bool:
     """Whether a container marked negative is so by its name or as a form, so that it may wrap the article all the same."""
     given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
@@ -84,21 +111,21 @@ def wraps(tag: str, attributes: str) -> bool:
     return not hidden and (tag == "form" or tag not in DROPPED and tag != "header" and given.get("role", "").lower() not in SIDE_ROLES - {"form"}) and not words & READERS
 
 
-def marks(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
-    """Whether a container is named as something else than the article, or as the article."""
+def marks(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool, bool]:
+    """Whether a container is named as something else than the article, or as the article, and whether the former is by a name that says more."""
     if tag in DROPPED or tag == "header" and not inside_article:
-        return True, False
+        return True, False, False
     if not attributes.strip():
-        return False, tag in ("article", "main")
+        return False, tag in ("article", "main"), False
     names, words = "", set()
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             names += " " + value
         elif name == "role" and value.lower() in SIDE_ROLES:
-            return True, False
+            return True, False, False
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True, False
+            return True, False, False
         elif name == "role" and value.lower() in ("main", "article"):
             words.add("article")
     words |= named(names)
@@ -106,84 +133,130 @@ def marks(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
     bad = bool(words & NEGATIVE) and tag not in ("article", "main", "body", "html")
     if bad and inside_article and words & {"header", "body", "content"} and not words & (NEGATIVE - {"header"}):
         bad = False  # an article's own heading
-    return bad, good
+    return bad, good, bad and not says_no_more(names)
 
 
-def parse(page: str) -> Node:
-    """The tree of a page; inline elements leave their text where it stands."""
-    root = Node("body", None)
-    at, links, end, articles = root, 0, 0, 0
-    stack = [root]
-    i, n = 0, len(page)
+def tag_end(page: str, i: int, quotes: bool) -> int:
+    """The place of the > that closes a tag whose name ends at i, or -1; in quoted values it closes nothing."""
+    while quotes:
+        m = TAG_STOP.search(page, i)
+        if not m or m[0] == ">":
+            return m.start() if m else -1
+        i = page.find(m[0][-1], m.end()) + 1
+        if not i:
+            return -1
+    return page.find(">", i)
 
-    def add(text: str) -> None:
-        if text:
-            at.children.append(text)
-            if links:
-                at.links += len(text.strip())
 
-    while i < n:
-        m = TOKEN.search(page, i)
+def tokens(page: str):
+    """Texts as (text, None, None) and tags as (name, whether it closes, attributes), without comments and raw elements.
+
+    No character is looked at more than a fixed number of times: what isn't found once isn't looked for again."""
+    i, n, quotes = 0, len(page), True
+    text = i
+    while (i := page.find("<", i)) >= 0:
+        m = TAG.match(page, i)
         if not m:
-            add(page[i:])
-            break
-        add(page[i : m.start()])
-        i = m.end()
-        if m[2] is None:
+            if page.startswith("<!--", i):
+                stop, size = "-->", 3
+            elif page.startswith("<![CDATA[", i):
+                stop, size = "]]>", 3
+            elif page.startswith(("<!", "<?"), i):
+                stop, size = ">", 1
+            else:
+                i += 1
+                continue
+            yield page[text:i], None, None
+            end = page.find(stop, i + 2)
+            i = text = end + size if end >= 0 else n
             continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag in RAW and not closing:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, i)
-            if not m[3].rstrip().endswith("/") or tag not in ("svg", "math"):
-                i = stop.end() if stop else n
+        end = tag_end(page, m.end(), quotes)
+        if end < 0 and quotes:
+            quotes, end = False, page.find(">", m.end())
+        if end < 0:
+            break  # no tag is closed any more: what is left is text
+        yield page[text:i], None, None
+        closing = page[i + 1] == "/"
+        name, attributes = m[0][2 if closing else 1 :].lower(), page[m.end() : end]
+        i = text = end + 1
+        if name in RAW:
+            if not closing and not (attributes.rstrip().endswith("/") and name in ("svg", "math")):
+                stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(page, i)
+                end = page.find(">", stop.end()) if stop else -1
+                i = text = end + 1 if end >= 0 else n
+            continue
+        yield name, closing, attributes
+    yield page[text:], None, None
+
+
+SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+
+
+def parse(page: str) -> Node:
+    """The tree of a page; inline elements leave their text where it stands."""
+    root = Node("body", None)
+    stack, opened, articles = [root], Counter(), 0
+    link = 0  # the stack's depth where a link was opened; it ends with its container at the latest
+
+    def push(node: Node) -> None:
+        stack[-1].children.append(node)
+        stack.append(node)
+        opened[node.tag] += 1
+
+    def cut(depth: int) -> None:
+        nonlocal articles, link
+        for x in stack[depth:]:
+            opened[x.tag] -= 1
+            articles -= x.is_article()
+        del stack[depth:]
+        if link > depth:
+            link = 0
+
+    for tag, closing, attributes in tokens(page):
+        at = stack[-1]
+        if closing is None:
+            if tag:
+                at.children.append(tag)
+                if link:
+                    at.links += len(tag.strip())
             continue
         if tag == "a":
-            links = 0 if closing else 1
+            link = 0 if closing else len(stack)
         if tag in VOID:
             if not closing:
                 at.children.append(" ")
                 if tag == "hr" and at.tag == "p":
-                    stack.pop()
-                    at = stack[-1]
+                    cut(len(stack) - 1)
             continue
         if tag in INLINE or tag in ("html", "body"):
             # a named inline element can still be an advert or a hidden part
-            if closing or tag in ("html", "body", "a") or not m[3].strip():
-                if closing and tag not in ("html", "body") and len(stack) > 1 and stack[-1].tag == f"~{tag}":
-                    stack.pop()
-                    at = stack[-1]
+            if closing or tag in ("html", "body", "a") or not attributes.strip():
+                if closing and tag not in ("html", "body") and at.tag == f"~{tag}":
+                    cut(len(stack) - 1)
                 continue
-            bad, _ = marks(tag, m[3], articles > 0)
+            bad, _, loose = marks(tag, attributes, articles > 0)
             if bad:
-                node = Node(f"~{tag}", at, True)
-                at.children.append(node)
-                stack.append(node)
-                at = node
+                push(Node(f"~{tag}", at, True, loose=loose))
             continue
         if closing:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if depth:
-                articles -= sum(x.tag in ("article", "main") for x in stack[depth:])
-                del stack[depth:]
-                at, links = stack[-1], 0
+            if opened[tag]:
+                cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag in CLOSES_P:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"), 0)
-            if depth and all(x.tag == "p" or x.tag.startswith("~") for x in stack[depth:]):
-                del stack[depth:]
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}[tag]
-            while len(stack) > 1 and (stack[-1].tag in same or stack[-1].tag == "p" and any(x.tag in same for x in stack)):
-                stack.pop()
+            depth = len(stack) - 1
+            while stack[depth].tag.startswith("~"):
+                depth -= 1
+            if depth and stack[depth].tag == "p":
+                cut(depth)
+        elif tag in SAME:
+            while len(stack) > 1 and (stack[-1].tag in SAME[tag] or stack[-1].tag == "p" and any(opened[x] for x in SAME[tag])):
+                cut(len(stack) - 1)
         at = stack[-1]
-        bad, good = marks(tag, m[3], articles > 0)
-        node = Node(tag, at, bad, good)
-        node.whole = bad and wraps(tag, m[3])
-        at.children.append(node)
-        stack.append(node)
-        at = node
-        articles += tag in ("article", "main")
-        links = 0
+        bad, good, loose = marks(tag, attributes, articles > 0)
+        node = Node(tag, at, bad, good, loose)
+        node.whole = bad and wraps(tag, attributes)
+        push(node)
+        articles += node.is_article()
     return root
 
 
@@ -232,6 +305,9 @@ def score(root: Node) -> list[Node]:
     """Give points; returns the kept containers."""
     unwrap(root)
     nodes = order_of(root)
+    article_of: dict[int, Node | None] = {}
+    for node in nodes:  # parents first
+        article_of[id(node)] = node if node.is_article() else article_of.get(id(node.parent))
     for node in nodes:
         text = own_text(node)
         node.chars = len(text)
@@ -240,12 +316,14 @@ def score(root: Node) -> list[Node]:
         points = 1 + text.count(",") + min(len(text) / 100, 3.0)
         points *= 1 - min(1.0, node.links / max(1, len(text)))
         # a paragraph's points go to its ancestors; text that stands in a container counts there too
-        up, share = (node.parent if node.tag in PARAGRAPH and node.parent else node), 1.0
-        level = 0
+        up, level = (node.parent if node.tag in PARAGRAPH and node.parent else node), 0
+        nearest = article_of.get(id(up))
+        if nearest is not None:
+            nearest.points += points
         while up is not None and level < 6:
-            up.points += points * share
+            if up is not nearest:
+                up.points += points * (1.0, 0.5, 1 / 6, 1 / 9, 1 / 12, 1 / 15)[level]
             level += 1
-            share = 0.5 if level == 1 else 1 / (3 * level)
             up = up.parent
     for node in reversed(nodes):
         if node.parent is not None:
@@ -281,6 +359,8 @@ def blocks(node: Node) -> list[str]:
                 run.append(" ")
             else:
                 flush()
+        elif x.tag.startswith("~"):
+            todo.extend(reversed(x.children))
         else:
             flush()
             todo.append(None)
@@ -289,34 +369,42 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
+def restore(best: Node) -> None:
+    """Parts of the best container that are side parts only by a name that says more are parts of it."""
+    todo = [best]
+    while todo:
+        node = todo.pop()
+        if node is best or not node.negative or node.loose:
+            node.negative = False
+            todo.extend(x for x in node.children if not isinstance(x, str))
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by line ends; empty if the page has none."""
     if not page:
         return ""
-    root = parse(page)
-    nodes = score(root)
-    best = max(nodes, key=lambda x: x.points, default=None)
-    if best is None or best.chars == 0:
+    nodes = score(parse(page))
+    best = max((x for x in nodes if x.tag not in PARAGRAPH), key=lambda x: x.points, default=None)
+    if best is None or nodes[0].chars == 0:
         return ""
-    up = best
-    while up is not None and up.tag not in ("article", "main"):
+    up = best.parent
+    while up is not None and not up.is_article():
         up = up.parent
-    if up is not None:
-        best = up
-    elif best.tag in PARAGRAPH and best.parent is not None:
-        best = best.parent
-    if up is None:
+    if up is None and not best.is_article():
+        restore(best)
         return "\n".join(beside(best))
-    if best.parent is None:
-        return "\n".join(blocks(best))
+    if up is not None and not best.is_article():
+        # a part that scores higher than the article around it: its siblings are those within the article
+        best = up
+    restore(best)
     least = max(SIBLING_LEAST, SIBLING_SHARE * best.points)
     kept: list[str] = []
-    for x in best.parent.children:
+    for x in best.parent.children if best.parent is not None else [best]:
         if x is best:
             kept += blocks(best)
-        elif isinstance(x, Node) and not x.negative and x.tag not in ("header",):
+        elif isinstance(x, Node) and not x.negative and x.tag != "header":
             density = x.links / max(1, x.chars)
-            if x.points >= least and density < MOST_LINKS or x.tag == "p" and x.chars > 80 and density < MOST_LINKS:
+            if density < MOST_LINKS and (x.points >= least or x.tag == "p" and x.chars > 80):
                 kept += blocks(x)
     return "\n".join(kept)
 
