@@ -2,17 +2,22 @@
 
 One view sees the text alone (marks of its characters, words and lines, and the words and pieces of
 words that tell the classes apart), the other its metadata alone (language, source, length). Each is a logistic regression
-fitted on labelled rows and calibrated on rows held out. Over rounds each view scores a pool of
-unlabelled rows, and what it is confident about becomes a pseudo-label for the other. At the end a
-logistic regression over both calibrated views, fitted on the held-out rows, scores every document.
+fitted on labelled rows and calibrated on rows held out. Over rounds each view scores all unlabelled
+rows, and what it is confident about becomes a pseudo-label for the other. At the end a logistic
+regression over both calibrated views, fitted on the held-out rows, scores every document.
 
-A document is good if its label says quality and not toxic. Fitting uses a bounded sample: at most
-`most_labelled` labelled and `most_pool` unlabelled rows by hash of their id; scoring reads all rows
-and whole texts.
+The labelled sample is bounded: at most `most_labelled` rows by hash of their id. Unlabelled rows aren't: their
+features are written once, some 300 bytes a row, and in each round every task adds up the gradient and
+Hessian of the rows that the other view is confident about. Only these sums, of a fixed size, come to the
+driver, where they join the labelled rows' in a Newton step; pseudo-labels of a class weigh as much as its
+labelled rows at most, however many they are.
+
+A document is good if its label says quality and not toxic. Scoring reads all rows and whole texts.
 
 Defined cases: a null text is the empty text, null metadata is a value of its own; labels that are
 null or name no document are skipped; if the labels lack a class, every document is kept and scores
-1; repeated rows get equal scores; an empty table gives an empty table. Other columns pass through.
+1; repeated rows get equal scores and teach as often as they occur, and rows with a null id are unlabelled;
+an empty table gives an empty table. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -29,11 +34,11 @@ from pyspark.sql import functions as F
 
 from treeloom.llm.scratch import Scratch
 
-MOST_LABELLED, MOST_POOL = 12_000, 6_000
+MOST_LABELLED = 12_000
 PIECES, LEAST_ROWS, GRAM = 768, 4, 5
 #: Words whose pieces a worker remembers at most, and pieces that a task counts before it passes them on.
 MEMO_WORDS, HELD_PIECES = 250_000, 300_000
-ROUNDS, CONFIDENT, PER_ROUND = 3, 0.97, 1_000
+ROUNDS, CONFIDENT = 3, 0.97
 META_BUCKETS = 64
 KEEP = 0.5
 
@@ -91,13 +96,66 @@ def marks(raw: bytes, words: list[bytes], distinct: int) -> list[float]:
     ]
 
 
-def meta(lang, source, length: int) -> list[float]:
-    """One place a language and source by hash, and the length."""
-    out = [0.0] * (2 * META_BUCKETS)
-    out[xxhash.xxh3_64_intdigest(repr(lang)) % META_BUCKETS] = 1.0
-    out[META_BUCKETS + xxhash.xxh3_64_intdigest(repr(source)) % META_BUCKETS] = 1.0
-    size = math.log1p(length)
-    return [*out, size, size * size]
+FIGURES = 11 + len(string.punctuation)
+
+
+class Rows:
+    """Features of rows: the figures of a text's form, a bit a piece, buckets of language and source, the length."""
+
+    NAMES = ("figures", "bits", "lang", "source", "size")
+    SCHEMA = "figures binary, bits binary, lang int, source int, size float"
+
+    def __init__(self, figures: np.ndarray, bits: np.ndarray, lang: np.ndarray, source: np.ndarray, size: np.ndarray, pieces: int):
+        self.figures, self.bits, self.lang, self.source, self.size, self.pieces = figures, bits, lang, source, size, pieces
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def take(self, at) -> Rows:
+        return Rows(self.figures[at], self.bits[at], self.lang[at], self.source[at], self.size[at], self.pieces)
+
+    def content(self) -> np.ndarray:
+        return np.concatenate([self.figures, np.unpackbits(self.bits, axis=1, count=self.pieces).astype(np.float32)], axis=1)
+
+    def side(self) -> np.ndarray:
+        """One place a language and source by hash, and the length."""
+        out = np.zeros((len(self), 2 * META_BUCKETS + 2), np.float32)
+        at = np.arange(len(self))
+        out[at, self.lang] = 1
+        out[at, META_BUCKETS + self.source] = 1
+        out[:, -2], out[:, -1] = self.size, self.size**2
+        return out
+
+    def arrays(self) -> list[pa.Array]:
+        return [pa.array([x.tobytes() for x in self.figures], pa.binary()), pa.array([x.tobytes() for x in self.bits], pa.binary()), pa.array(self.lang, pa.int32()), pa.array(self.source, pa.int32()), pa.array(self.size, pa.float32())]
+
+    @classmethod
+    def of(cls, table, pieces: int) -> Rows:
+        """From an Arrow batch or table that holds arrays()."""
+        n = table.num_rows
+        column = lambda c: table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c).to_numpy()
+        raw = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(n, -1)
+        if not n:
+            return cls(np.zeros((0, FIGURES), np.float32), np.zeros((0, -(-pieces // 8)), np.uint8), *(np.zeros(0, int),) * 2, np.zeros(0, np.float32), pieces)
+        bits = raw("bits", np.uint8) if pieces else np.zeros((n, 0), np.uint8)
+        return cls(raw("figures", np.float32), bits, column("lang"), column("source"), column("size"), pieces)
+
+    @classmethod
+    def read(cls, texts: list, langs: list, sources: list, index: Index) -> Rows:
+        """Of texts and their metadata."""
+        n, pieces = len(texts), len(index.places)
+        figures, has = np.zeros((n, FIGURES), np.float32), np.zeros((n, pieces), bool)
+        for i, t in enumerate(texts):
+            raw = (t or "").encode()
+            words = words_of(raw)
+            distinct = set(words)
+            figures[i] = marks(raw, words, len(distinct))
+            found: set[int] = set()
+            found.update(*map(index.__getitem__, distinct))
+            has[i, list(found)] = True
+        bucket = lambda values: np.array([xxhash.xxh3_64_intdigest(repr(x)) % META_BUCKETS for x in values], np.int32)
+        size = np.array([math.log1p(len(t or "")) for t in texts], np.float32)
+        return cls(figures, np.packbits(has, axis=1), bucket(langs), bucket(sources), size, pieces)
 
 
 class Logistic:
@@ -105,28 +163,45 @@ class Logistic:
 
     CHUNK = 2048
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 8, start: np.ndarray | None = None):
-        self.mean, self.scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64)
+    def __init__(self, chunks, y: np.ndarray, ridge: float = 1.0, steps: int = 8):
+        """chunks(i, j): the columns of rows i to j."""
+        self.chunks, self.y, n = chunks, y, len(y)
+        total = square = 0.0
+        for i in range(0, n, self.CHUNK):
+            x = chunks(i, i + self.CHUNK).astype(np.float64)
+            total, square = total + x.sum(axis=0), square + (x * x).sum(axis=0)
+        self.mean = total / n
+        self.scale = np.sqrt(np.maximum(0, square / n - self.mean**2))
         self.scale[self.scale < 1e-6] = 1.0
-        d = x.shape[1] + 1
-        w, keep = np.zeros(d) if start is None else start, np.full(d, ridge)
-        keep[-1] = 1e-6
+        self.w, self.keep = np.zeros(len(self.mean) + 1), np.full(len(self.mean) + 1, ridge)
+        self.keep[-1] = 1e-6
         for _ in range(steps):
-            g, h = keep * w, np.diag(keep)
-            for i in range(0, len(x), self.CHUNK):
-                z = self.design(x[i : i + self.CHUNK])
-                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-                g = g + z.T @ (p - y[i : i + self.CHUNK])
-                h = h + (z * (p * (1 - p) + 1e-6)[:, None]).T @ z
-            step = np.linalg.solve(h, g)
-            w = w - step
-            if np.abs(step).max() < 1e-4:
+            if self.step() < 1e-4:
                 break
-        self.w = w
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("chunks", "y")}
 
     def design(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.mean) / self.scale
-        return np.concatenate([np.clip(z, -8, 8), np.ones((len(x), 1))], axis=1)
+        z = np.clip((x - self.mean.astype(np.float32)) / self.scale.astype(np.float32), -8, 8)
+        return np.concatenate([z, np.ones((len(x), 1), np.float32)], axis=1)
+
+    def sums(self, z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and Hessian of rows, given by their design."""
+        p = sigmoid(np.clip(z @ self.w.astype(z.dtype), -30, 30))
+        return z.T @ (p - y).astype(z.dtype), (z * (p * (1 - p) + 1e-6).astype(z.dtype)[:, None]).T @ z
+
+    def step(self, more: tuple | None = None) -> float:
+        """One Newton step over the rows and what `more` adds to their gradient and Hessian; the largest change."""
+        g, h = self.keep * self.w, np.diag(self.keep)
+        for i in range(0, len(self.y), self.CHUNK):
+            dg, dh = self.sums(self.design(self.chunks(i, i + self.CHUNK)), self.y[i : i + self.CHUNK])
+            g, h = g + dg, h + dh
+        if more is not None:
+            g, h = g + more[0], h + more[1]
+        change = np.linalg.solve(h, g)
+        self.w = self.w - change
+        return float(np.abs(change).max())
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         parts = [self.design(x[i : i + self.CHUNK]) @ self.w for i in range(0, len(x), self.CHUNK)]
@@ -138,14 +213,31 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class View:
-    """A regression with its calibration: a logistic map of its logit, fitted on held-out rows."""
+    """A regression with its calibration: a logistic map of its logit, fitted on held-out rows. side: which features it sees."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.ndarray, before: View | None = None):
-        self.model = Logistic(x, y, steps=8 if before is None else 3, start=None if before is None else before.model.w)
-        self.to = Logistic(self.model.logit(held_x)[:, None], held_y, ridge=0.1)
+    def __init__(self, rows: Rows, y: np.ndarray, held: np.ndarray, side: bool):
+        self.side, self.held = side, (rows.take(held), y[held])
+        mine, own = rows.take(~held), y[~held]
+        self.model = Logistic(lambda i, j: self.see(mine.take(slice(i, j))), own)
+        self.labelled = [int((own == c).sum()) for c in (0, 1)]
+        self.calibrate()
 
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return self.to.logit(self.model.logit(x)[:, None])
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "held"}
+
+    def see(self, rows: Rows) -> np.ndarray:
+        return rows.side() if self.side else rows.content()
+
+    def raw(self, rows: Rows) -> np.ndarray:
+        return np.concatenate([self.model.logit(self.see(rows.take(slice(i, i + Logistic.CHUNK)))) for i in range(0, len(rows), Logistic.CHUNK)] or [np.empty(0)])
+
+    def calibrate(self) -> None:
+        rows, y = self.held
+        z = self.raw(rows)[:, None]
+        self.to = Logistic(lambda i, j: z[i:j], y, ridge=0.1)
+
+    def logit(self, rows: Rows) -> np.ndarray:
+        return self.to.logit(self.raw(rows)[:, None])
 
 
 def bounded(df: DataFrame, key: str, most: int) -> DataFrame:
@@ -189,114 +281,130 @@ def telling_pieces(rows: DataFrame, most: int, least: int) -> list[bytes]:
 
 
 def features(rows: DataFrame, vocabulary: list[bytes], extra: list[str]) -> DataFrame:
-    """extra columns, content and metadata, both arrays of float; rows: t, lang, source."""
+    """extra columns and the columns of Rows; rows: t, lang, source."""
+
     def read(batches):
-        index = Index(vocabulary)
+        index, n = Index(vocabulary), len(extra)
         for b in batches:
-            content, side = [], []
-            n = len(extra)
-            for t, lang, source in zip(*(b.column(n + i).to_pylist() for i in range(3)), strict=True):
-                c, m = row_features(t, lang, source, index)
-                content.append(c)
-                side.append(m)
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(content, pa.list_(pa.float32())), pa.array(side, pa.list_(pa.float32()))], names=[*extra, "content", "side"])
+            made = Rows.read(*(b.column(n + i).to_pylist() for i in range(3)), index)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *made.arrays()], names=[*extra, *Rows.NAMES])
 
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.select(*extra).schema)
-    return rows.select(*extra, "t", "lang", "source").mapInArrow(read, f"{kinds}content array<float>, side array<float>")
-
-
-def row_features(t, lang, source, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    raw = (t or "").encode()
-    words = words_of(raw)
-    distinct = set(words)
-    figures = marks(raw, words, len(distinct))
-    out = np.zeros(len(figures) + len(index.places), np.float32)
-    out[: len(figures)] = figures
-    found: set[int] = set()
-    found.update(*map(index.__getitem__, distinct))
-    out[[len(figures) + i for i in found]] = 1
-    return out, np.array(meta(lang, source, len(t or "")), np.float32)
+    return rows.select(*extra, "t", "lang", "source").mapInArrow(read, kinds + Rows.SCHEMA)
 
 
 class CoTrained:
     """Both views and their combination."""
 
-    def __init__(self, vocabulary, content, side, both):
+    def __init__(self, vocabulary: list[bytes], content: View, side: View, both: Logistic | None = None):
         self.vocabulary, self.content, self.side, self.both = vocabulary, content, side, both
 
-    def logits(self, content: np.ndarray, side: np.ndarray) -> np.ndarray:
-        return np.stack([self.content.logit(content), self.side.logit(side)], axis=1)
+    def logits(self, rows: Rows) -> np.ndarray:
+        return np.stack([self.content.logit(rows), self.side.logit(rows)], axis=1)
+
+
+def taught(spark: SparkSession, pool: DataFrame, model: CoTrained) -> dict:
+    """For each view (0 content, 1 side) and class: how many rows of the pool the other view is confident about,
+    and the sums of their gradients and Hessians. pool: the columns of Rows."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    pieces = len(model.vocabulary)
 
+    def add_up(batches):
+        m = cloudpickle.loads(sent.value)
+        views, sums = (m.content, m.side), {}
+        for b in batches:
+            for i in range(0, b.num_rows, Logistic.CHUNK):
+                rows = Rows.of(b.slice(i, Logistic.CHUNK), pieces)
+                p = [sigmoid(v.logit(rows)) for v in views]
+                for view in (0, 1):
+                    for c, sure in ((0, p[1 - view] <= 1 - CONFIDENT), (1, p[1 - view] >= CONFIDENT)):
+                        if n := int(sure.sum()):
+                            model = views[view].model
+                            g, h = model.sums(model.design(views[view].see(rows.take(sure))), np.full(n, float(c)))
+                            n0, all0 = sums.get((view, c), (0, 0.0))
+                            sums[view, c] = n0 + n, all0 + np.concatenate([g[None, :], h]).astype(np.float64)
+        for (view, c), (n, total) in sums.items():
+            out = [[view] * len(total), [c] * len(total), list(range(len(total))), [n] * len(total), [x.tobytes() for x in total]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["view", "c", "i", "n", "v"])
+
+    def merge(batches):
+        at, n, v = None, 0, None
+
+        def done():
+            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in at), pa.array([n], pa.int64()), pa.array([v.tobytes()], pa.binary())], names=["view", "c", "i", "n", "v"])
 
-def co_train(vocabulary: list[bytes], labelled: tuple, pool: tuple, rounds: int = ROUNDS) -> CoTrained:
-    """labelled: content, side, y and held (bool); pool: content and side."""
-    content, side, y, held = labelled
-    free = np.ones(len(pool[0]), bool)
-    views: dict = {"content": None, "side": None}
-    taught = {"content": (content[~held], y[~held]), "side": (side[~held], y[~held])}
-    for r in range(rounds + 1):
-        views = {"content": View(*taught["content"], content[held], y[held], views["content"]), "side": View(*taught["side"], side[held], y[held], views["side"])}
-        if r == rounds or not free.any():
+        for b in batches:
+            for view, c, i, n0, v0 in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if (view, c, i) != at:
+                    if at is not None:
+                        yield done()
+                    at, n, v = (view, c, i), 0, 0.0
+                n, v = n + n0, v + np.frombuffer(v0, np.float64)
+        if at is not None:
+            yield done()
+
+    schema = "view int, c int, i int, n long, v binary"
+    merged = pool.mapInArrow(add_up, schema).repartition("view", "c", "i").sortWithinPartitions("view", "c", "i").mapInArrow(merge, schema)
+    out: dict = {}
+    for b in merged.toArrow().to_batches():  # four matrices of a fixed size
+        for view, c, i, n, v in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            out.setdefault((view, c), (n, {}))[1][i] = np.frombuffer(v, np.float64)
+    return {k: (n, np.stack([rows[i] for i in range(len(rows))])) for k, (n, rows) in out.items()}
+
+
+def co_train(spark: SparkSession, vocabulary: list[bytes], rows: Rows, y: np.ndarray, held: np.ndarray, own: np.ndarray, pool: DataFrame, rounds: int = ROUNDS) -> CoTrained:
+    """rows and y: the labelled sample, of which `held` calibrates and `own` teaches; pool: all unlabelled rows."""
+    both_y = np.concatenate([y[own], y[held]])
+    order = np.concatenate([np.flatnonzero(own), np.flatnonzero(held)])
+    is_held = np.r_[np.zeros(int(own.sum()), bool), np.ones(int(held.sum()), bool)]
+    model = CoTrained(vocabulary, *(View(rows.take(order), both_y, is_held, side) for side in (False, True)))
+    for _ in range(rounds):
+        sums = taught(spark, pool, model)
+        if not sums:
             break
-        for view, other, mine, theirs in (("content", "side", pool[0], pool[1]), ("side", "content", pool[1], pool[0])):
-            at = np.flatnonzero(free)
-            if not len(at):
-                break
-            p = sigmoid(views[view].logit(mine[at]))
-            sure = [at[k] for k in (np.argsort(-p, kind="stable")[:PER_ROUND], np.argsort(p, kind="stable")[:PER_ROUND])]
-            good = sure[0][sigmoid(views[view].logit(mine[sure[0]])) >= CONFIDENT]
-            bad = sure[1][sigmoid(views[view].logit(mine[sure[1]])) <= 1 - CONFIDENT]
-            chosen = np.concatenate([good, bad])
-            free[chosen] = False
-            x, t = taught[other]
-            taught[other] = (np.concatenate([x, theirs[chosen]]), np.concatenate([t, np.r_[np.ones(len(good)), np.zeros(len(bad))]]))
-    logits = np.stack([views["content"].logit(content[held]), views["side"].logit(side[held])], axis=1)
-    return CoTrained(vocabulary, views["content"], views["side"], Logistic(logits, y[held], ridge=0.1))
-
-
-def arrays(df: DataFrame) -> dict[str, np.ndarray]:
-    """Features of a bounded sample on the driver."""
-    t = df.toArrow().combine_chunks()
-    n = t.num_rows
-    out = {}
-    for c in t.column_names:
-        col = t.column(c).combine_chunks()
-        out[c] = col.flatten().to_numpy().reshape(n, -1) if pa.types.is_list(col.type) else col.to_numpy(zero_copy_only=False)
-    return out
-
-
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL) -> CoTrained | None:
+        for view, learner in enumerate((model.content, model.side)):
+            more = None
+            for c in (0, 1):
+                if (view, c) in sums:
+                    n, total = sums[view, c]
+                    total = total * min(1.0, max(1, learner.labelled[c]) / n)
+                    more = total if more is None else more + total
+            if more is not None:
+                learner.model.step((more[0], more[1:]))
+                learner.calibrate()
+    logits = model.logits(rows.take(held))
+    model.both = Logistic(lambda i, j: logits[i:j], y[held], ridge=0.1)
+    return model
+
+
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", most_labelled: int = MOST_LABELLED) -> CoTrained | None:
     """The classifier; None if the labels lack a class."""
     scratch = Scratch(spark, "quality")
     known = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(key).cast("long").alias("lk")).agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good"))
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col("text").alias("t"), "lang", "source")
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col("text").alias("t"), F.col("lang"), F.col("source"))
     ids = rows.select("k").where("k is not null").distinct()
     picked = scratch.save(bounded(ids.join(known, F.col("k") == F.col("lk")).select(F.col("k").alias("pk"), "good"), "pk", most_labelled), "picked")
-    pool = bounded(ids.join(known, F.col("k") == F.col("lk"), "left_anti").select(F.col("k").alias("pk"), F.lit(None).cast("int").alias("good")), "pk", most_pool)
-    chosen = picked.unionByName(scratch.save(pool, "pool"))
     # at most a fixed number of ids: 16 bytes each
-    sample = scratch.save(rows.join(F.broadcast(chosen), F.col("k") == F.col("pk")).dropDuplicates(["k"]).select("k", "t", "lang", "source", "good"), "sample")
-    told = sample.where("good is not null")
+    told = scratch.save(rows.join(F.broadcast(picked), F.col("k") == F.col("pk")).dropDuplicates(["k"]).select("k", "t", "lang", "source", "good"), "told")
     if told.select("good").distinct().count() < 2:
+        scratch.drop(picked, told)
         return None
     vocabulary = telling_pieces(told, PIECES, LEAST_ROWS)
-    got = arrays(features(sample, vocabulary, ["k", "good"]).orderBy("k"))
-    good = got["good"].astype(float)
-    labelled = ~np.isnan(good)
-    held = np.array([xxhash.xxh3_64_intdigest(str(k)) % 4 == 0 for k in got["k"][labelled]])
-    y = good[labelled]
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.arange(len(y)) % 2 == 0  # few labels: take turns
-        order = np.argsort(y, kind="stable")
-        held = held[np.argsort(order, kind="stable")]
-        if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-            held = np.ones(len(y), bool)
-    content, side = got["content"], got["side"]
-    if held.all():
-        both = (np.concatenate([content[labelled]] * 2), np.concatenate([side[labelled]] * 2), np.concatenate([y, y]), np.r_[held, ~held])
-    else:
-        both = (content[labelled], side[labelled], y, held)
-    return co_train(vocabulary, both, (content[~labelled], side[~labelled]))
+    table = features(told, vocabulary, ["k", "good"]).orderBy("k").toArrow()  # a bounded sample, some 300 bytes a row
+    y, sample = table.column("good").to_numpy().astype(float), Rows.of(table, len(vocabulary))
+    held = np.array([xxhash.xxh3_64_intdigest(str(k)) % 4 == 0 for k in table.column("k").to_pylist()])
+    own = ~held
+    if len(set(y[held])) < 2 or len(set(y[own])) < 2:
+        order = np.argsort(y, kind="stable")  # few labels: take turns
+        held = (np.arange(len(y)) % 2 == 0)[np.argsort(order, kind="stable")]
+        own = ~held
+        if len(set(y[held])) < 2 or len(set(y[own])) < 2:
+            held = own = np.ones(len(y), bool)
+    unlabelled = rows.join(F.broadcast(picked.select("pk")), F.col("k") == F.col("pk"), "left_anti")
+    pool = scratch.save(features(unlabelled, vocabulary, []), "pool")
+    model = co_train(spark, vocabulary, sample, y, held, own, pool)
+    scratch.drop(picked, told, pool)
+    return model
 
 
 def score(spark: SparkSession, docs: DataFrame, model: CoTrained | None, names: tuple[str, str, str] = ("content_score", "metadata_score", "score")) -> DataFrame:
@@ -313,10 +421,9 @@ def score(spark: SparkSession, docs: DataFrame, model: CoTrained | None, names:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                rows = [row_features(*r, index) for r in zip(*(part.column(i).to_pylist() for i in places), strict=True)]
-                logits = m.logits(np.stack([r[0] for r in rows]), np.stack([r[1] for r in rows]))
+                logits = m.logits(Rows.read(*(part.column(i).to_pylist() for i in places), index))
                 p = sigmoid(m.both.logit(logits))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sigmoid(logits[:, 0])), pa.array(sigmoid(logits[:, 1])), pa.array(p)], names=[*rest, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x.astype(np.float64)) for x in (sigmoid(logits[:, 0]), sigmoid(logits[:, 1]), p))], names=[*rest, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in rest)
     return docs.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(read, f"{kinds}, " + ", ".join(f"`{c}` double" for c in names))
