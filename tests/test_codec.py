@@ -117,3 +117,70 @@ def test_meta_header():
     for n in range(len(raw)):
         with pytest.raises(codec.Malformed):
             codec.read_meta_header(raw[:n])
+
+
+def test_one_decimal_is_exact(spark):
+    from treeloom.functions import display
+
+    values = [i / 20 for i in range(2001)] + [i / 7 for i in range(700)] + [0.25, 0.75, 99.95, 100.0, 1e-9]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    got = [f"{r['y']:.1f}" for r in df.select(display.one_decimal(df.x).alias("y")).collect()]
+    assert got == [f"{x:.1f}" for x in values]
+
+
+def test_many_sums_and_hashes_are_those_of_each():
+    import random
+
+    r = random.Random(2)
+    data = [r.randbytes(n) for n in (0, 1, 3, 4, 63, 64, 65, 128, 1000, 5000, 100_000)]
+
+    def plain(x):
+        c = 0xFFFFFFFF
+        for b in x:
+            c ^= b
+            for _ in range(8):
+                c = c >> 1 ^ 0x82F63B78 * (c & 1)
+        return c ^ 0xFFFFFFFF
+
+    assert codec.crc32c_many(data) == [plain(x) for x in data] and codec.crc32c(b"123456789") == 0xE3069283
+    assert codec.crc32c(data[8][300:], codec.crc32c(data[8][:300])) == codec.crc32c(data[8])
+    assert codec.blake3_many(data) == [codec.blake3(x) for x in data]
+
+
+def test_chunks_follow_the_algorithm_byte_by_byte():
+    import random
+
+    from treeloom.operators import cdc
+
+    def plain(data, start, sizes):
+        """The algorithm as it is told: step by step, with a running distance."""
+        n = min(len(data) - start, sizes.most)
+        if n <= sizes.least or n < sizes.least + 8:
+            return start + n
+        window, place, run = data[start + sizes.least : start + sizes.least + 8], sizes.least + 8, 0
+        while place + 8 <= n:
+            step = data[start + place : start + place + 8]
+            if step == window:
+                run += 1
+                if run == cdc.LOW_ENTROPY_RUN:
+                    return start + place + 8
+            else:
+                run = 0
+                for j in range(8):
+                    seen = data[start + place - 8 + j : start + place + j]
+                    if sum(bin(x ^ cdc.PATTERN).count("1") for x in seen) & (cdc.MASK_BEFORE if place < min(n, sizes.normal) else cdc.MASK_BEHIND) == 0:
+                        return start + place + j
+            window, place = step, place + 8
+        return start + n
+
+    r = random.Random(3)
+    for t in range(60):
+        n = r.choice([0, 7, 16, 63, 1000, 6000])
+        data = r.choice([r.randbytes(n), bytes(r.choice(b"ab") for _ in range(n)), b"\0" * n, b"abcdefgh" * (n // 8) + r.randbytes(n % 97)])
+        for sizes in (cdc.Sizes(64, 256, 1024), cdc.Sizes(8, 9, 10), cdc.Sizes(10, 33, 2000)):
+            want, at = [], 0
+            while at < len(data):
+                end = plain(data, at, sizes)
+                want.append(data[at:end])
+                at = end
+            assert cdc.chunks(data, sizes) == want

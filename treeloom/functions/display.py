@@ -90,6 +90,21 @@ def rate_owed(done: Column, rate: Column) -> Column:
     return F.when(rate <= 0, F.lit(0).cast("long")).otherwise(quotient(done) * 1_000_000_000 + quotient(done % rate * 1_000_000_000))
 
 
+def one_decimal(x: Column) -> Column:
+    """x >= 0 as a double rounded to one decimal by its exact binary value, ties to even.
+
+    Twenty times x is sixteen and four times x, both exact; their sum and its error decide on which side of half
+    a tenth x lies, which the digits of a double as shown don't tell."""
+    a, b = x * 16, x * 4
+    total = a + b
+    part = total - a
+    error = (a - (total - part)) + (b - part)
+    tenths = F.floor(total / 2)
+    rest = total - tenths * 2
+    up = (rest > 1) | (rest == 1) & ((error > 0) | (error == 0) & (tenths % 2 == 1))
+    return (tenths + up.cast("long")) / F.lit(10.0)
+
+
 def progress(done: Column, total: Column, files: Column, all_files: Column, seconds: Column, width: int = 16) -> Column:
     """An ingest's progress line. An empty total counts as done; the time left comes from the rate so far."""
     rate = F.when(seconds > 0, done / seconds).otherwise(F.lit(0.0))
@@ -97,7 +112,7 @@ def progress(done: Column, total: Column, files: Column, all_files: Column, seco
     # whole seconds, as the rate isn't finer
     left = F.when((total > 0) & (done > 0) & (done < total) & (rate > 0), duration(F.floor((total - done) / rate))).otherwise("--:--")
     return F.concat(
-        F.lit("ingest "), F.format_string("%5.1f", F.bround(percent, 1)), F.lit("% "), bar(percent, width),
+        F.lit("ingest "), F.format_string("%5.1f", one_decimal(percent)), F.lit("% "), bar(percent, width),
         F.lit("  "), human_bytes(done), F.lit("/"), human_bytes(total),
         F.lit("  "), human_bytes(F.floor(rate).cast("long")), F.lit("/s  elapsed "), duration(seconds), F.lit("  eta "), left,
         F.lit("  files "), files.cast("string"), F.lit("/"), all_files.cast("string"),

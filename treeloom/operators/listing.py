@@ -27,9 +27,15 @@ def out_of_order(entries: DataFrame) -> DataFrame:
 def by_separator(wanted: DataFrame, leaves: DataFrame) -> DataFrame:
     """The leaf that may hold each wanted name: the first whose greatest name isn't below it.
 
-    leaves: dir, lo (greatest name of the leaf before, null of the first), hi and key."""
-    inside = (F.col("lo").isNull() | (F.col("name") > F.col("lo"))) & (F.col("name") <= F.col("hi"))
-    return wanted.join(leaves, "dir").where(inside)
+    leaves: dir, lo (greatest name of the leaf before, null of the first), hi and key. Names and leaves of a
+    directory are read once together, from the last name to the first, with the leaf behind at hand."""
+    inside = [c for c in leaves.columns if c != "dir"]
+    asked = [c for c in wanted.columns if c != "dir"]
+    leaf, ask = F.struct(*inside).alias("_leaf"), F.struct(*asked).alias("_ask")
+    both = leaves.select("dir", F.col("hi").alias("_at"), leaf).unionByName(wanted.select("dir", F.col("name").alias("_at"), ask), allowMissingColumns=True)
+    behind = Window.partitionBy("dir").orderBy(F.desc("_at"), F.col("_leaf").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_found", F.last("_leaf", ignorenulls=True).over(behind)).where(F.col("_ask").isNotNull() & F.col("_found").isNotNull())
+    return found.select("dir", "_ask.*", "_found.*")
 
 
 def parse_spec(spec: Column) -> Column:
@@ -46,11 +52,12 @@ def parse_spec(spec: Column) -> Column:
 def lines(entries: DataFrame, now: Column, keys: bool = False) -> DataFrame:
     """Listing lines: mode, uid, gid, size, mtime and name, numbers right-aligned over the listing.
 
-    entries: name, mode, uid, gid, size (text), mtime (timestamp), target and key (hex), both nullable."""
-    width = {c: F.max(F.length(F.col(c).cast("string"))).over(Window.partitionBy(F.lit(0))) for c in ("uid", "gid", "size")}
-    padded = {c: F.lpad(F.col(c).cast("string"), F.col(f"_{c}"), F.lit(" ")) for c in width}
+    entries: name, mode, uid, gid, size (text), mtime (timestamp), target and key (hex), both nullable. The widths
+    are one row for the whole listing, broadcast to all lines; other columns pass."""
+    width = entries.agg(*[F.max(F.length(F.col(c).cast("string"))).alias(f"_{c}") for c in ("uid", "gid", "size")])
+    padded = {c: F.lpad(F.col(c).cast("string"), F.col(f"_{c}"), F.lit(" ")) for c in ("uid", "gid", "size")}
     name = F.concat("name", F.when(F.length("target") > 0, F.concat(F.lit(" -> "), "target")).otherwise(""))
     if keys:
         name = F.concat(name, F.when(F.col("key").isNotNull(), F.concat(F.lit(" "), "key")).otherwise(""))
     line = F.concat_ws(" ", display.mode_string(F.col("mode")), padded["uid"], padded["gid"], padded["size"], display.mtime(F.col("mtime"), now), name)
-    return entries.withColumns({f"_{c}": w for c, w in width.items()}).select("name", line.alias("line"))
+    return entries.crossJoin(F.broadcast(width)).withColumn("line", line).drop("_uid", "_gid", "_size")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeloom.operators import chains
+from treeloom.scratch import Scratch
+
 #: Bytes of a record beside its payload, and of a segment's first bytes.
 RECORD_HEADER, SEGMENT_HEADER = 46, 8
 
@@ -14,26 +18,72 @@ def cost(slen: Column) -> Column:
     return slen + RECORD_HEADER
 
 
+def exits(before: np.ndarray, full: int) -> np.ndarray:
+    """Rows (last, exit, row, starts): from any record of a part as a segment's first, the place, as bytes and as a
+    row, where the last segment that starts in the part does, and how many start there behind it. Neighbours
+    that leave alike are one row, of the last of them. before: bytes of the part in front of each record."""
+    n = len(before)
+    follow = np.maximum(np.searchsorted(before, before + full, "left"), np.arange(n) + 1)
+    follow = np.append(follow, n)
+    last, starts = np.arange(n + 1), np.r_[(follow[:n] < n).astype(np.int64), 0]
+    jump = np.where(follow < n, follow, last)
+    while (jump != jump[jump]).any():  # doubling: as many rounds as the logarithm of the segments in the part
+        starts = starts + np.where(jump != last, starts[jump], 0)
+        jump = jump[jump]
+    at, starts = jump[:n], starts[:n]
+    ends = np.flatnonzero(np.r_[(at[1:] != at[:-1]) | (starts[1:] != starts[:-1]), True])
+    return np.stack([before[ends], before[at[ends]], at[ends], starts[ends]], axis=1)
+
+
 def assign(records: DataFrame, order: str, slen: str, threshold: int, first: int = 0) -> DataFrame:
     """records with segment_id, pos and off: a segment is sealed after the append that fills it.
 
-    Where a segment ends depends on all appends before it, so this is a fold in one order: only the
-    order and sizes (narrow rows) go through it, as a stream over one sorted partition."""
-
-    def fold(batches):
-        segment, pos, size = first, 0, SEGMENT_HEADER
-        for b in batches:
-            out = []
-            for n in b.column(1).to_pylist():
-                out.append((segment, pos, size))
-                size, pos = size + RECORD_HEADER + n, pos + 1
-                if size >= threshold:
-                    segment, pos, size = segment + 1, 0, SEGMENT_HEADER
-            s, p, o = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.int64()), pa.array(p, pa.int32()), pa.array(o, pa.int64())], names=[order, "segment_id", "pos", "off"])
-
-    narrow = records.select(F.col(order).cast("long"), F.col(slen).cast("long")).coalesce(1).sortWithinPartitions(order)
-    placed = narrow.mapInArrow(fold, f"`{order}` long, segment_id long, pos int, off long")
+    Where a segment ends depends on all appends before it. Parts of the order say at once where the last segment
+    would start from any entry; only the way through these answers, a few numbers a part, is sequential."""
+    spark = records.sparkSession
+    scratch = Scratch(spark, "assign")
+    full = max(1, threshold - SEGMENT_HEADER)
+    narrow = records.select(F.col(order).cast("long").alias("o"), F.col(slen).cast("long").alias("n"))
+    numbered = chains.parts(narrow, ["o"], scratch)
+
+    def sizes(rows):
+        rows = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in rows]
+        o, n = (np.concatenate(c) for c in zip(*rows, strict=True))
+        return o, np.r_[0, np.cumsum(n + RECORD_HEADER)]
+
+    def tell(part, rows):
+        _, total = sizes(rows)
+        table = exits(total[:-1], full)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(total) - 1], pa.int64()), pa.array([int(total[-1])], pa.int64()), pa.array([table.astype(np.int64).tobytes()], pa.binary())], names=["part", "rows", "bytes", "table"])
+
+    told = chains.each_part(numbered, ["o"], tell, "part int, rows long, bytes long, table binary").orderBy("part").toLocalIterator()
+    entries, segment, start, row, at, n = {}, first - 1, None, 0, 0, 0
+    for r in told:  # one part after the other: bytes and rows in front of it, and the segment that is open there
+        entries[r["part"]] = (at, n, segment, start, row)
+        table = np.frombuffer(r["table"], np.int64).reshape(-1, 4)
+        entry = 0 if start is None else start + full - at
+        i = int(np.searchsorted(table[:, 0], entry, "left"))
+        if i < len(table):
+            segment, start, row = segment + 1 + int(table[i, 3]), at + int(table[i, 1]), n + int(table[i, 2])
+        at, n = at + r["bytes"], n + r["rows"]
+    sent = spark.sparkContext.broadcast(entries)  # five numbers a part
+
+    def place(part, rows):
+        at, n, segment, start, row = sent.value[part]
+        o, total = sizes(rows)
+        before, starts = total[:-1], []
+        i = int(np.searchsorted(before, 0 if start is None else start + full - at, "left"))
+        while i < len(before):
+            starts.append(i)
+            i = max(int(np.searchsorted(before, before[i] + full, "left")), i + 1)
+        which = np.searchsorted(np.array(starts, np.int64), np.arange(len(before)), "right")  # 0: the segment that was open
+        begin = np.r_[0 if start is None else start - at, before[starts]] if starts else np.array([0 if start is None else start - at])
+        begin_row = np.r_[row - n, starts] if starts else np.array([row - n])
+        off = SEGMENT_HEADER + before - begin[which]
+        pos = np.arange(len(before)) - begin_row[which]
+        yield pa.RecordBatch.from_arrays([pa.array(o), pa.array(segment + which, pa.int64()), pa.array(pos.astype(np.int32)), pa.array(off.astype(np.int64))], names=[order, "segment_id", "pos", "off"])
+
+    placed = chains.each_part(numbered, ["o"], place, f"`{order}` long, segment_id long, pos int, off long")
     return records.join(placed, order)
 
 

@@ -9,7 +9,8 @@ from treeloom.functions import codec, display, keys, names
 from treeloom.operators import cdc, closure, dedup, figures, listing, refs, runs, segments
 from treeloom.plans import store
 from treeloom.scratch import small_batches
-from treeloom.sources import wirepack
+from treeloom.sources import filesystem, ignore, wirepack
+from treeloom.streaming import inbox
 
 NOW = "2024-01-01 00:00:00"
 BITS = 3
@@ -326,17 +327,21 @@ def index_levels(spark, d):
     return up.groupBy("dir").agg(F.count(F.lit(1)).alias("leaves"), (F.max("run") + 1).alias("nodes"))
 
 
+#: Ignore files of the virtual tree: the root's, and src1's, by directory.
+IGNORE = {(): "*9\n!src*/\nfr/\n", ("src1",): "!*9\n"}
+
+
 @query
 def ignore_filter(spark, d):
-    """Rules *9 (any level), !/src1 first part kept, fr/ (directories): the last match counts."""
-    f = store.files(spark, d)
-    rule = F.when(F.col("lang") == "fr", F.lit(True)).when(F.col("source") == "src1", F.lit(False)).otherwise(F.col("name").rlike("9$"))
-    return f.where(~rule).select("doc_id", F.concat_ws("/", "source", "lang", "name").alias("path"))
+    """Files that the ignore files of the root and of src1 leave, by the rules of sources.ignore."""
+    files = store.files(spark, d).select("doc_id", F.concat_ws("/", "source", "lang", "name").alias("path"))
+    return ignore.kept(files, "path", IGNORE)
 
 
 @query
 def scan_totals(spark, d):
-    return store.files(spark, d).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    mode = F.when(F.col("doc_id") % 10 == 0, F.lit(0o040755)).otherwise(F.lit(0o100644)).cast("long")
+    return filesystem.totals(store.files(spark, d).select(mode.alias("mode"), "size"))
 
 
 @query
@@ -380,10 +385,10 @@ def progress_bar(spark, d):
 
 @query
 def listing_lines(spark, d):
-    e = store.files(spark, d).where((F.col("source") == "src0") & (F.col("lang") == "en"))
+    e = store.files(spark, d)
     when = F.timestamp_seconds(F.lit(1_690_000_000) + F.col("doc_id") * 40_000)
     e = e.select("name", F.lit(0o100644).cast("long").alias("mode"), (F.col("doc_id") % 1200).alias("uid"), F.lit(100).cast("long").alias("gid"), F.col("size").cast("string").alias("size"), when.alias("mtime"), F.lit("").alias("target"), F.lit(None).cast("string").alias("key"))
-    return listing.lines(e, F.lit(NOW).cast("timestamp"))
+    return listing.lines(e, F.lit(NOW).cast("timestamp")).select("name", "line")
 
 
 @query
@@ -418,33 +423,42 @@ def unsafe_names(spark, d):
 
 @query
 def inbox_pending(spark, d):
-    c = store.table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turns"))
-    return c.groupBy((F.col("conv_id") % 10).alias("root")).agg(F.count(F.lit(1)).alias("pending"))
+    """Packs, one a conversation, that no batch has taken: those with labels are done."""
+    path = F.concat(F.lit("conv/"), F.col("conv_id").cast("string"))
+    staged = store.table(spark, d, "conversations").select(path.alias("path"), (F.col("conv_id") % 10).alias("root")).distinct()
+    done = store.table(spark, d, "conversations").where(F.col("conv_id") % 3 == 0).select(path.alias("path")).distinct()
+    return inbox.pending(staged, done)
 
 
 @query
 def length_audit(spark, d):
-    """Directories whose key's length isn't that of their body and what is below: none."""
-    t = store.Tree(spark, d)
-    return t.langs.where(keys.length(F.col("key")) != F.col("length")).agg(F.count(F.lit(1)).alias("wrong"))
+    """Files whose key tells another length than their text has: every eleventh key is made wrong here."""
+    text, size = F.coalesce("text", F.lit("")), F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    wrong = F.when(F.col("doc_id") % 11 == 0, size + 1).otherwise(size)
+    objects = store.table(spark, d, "documents").select("doc_id", keys.key(keys.BLOB, wrong, keys.digest(text)).alias("key"), size.alias("size"))
+    return objects.where(keys.length(F.col("key")) != F.col("size")).select("doc_id", keys.length(F.col("key")).alias("told"), "size")
 
 
 @query
 def record_roundtrip(spark, d):
+    """Documents framed as records, compressed where that is smaller, and what parsing gives back."""
+    import hashlib
+
     import pyarrow as pa
 
     def read(batches):
         for b in batches:
             rows = []
             texts = [(t or "").encode() for t in b.column(1).to_pylist()]
-            for doc, data, h in zip(b.column(0).to_pylist(), texts, codec.blake3_many(texts), strict=True):
-                k, _ = codec.blob(data, lambda _, h=h: h)
-                r = codec.parse_record(codec.encode_record(k, data))
-                rows.append((doc, r.flags, r.ulen, codec.payload(r) == data))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], names=["doc_id", "flags", "ulen", "same"])
+            made = [codec.blob(x, lambda _, h=h: h)[0] for x, h in zip(texts, codec.blake3_many(texts), strict=True)]
+            for doc, k, framed in zip(b.column(0).to_pylist(), made, codec.encode_records(list(zip(made, texts, strict=True))), strict=True):
+                r = codec.parse_record(framed)
+                data = codec.payload(r)
+                rows.append((doc, r.ulen, r.slen <= r.ulen and r.key == k, hashlib.sha256(data).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.string()), strict=True)], names=["doc_id", "ulen", "same", "sha"])
 
     small_batches(spark)
-    return store.table(spark, d, "documents").select("doc_id", "text").mapInArrow(read, "doc_id long, flags int, ulen long, same boolean")
+    return store.table(spark, d, "documents").select("doc_id", "text").mapInArrow(read, "doc_id long, ulen long, same boolean, sha string")
 
 
 @query
@@ -466,6 +480,16 @@ def cdc_chunks(spark, d):
     return chunks.select("page_id", "ord", F.octet_length("chunk").alias("bytes"), F.sha2("chunk", 256).alias("sha"))
 
 
+@query
+def cdc_reassembled(spark, d):
+    """Pages cut into chunks and put together again: bytes, digest, and whether all chunks keep to the sizes."""
+    sizes = cdc.Sizes(256, 1024, 4096)
+    chunks = cdc.split(store.table(spark, d, "pages").select("page_id", F.col("html").cast("binary").alias("html")), "page_id", "html", sizes)
+    n = F.octet_length("chunk")
+    whole = chunks.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.hex("chunk").alias("x")))).alias("parts"), F.sum(n).cast("long").alias("bytes"), F.max(n).alias("most"))
+    return whole.select("page_id", "bytes", F.sha2(F.unhex(F.array_join(F.transform("parts", lambda s: s["x"]), "")), 256).alias("sha"), (F.col("most") <= sizes.most).alias("within"))
+
+
 @query
 def pack_stream(spark, d):
     """Documents written as wire packs of bounded size and read again."""
@@ -478,8 +502,8 @@ def pack_stream(spark, d):
 
 @query
 def progress_lines(spark, d):
-    """Progress of reading each order's pages: a line every 50 orders."""
-    o = store.table(spark, d, "orders").where(F.col("o_orderkey") % 50 == 0)
+    """Progress of reading each order's pages: a line an order."""
+    o = store.table(spark, d, "orders")
     done, total = F.col("o_orderkey") * 3000, F.lit(30_000_000).cast("long")
     line = display.progress(done, total, F.col("o_orderkey"), F.lit(10_000), (F.col("o_orderkey") / 8).cast("double"))
     return o.select("o_orderkey", line.alias("line"))
@@ -487,7 +511,7 @@ def progress_lines(spark, d):
 
 @query
 def cbor_dirleaf_roundtrip(spark, d):
-    """Leaves of eight documents each, encoded and decoded again."""
+    """Leaves of eight documents each, encoded and decoded again: what a leaf's key says is below it, and its entries' names."""
     import pyarrow as pa
 
     f = store.files(spark, d).select((F.col("doc_id") / 8).cast("long").alias("leaf"), F.struct("name", "key").alias("e"))
@@ -499,11 +523,13 @@ def cbor_dirleaf_roundtrip(spark, d):
             for leaf, listed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 made = [codec.Entry(e["name"].encode(), 0o100644, content=e["key"]) for e in listed]
                 k, data = codec.dir_leaf(made)
-                rows.append((leaf, k.hex(), codec.key_length(k) - len(data), codec.entries(data) == made))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["leaf", "key", "below", "same"])
+                again = codec.entries(data)
+                below = codec.key_length(k) - len(data)
+                rows.append((leaf, below, again == made and codec.verify_object(k, data) is None, ",".join(f"{e.name.decode()}={e.content.hex()}" for e in again)))
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["leaf", "below", "same", "entries"])
 
-    return leaves.mapInArrow(read, "leaf long, key string, below long, same boolean")
+    return leaves.mapInArrow(read, "leaf long, below long, same boolean, entries string")
 
 
 @query
@@ -511,8 +537,6 @@ def inbox_stream(spark, d):
     """Conversations staged as packs (header and body in a column) and opened as the stream's batches are."""
     import pyarrow as pa
 
-    from treeloom.streaming import inbox
-
     turns = store.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
 
     def stage(batches):

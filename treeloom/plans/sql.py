@@ -146,22 +146,27 @@ SQL = {
 up AS (SELECT dir, rn, CAST(0 AS BIGINT) AS run, 1 AS n, hit FROM up0 WHERE rn = 1 UNION ALL SELECT x.dir, x.rn, CASE WHEN f.n >= 32 OR f.n >= 2 AND f.hit THEN f.run + 1 ELSE f.run END, CASE WHEN f.n >= 32 OR f.n >= 2 AND f.hit THEN 1 ELSE f.n + 1 END, x.hit FROM up f JOIN up0 x ON x.dir = f.dir AND x.rn = f.rn + 1)
 SELECT dir, count(*) AS leaves, max(run) + 1 AS nodes FROM up GROUP BY dir""",
     "ignore_filter": f"WITH {FILES} SELECT doc_id, source || '/' || lang || '/' || name AS path FROM files WHERE NOT CASE WHEN lang = 'fr' THEN true WHEN source = 'src1' THEN false ELSE name LIKE '%9' END",
-    "scan_totals": f"WITH {FILES} SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files",
+    "scan_totals": f"WITH {FILES} SELECT count(*) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM files WHERE doc_id % 10 <> 0",
     "mode_string": f"WITH x AS (SELECT o_orderkey, CAST(list_extract([{0o100000}, {0o040000}, {0o120000}, {0o060000}, {0o020000}, {0o010000}, {0o140000}, 0], CAST(o_orderkey % 8 + 1 AS BIGINT)) + (o_orderkey * 7) % 4096 AS BIGINT) AS m FROM orders) SELECT o_orderkey, {MODE} AS mode FROM x",
     "human_bytes": f"WITH {SIZES} SELECT l_orderkey, l_linenumber, {HUMAN1} AS shown FROM sizes",
     "human_bytes2": f"WITH {SIZES} SELECT l_orderkey, l_linenumber, {scaled(2, 1024.0)} AS shown FROM sizes",
     "format_duration": "WITH x AS (SELECT o_orderkey, greatest(CAST(round(o_totalprice - 1000) AS BIGINT), 0) AS s FROM orders) SELECT o_orderkey, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS shown FROM x",
     "format_mtime": f"WITH x AS (SELECT o_orderkey, o_orderdate AS t, TIMESTAMP '1998-01-15 12:00:00' AS now FROM orders) SELECT o_orderkey, {MTIME} AS shown FROM x",
     "progress_bar": "WITH x AS (SELECT l_orderkey, l_linenumber, CAST(trunc(least(greatest(l_quantity * 2.5 - 10, 0.0), 100.0) / 100 * 20) AS INTEGER) AS f FROM lineitem) SELECT l_orderkey, l_linenumber, '[' || repeat(chr(9608), f) || repeat(chr(9617), 20 - f) || ']' AS bar FROM x",
-    "listing_lines": f"WITH {FILES}, x AS (SELECT name, CAST(doc_id % 1200 AS VARCHAR) AS uid, CAST(size AS VARCHAR) AS size, TIMESTAMP '1970-01-01 00:00:00' + to_seconds(1690000000 + doc_id * 40000) AS t, TIMESTAMP '{NOW}' AS now FROM files WHERE source = 'src0' AND lang = 'en') SELECT name, '-rw-r--r-- ' || lpad(uid, (SELECT max(length(uid)) FROM x)::INTEGER, ' ') || ' 100 ' || lpad(size, (SELECT max(length(size)) FROM x)::INTEGER, ' ') || ' ' || {MTIME} || ' ' || name AS line FROM x",
+    "listing_lines": f"WITH {FILES}, x AS (SELECT name, CAST(doc_id % 1200 AS VARCHAR) AS uid, CAST(size AS VARCHAR) AS size, TIMESTAMP '1970-01-01 00:00:00' + to_seconds(1690000000 + doc_id * 40000) AS t, TIMESTAMP '{NOW}' AS now FROM files) SELECT name, '-rw-r--r-- ' || lpad(uid, (SELECT max(length(uid)) FROM x)::INTEGER, ' ') || ' 100 ' || lpad(size, (SELECT max(length(size)) FROM x)::INTEGER, ' ') || ' ' || {MTIME} || ' ' || name AS line FROM x",
     "percentile_element": "SELECT l_returnflag, list_extract(list_sort(list(l_extendedprice)), CAST(1 + least(count(*) - 1, floor(count(*) * 0.5)) AS BIGINT)) AS p50, list_extract(list_sort(list(l_extendedprice)), CAST(1 + least(count(*) - 1, floor(count(*) * 0.95)) AS BIGINT)) AS p95 FROM lineitem GROUP BY l_returnflag",
     "bench_windows": 'SELECT CAST(o_orderkey // 100 AS BIGINT) AS "window", count(*) AS n, avg(o_totalprice) AS mean FROM orders GROUP BY 1',
     "bench_classes": "SELECT o_orderkey % 10 < 3 AS kept, count(*) AS refs, CAST(sum(CASE WHEN o_orderkey % 10 < 3 THEN 100 ELSE 30 END) AS BIGINT) AS mib FROM orders GROUP BY 1",
     "throttle_owed": "WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey * 1000003 AS n, l_suppkey + 1000 AS r FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(n // r * 1000000000 + (n % r) * 1000000000 // r AS BIGINT) AS ns FROM x",
     "unsafe_names": "SELECT p_partkey, p_partkey % 5 <= 1 AS entry, p_partkey % 7 <= 1 AS path FROM part",
-    "inbox_pending": "SELECT conv_id % 10 AS root, count(DISTINCT conv_id) AS pending FROM conversations GROUP BY 1",
-    "length_audit": "SELECT CAST(0 AS BIGINT) AS wrong",
-    "progress_lines": f"""WITH x AS (SELECT o_orderkey AS k, CAST(o_orderkey * 3000 AS BIGINT) AS d, CAST(30000000 AS BIGINT) AS t, o_orderkey / 8.0 AS s FROM orders WHERE o_orderkey % 50 = 0),
+    "inbox_pending": "SELECT conv_id % 10 AS root, count(DISTINCT conv_id) AS pending FROM conversations WHERE conv_id % 3 <> 0 GROUP BY 1",
+    "length_audit": "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS told, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size FROM documents WHERE doc_id % 11 = 0",
+    "record_roundtrip": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS ulen, true AS same, sha256(coalesce(text, '')) AS sha FROM documents",
+    "pack_stream": f"WITH t AS (SELECT coalesce(text, '') AS t FROM documents) SELECT {key(0, 'strlen(t)', 't')} AS key, CAST(strlen(t) AS BIGINT) AS ulen, sha256(t) AS sha, CAST(NULL AS VARCHAR) AS error FROM t",
+    "cdc_reassembled": "SELECT page_id, CAST(strlen(html) AS BIGINT) AS bytes, sha256(html) AS sha, true AS within FROM pages WHERE strlen(html) > 0",
+    "cbor_dirleaf_roundtrip": f"WITH {FILES} SELECT CAST(doc_id // 8 AS BIGINT) AS leaf, CAST(sum(size) AS BIGINT) AS below, true AS same, string_agg(name || '=' || key, ',' ORDER BY name) AS entries FROM files GROUP BY 1",
+    "inbox_stream": "SELECT 'conv/' || CAST(conv_id AS VARCHAR) AS path, CASE WHEN conv_id % 10 = 3 THEN 0 ELSE count(*) END AS objects, CASE WHEN conv_id % 10 = 3 THEN 'truncated before the end marker' END AS error FROM conversations GROUP BY conv_id",
+    "progress_lines": f"""WITH x AS (SELECT o_orderkey AS k, CAST(o_orderkey * 3000 AS BIGINT) AS d, CAST(30000000 AS BIGINT) AS t, o_orderkey / 8.0 AS s FROM orders),
 y AS (SELECT *, CASE WHEN s > 0 THEN d / s ELSE 0.0 END AS rate, least(d / t * 100, 100.0) AS pct, CAST(round(s) AS BIGINT) AS e FROM x),
 z AS (SELECT *, CAST(floor((t - d) / nullif(rate, 0)) AS BIGINT) AS l FROM y)
 SELECT k AS o_orderkey, 'ingest ' || printf('%5.1f', pct) || '% [' || repeat(chr(9608), CAST(trunc(pct / 100 * 16) AS INTEGER)) || repeat(chr(9617), 16 - CAST(trunc(pct / 100 * 16) AS INTEGER)) || ']  ' || {human('d')} || '/' || {human('t')} || '  ' || {human('CAST(floor(rate) AS BIGINT)')} || '/s  elapsed ' || {clock('e')}

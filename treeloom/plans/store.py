@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from treeloom.functions import keys
 from treeloom.operators import segments
+from treeloom.scratch import Scratch
 
 THRESHOLD = 64 << 10
 
@@ -37,9 +38,9 @@ def joined(order: str, item: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("i")))), lambda s: s["i"]), ",")
 
 
-def file_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nodes_of(lines: DataFrame) -> DataFrame:
     """doc_id and key of each document's node over its lines."""
-    nodes = lines(spark, sf_dir).groupBy("doc_id").agg(F.sum("size").alias("length"), joined("ord", keys.text(F.col("key"))).alias("body"))
+    nodes = lines.groupBy("doc_id").agg(F.sum("size").alias("length"), joined("ord", keys.text(F.col("key"))).alias("body"))
     return nodes.select("doc_id", keys.key(keys.FILE_NODE, F.col("length"), keys.digest(F.col("body"))).alias("key"), "length")
 
 
@@ -55,12 +56,13 @@ class Tree:
     """Directories and edges of the virtual tree: root, sources, languages, files, lines."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.lines = lines(spark, sf_dir)
-        self.nodes = file_nodes(spark, sf_dir)
+        scratch = Scratch(spark, "tree")
+        self.lines = scratch.save(lines(spark, sf_dir).select("doc_id", "ord", "size", "key"), "lines")
+        self.nodes = scratch.save(nodes_of(self.lines), "nodes")
         where = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.col("doc_id").cast("string").alias("name"))
         self.files = where.join(self.nodes, "doc_id")
-        self.langs = directory(self.files, ["source", "lang"], keys.DIR_LEAF)
-        self.sources = directory(self.langs.withColumnRenamed("lang", "name"), ["source"], keys.DIR_LEAF)
+        self.langs = scratch.save(directory(self.files, ["source", "lang"], keys.DIR_LEAF), "langs")
+        self.sources = scratch.save(directory(self.langs.withColumnRenamed("lang", "name"), ["source"], keys.DIR_LEAF), "sources")
         self.root = directory(self.sources.withColumnRenamed("source", "name").withColumn("all", F.lit(1)), ["all"], keys.DIR_LEAF).select("key", "length")
 
     def entries(self) -> DataFrame:

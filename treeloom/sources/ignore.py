@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 #: The ignore file's name: a parameter.
 FILE_NAME = ".treeignore"
 
@@ -79,3 +82,35 @@ class Matcher:
             if regex.match("/".join(whole[depth:])):
                 return not again
         return False
+
+
+def kept(files: DataFrame, path: str, rules: dict[tuple[str, ...], str]) -> DataFrame:
+    """The rows whose path, of parts joined by slashes, no ignore file excludes, nor any directory above it.
+
+    rules: the text of the ignore file of each directory that has one, by its path's parts."""
+    at = files.columns.index(path)
+
+    def read(batches):
+        known: dict[tuple[str, ...], Matcher | None] = {}
+
+        def below(parts: tuple[str, ...]) -> Matcher | None:
+            """The patterns in force in a directory; None if it is ignored itself."""
+            if parts not in known:
+                if len(known) > 100_000:
+                    known.clear()
+                above = below(parts[:-1]) if parts else Matcher()
+                if parts and (above is None or above.ignored(parts[-1], True)):
+                    known[parts] = None
+                else:
+                    known[parts] = above.descend(parts[-1] if parts else None, rules.get(parts))
+            return known[parts]
+
+        for b in batches:
+            keep = []
+            for x in b.column(at).to_pylist():
+                *folder, name = x.split("/")
+                m = below(tuple(folder))
+                keep.append(m is not None and not m.ignored(name, False))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return files.mapInArrow(read, files.schema)
