@@ -158,6 +158,91 @@ def test_grey_keys_survive(spark, tmp_path):
         e.put(spark.createDataFrame([(objects[0][0], b"other")], "key binary, payload binary"), verify=True)
 
 
+def test_records_as_stored(spark, tmp_path):
+    e = engine(spark, tmp_path)
+    objects = [codec.blob(b"word " * 900), codec.blob(random.Random(1).randbytes(700)), codec.blob(b"")]
+    assert e.put(spark.createDataFrame(objects, "key binary, payload binary")).bytes_stored == 4500 + 700
+    for k, data in objects:
+        r = codec.parse_record(e.get_record(k))
+        assert r.key == k and codec.payload(r) == data and e.stored_size(k) == r.slen and e.get(k) == data
+        at = e.index().where(f"hex(key) = '{k.hex().upper()}'").head()
+        assert e.record_at(at["segment_id"], at["off"]) == e.get_record(k)
+    assert e.stored_size(objects[0][0]) < 200 and e.stored_size(objects[1][0]) == 700
+    assert e.get_many([objects[2][0], objects[0][0], codec.blob(b"no")[0]]) == dict(objects[::2])
+    with pytest.raises(NotFound):
+        e.record_at(99, 8)
+    other = Engine(spark, f"file://{tmp_path}/other", Options(4096, SIZES, 3))
+    framed = spark.createDataFrame([(codec.encode_record(*x),) for x in objects], "record binary")
+    assert other.put_records(framed).stored == 3 and other.put_records(framed).deduped == 3 and other.verify().isEmpty()
+    assert sorted(other.get_record(k) for k, _ in objects) == sorted(e.get_record(k) for k, _ in objects)
+    with pytest.raises(Exception, match="checksum"):
+        other.put_records(spark.createDataFrame([(codec.encode_record(*objects[1])[:-1] + b"?",)], "record binary"))
+
+
+def test_scrub_finds_each_fault(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    e = engine(spark, tmp_path)
+    objects = sorted(codec.blob(bytes([65 + i]) * (30 + i)) for i in range(5))
+    e.put(spark.createDataFrame(objects, "key binary, payload binary"))
+    rows = e.records().where("key is not null")
+    bad = lambda i: F.col("key") == F.lit(objects[i][0])
+    harmed = rows.withColumn("data", F.when(bad(0), F.lit(b"other")).otherwise(F.col("data"))).withColumn("crc", F.when(bad(1), 7).otherwise(F.col("crc"))).withColumn("off", F.when(bad(2), 9).otherwise(F.col("off")))
+    worse = Engine(spark, f"file://{tmp_path}/worse")
+    harmed.write.partitionBy("segment_id").parquet(f"{worse.path}/objects")
+    found = {bytes(r["key"]): r["why"] for r in worse.verify().collect()}
+    assert set(found) == {objects[i][0] for i in range(3)} and found[objects[1][0]] == "record checksum" and found[objects[2][0]] == "place"
+
+
+def test_writes_during_a_cycle_keep_what_they_meet(spark, tmp_path, monkeypatch):
+    e = engine(spark, tmp_path)
+    objects = [codec.blob(bytes([i]) * 50) for i in range(6)]
+    frame = lambda which: spark.createDataFrame([objects[i] for i in which], "key binary, payload binary")
+    e.put(frame(range(6)))
+    plain, calls = e.live, []
+
+    def meanwhile(grey=None):
+        out = plain(grey)
+        if not calls:
+            calls.append(e.put(frame([2, 4])).deduped)  # dead objects that a write finds stored
+        return out
+
+    monkeypatch.setattr(e, "live", meanwhile)
+    stats = e.gc_run(0)
+    assert calls == [2] and [e.has(k) for k, _ in objects] == [i in (2, 4) for i in range(6)]
+    assert stats["copied_records"] == 2 and not e.capturing()
+    last = e.gc_report()["last"]
+    assert last["copied_records"] == 2 and last["error"] is None
+    report = e.gc_report()
+    assert report["refs"] == 0 and report["marked"] == 0 and report["live_bytes"] == 0 and report["garbage_bytes"] == 2 * (46 + e.stored_size(objects[2][0])) and report["eligible"] >= 1
+    assert {r["eligible"] for r in e.gc_status(grace_ns=10**15).collect()} == {False}
+    e.begin_barrier()
+    with pytest.raises(RuntimeError):
+        e.gc_run(0)
+    e.end_barrier()
+
+
+def test_jobs_grow_with_depth_and_not_with_objects(spark, tmp_path):
+    def jobs(n):
+        root = tmp_path / f"wide{n}"
+        root.mkdir()
+        for i in range(n):
+            (root / f"f{i:03}").write_bytes(random.Random(i).randbytes(900))
+        e = Engine(spark, f"file://{tmp_path}/wide-store{n}", Options(1 << 20, SIZES, 7))
+        e.ingest(str(root), "w")
+        group = f"count-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        listed = e.ls("ref:w")
+        e.export("ref:w", str(tmp_path / f"{n}.tar"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        with tarfile.open(tmp_path / f"{n}.tar") as t:
+            assert t.getnames() == [f"f{i:03}" for i in range(n)] and t.extractfile(f"f{n - 1:03}").read() == random.Random(n - 1).randbytes(900)
+        assert len(listed) == n
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(60) <= jobs(6) + 8
+
+
 def test_archive_refuses(tmp_path):
     def tar(*members):
         out = io.BytesIO()

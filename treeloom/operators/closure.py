@@ -41,22 +41,6 @@ def why(spark: SparkSession, edges: DataFrame, refs: DataFrame, keys: DataFrame)
     return refs.join(reaching(spark, edges, keys).select("key"), "key", "left_semi").select("name").orderBy("name")
 
 
-def walk(spark: SparkSession, entries: DataFrame, root: DataFrame) -> DataFrame:
-    """path, key and depth of everything below a root directory; entries: dir, name, key (null of what has no content).
-
-    A shared subtree is listed under each of its paths."""
-    scratch = Scratch(spark, "walk")
-    entries = scratch.save(entries.select("dir", "name", "key"), "entries")
-    level = scratch.save(root.select(F.lit("").alias("path"), "key", F.lit(0).alias("depth")), "level")
-    found = level
-    while not level.isEmpty():
-        below = level.select(F.col("key").alias("dir"), F.col("path").alias("at"), "depth").join(entries, "dir")
-        path = F.when(F.col("at") == "", F.col("name")).otherwise(F.concat_ws("/", "at", "name"))
-        level = scratch.save(below.select(path.alias("path"), "key", (F.col("depth") + 1).alias("depth")), "level")
-        found = found.unionByName(level)
-    return found
-
-
 def resolve(entries: DataFrame, root: DataFrame, paths: DataFrame, depth: int, literal_dots: bool = False) -> DataFrame:
     """id, path, key and error of paths below a root by one join a component, at most `depth` of them.
 
