@@ -591,6 +591,8 @@ def test_substrings(spark, documents, bits, groups):
     texts = [None, "", "few words", passage, "a b " * 200, "a b " * 100, prose(4, 12), prose(4, 12), prose(5, 13), prose(5, 13)]
     texts += [f"{prose(10 + i, 30)} {passage}\n{prose(40 + i, 9)}" for i in range(6)] + [prose(7, 50)] * 9 + [prose(8, 20_000), edited(prose(8, 20_000), 1, 0.05)]
     rows = list(enumerate(texts)) + [(3, passage)]
+    null = [(None, passage), (None, None)]
+    assert sorted(str(tuple(r)[:3]) for r in substring.digest(substring.dedup(spark, documents([*null, (1, passage)]), "doc_id", "text", 13, bits, groups)).collect()) == ["(1, 60, 0)", "(None, 0, 0)", "(None, 60, 0)"]
     out = substring.digest(substring.dedup(spark, documents(rows, ["h", "at"]), "doc_id", "text", 13, bits, groups))
     assert sorted(tuple(r) for r in out.collect()) == without_repeats(rows, 13)
     assert substring.dedup(spark, documents([]), "doc_id", "text").count() == 0
@@ -662,6 +664,13 @@ def test_long_repeats_of_few_lines_go(spark, documents, gram, window):
     assert all([x for x in (t or "").split("\n") if x.strip()] == want[k] for k, t in got.items())
 
 
+def test_lines_of_repeated_and_null_ids(spark, documents):
+    block = "\n".join(f"line {i}" for i in range(5))
+    rows = [(None, block), (None, block), (4, block), (4, block), (9, "own\n" + block), (9, "own\n" + block), (None, None)]
+    got = Counter((r["doc_id"], r["text"]) for r in lines.dedup(spark, documents(rows), "doc_id", "text").collect())
+    assert got == Counter({(None, block): 2, (None, None): 1, (4, block): 2, (9, "own"): 2})
+
+
 def test_winnowing_guarantee():
     r = np.random.default_rng(2)
     for _ in range(50):

@@ -8,8 +8,9 @@ windows share cells, which makes the sketch several times smaller. A second pass
 estimated to be in two documents, finds each one's first document exactly, and joins that back to
 every place of it. What the sketch overestimates is sorted out there; nothing is lost.
 
-The sketch's size follows the input up to `most_bits`; beyond that it lets more windows pass, and
-results stay the same. Of the largest groups of equal texts, at most `most_groups`, only the first
+The sketch's size follows the input. Up to 2**most_bits cells it is broadcast; a larger one stays
+distributed: one row whose cells are whole hashes, merged by a shuffle of each document's grams, and what it
+counts twice goes back to the documents that hold it by a join. Results are the same. Of the largest groups of equal texts, at most `most_groups`, only the first
 document takes part in the passes, as all windows of the others start in it too.
 
 Defined cases: a null text has no words; fewer words than a window lose none; rows that repeat with
@@ -31,8 +32,10 @@ from treeloom.llm.scratch import Scratch, release
 
 ROWS = 2  # of the sketch
 BLOCK_BITS = 16
-#: Cells a row has at most (as a power of two): what is broadcast has one bit a cell, 128 MB in all.
-MOST_BITS = 29
+#: Cells that a row of a broadcast sketch has at most (as a power of two): one bit a cell, 64 MB in all.
+MOST_BITS = 28
+#: Grams that a task counts before it passes them on.
+HELD_GRAMS = 1_000_000
 #: Groups of equal texts that are broadcast at most, the largest first: 24 bytes each.
 MOST_GROUPS = 100_000
 TEXT_CHARS_PER_GRAM = 20  # about as many characters of text as there are to one counted gram
@@ -95,7 +98,7 @@ def sketch(spark: SparkSession, docs: DataFrame, key: str, text: str, width: int
                 if len(h) >= width:
                     held.append(np.unique(wordhash.least(wordhash.runs(h, gram), span)))
                     n += len(held[-1])
-            if n > 4_000_000:
+            if n > HELD_GRAMS:
                 yield from flush()
                 held, n = [], 0
         if n:
@@ -139,32 +142,66 @@ def repeated(bits_set: np.ndarray, grams: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def distributed(docs: DataFrame, key: str, text: str, width: int, first, scratch: Scratch) -> DataFrame:
+    """_k2 and gs: each document's grams that are in another document too, by a sketch that no one holds as a whole."""
+    gram, span = gram_width(width), width - gram_width(width) + 1
+
+    def count(batches):
+        for b in batches:
+            out = []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if t and k is not None and not is_copy(first.value, k, t):
+                    h = wordhash.hashes(t.encode().split())
+                    if len(h) >= width:
+                        g = np.unique(wordhash.least(wordhash.runs(h, gram), span))
+                        out.append((g.view(np.int64), np.full(len(g), k, np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["g", "k"])
+
+    grams = scratch.save(docs.select(F.col(key).cast("long"), text).mapInArrow(count, "g long, k long"), "grams")
+    often = grams.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select(F.col("g").alias("og"))
+    mine = scratch.save(grams.join(often, F.col("g") == F.col("og"), "left_semi").groupBy(F.col("k").alias("_k2")).agg(F.collect_set("g").alias("gs")), "often")
+    scratch.drop(grams)
+    return mine
+
+
 def repeats(spark: SparkSession, docs: DataFrame, key: str, text: str, width: int, scratch: Scratch, first, most_bits: int = MOST_BITS) -> DataFrame:
     """_k, _x (hash of the text) and at: the starts of windows that also start in a smaller id."""
     chars = docs.agg(F.sum(F.char_length(text))).collect()[0][0] or 0
-    bits = min(most_bits, max(10, int(np.ceil(np.log2(max(1, 3 * chars / TEXT_CHARS_PER_GRAM))))))
-    sent = spark.sparkContext.broadcast(sketch(spark, docs, key, text, width, bits, first))
-    release(spark)
+    bits = max(10, int(np.ceil(np.log2(max(1, 3 * chars / TEXT_CHARS_PER_GRAM)))))
     gram, span = gram_width(width), width - gram_width(width) + 1
+    rows = docs.select(F.col(key).cast("long").alias("_k"), F.xxhash64(text).alias("_x"), F.col(text).alias("_t"))
+    small = bits <= most_bits
+    if small:
+        sent, often = spark.sparkContext.broadcast(sketch(spark, docs, key, text, width, bits, first)), None
+    else:
+        sent, often = None, distributed(docs, key, text, width, first, scratch)
+        rows = rows.join(often.hint("shuffle_hash"), F.col("_k") == F.col("_k2")).select("_k", "_x", "_t", "gs")
+    release(spark)
 
     def emit(batches):
         for b in batches:
             out = []
-            for k, x, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for i, (k, x, t) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)):
                 if not t or k is None or is_copy(first.value, k, t):
                     continue
                 h = wordhash.hashes(t.encode().split())
                 if len(h) < width:
                     continue
-                at = np.flatnonzero(repeated(sent.value, wordhash.least(wordhash.runs(h, gram), span), bits))
+                grams = wordhash.least(wordhash.runs(h, gram), span)
+                if small:
+                    at = np.flatnonzero(repeated(sent.value, grams, bits))
+                else:
+                    at = np.flatnonzero(np.isin(grams, b.column(3)[i].values.to_numpy().view(np.uint64)))
                 if len(at):
                     one, two = wordhash.runs(h, width)[at], wordhash.runs(h, width, wordhash.ODD2)[at]
                     out.append((one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(at), k), np.full(len(at), x), at.astype(np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["h", "c", "_k", "_x", "at"])
 
-    rows = docs.select(F.col(key).cast("long").alias("_k"), F.xxhash64(text).alias("_x"), text)
     windows = scratch.save(rows.mapInArrow(emit, "h long, c int, _k long, _x long, at int"), "windows")
+    if often is not None:
+        scratch.drop(often)
     firsts = scratch.save(windows.groupBy("h", "c").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).where("lo < hi").select(F.col("h").alias("_h"), F.col("c").alias("_c"), "lo"), "firsts")
     release(spark)
     later = windows.join(firsts, (F.col("h") == F.col("_h")) & (F.col("c") == F.col("_c"))).where("_k > lo")
