@@ -103,6 +103,9 @@ def test_engine_end_to_end(spark, tree, tmp_path):
     e = engine(spark, tmp_path)
     root, stats = e.ingest(tree, "main/one", "me")
     assert stats.stored > 10 and e.ingest(tree)[1].stored == 0
+    events: list = []
+    e.ingest(tree, progress=events.append)
+    assert [x["event"] for x in events] == ["scanned", "chunked", "stored"] and events[0]["files"] == events[1]["files"] == 5 and events[1]["bytes"] == 30_015
     assert e.ref_get("main/one").key == root and e.ref_list()[0].startswith(f"main/one {root.hex()}")
     lines = e.ls("ref:main/one", show_keys=True)
     assert [x.split()[6 if "  " in x[40:60] else 6] for x in lines] and len(lines) == 6
@@ -261,6 +264,34 @@ def test_archive_refuses(tmp_path):
         archive.write(io.BytesIO(), iter([("x", codec.Entry(b"a/b", 0o100644), None)]))
 
 
+def test_packs_are_written_by_the_tasks(spark, tmp_path):
+    from treeloom.sources import wirepack
+
+    objects = [codec.blob(bytes([i]) * (i + 1)) for i in range(40)]
+    df = spark.createDataFrame(objects, "key binary, payload binary").repartition(3)
+    folder = str(tmp_path / "packs")
+    assert wirepack.write_files(df, folder, most=400) > 3
+    assert wirepack.write_files(df, folder, most=400) == len(os.listdir(folder))  # the same again
+    back = wirepack.read(spark, folder)
+    assert sorted((bytes(r["key"]), bytes(r["payload"])) for r in back.collect()) == sorted(objects)
+
+
+def test_a_replayed_batch_is_taken_once(spark, tmp_path):
+    import shutil
+
+    from treeloom.streaming import inbox
+
+    folder, body = str(tmp_path / "in"), codec.write_pack([codec.encode_record(*codec.blob(b"x"))])
+    inbox.commit(*inbox.stage(folder, "r", codec.blob(b"x")[0], 1, body)[:2])
+    inbox.commit(*inbox.stage(folder, "r", codec.blob(b"x")[0], 1, body[:-1])[:2])
+    e = engine(spark, tmp_path)
+    for _ in range(2):  # the second time as after a loss of the checkpoint
+        inbox.wait(inbox.drain(spark, folder, str(tmp_path / "cp"), str(tmp_path / "bad"), e.put, str(tmp_path / "done")))
+        shutil.rmtree(tmp_path / "cp")
+    assert spark.read.parquet(str(tmp_path / "done")).count() == 2 and spark.read.parquet(str(tmp_path / "bad")).count() == 1
+    assert e.index().count() == 1
+
+
 def test_inbox(spark, tmp_path):
     from treeloom.streaming import inbox
 

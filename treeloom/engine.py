@@ -13,7 +13,7 @@ import stat
 import tarfile
 import threading
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -313,13 +313,15 @@ class Engine:
 
     # --- trees -----------------------------------------------------------------------------
 
-    def ingest(self, path: str, ref: str | None = None, user: str = "", use_ignore: bool = True) -> tuple[bytes, WriteStats]:
-        """Store a file or a tree; returns its root."""
+    def ingest(self, path: str, ref: str | None = None, user: str = "", use_ignore: bool = True, progress: Callable[[dict], None] | None = None) -> tuple[bytes, WriteStats]:
+        """Store a file or a tree; returns its root. progress gets an event of each pass."""
         if ref is not None:
             codec.check_name(ref, False)
         o = self.options
-        root, objects = build.distributed(self.spark, path, o.sizes, o.item_bits, o.inline_xattrs, use_ignore)
+        root, objects = build.distributed(self.spark, path, o.sizes, o.item_bits, o.inline_xattrs, use_ignore, progress)
         stats = self.put(objects)
+        if progress:
+            progress({"event": "stored", "stored": stats.stored, "deduped": stats.deduped, "bytes_stored": stats.bytes_stored})
         if ref is not None:
             self.ref_set(ref, root, user)
         return root, stats

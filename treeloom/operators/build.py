@@ -12,11 +12,12 @@ import stat
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.functions import codec
 from treeloom.operators import cdc
+from treeloom.scratch import Scratch
 
 ITEM_BITS, INLINE_XATTRS = 7, 256
 OBJECTS = "key binary, payload binary"
@@ -149,16 +150,27 @@ def _objects_of_files(files: DataFrame, root: str, sizes: cdc.Sizes, bits: int)
     return files.select("path").mapInArrow(read, f"path string, root binary, {OBJECTS}")
 
 
-def distributed(spark: SparkSession, root: str, sizes: cdc.Sizes, bits: int = ITEM_BITS, inline: int = INLINE_XATTRS, use_ignore: bool = True) -> tuple[bytes, DataFrame]:
-    """(root key, objects) of a tree: one pass over files, then one over each level of directories."""
+def distributed(spark: SparkSession, root: str, sizes: cdc.Sizes, bits: int = ITEM_BITS, inline: int = INLINE_XATTRS, use_ignore: bool = True, progress: Callable[[dict], None] | None = None) -> tuple[bytes, DataFrame]:
+    """(root key, objects) of a tree: one pass over files, then one over each level of directories.
+
+    What a pass has made is written, so a lost executor costs no second reading. progress gets an event
+    before and behind the pass over files: how many there are and have been chunked, and their bytes."""
     from treeloom.sources import filesystem as fs
 
     if not fs.admit(root):
         k, objects = sequential(root, sizes, bits, inline, use_ignore)
         return k, spark.createDataFrame(objects, OBJECTS)
-    rows = fs.tree(spark, root, use_ignore).withColumn("depth", F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))).persist()
+    rows = fs.tree(spark, root, use_ignore).withColumn("depth", F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/"))))
+    scratch = Scratch(spark, "build")
+    rows = scratch.save(rows, "rows")
     regular = F.col("mode").bitwiseAND(F.lit(0o170000)) == stat.S_IFREG
-    files = _objects_of_files(rows.where(regular), root, sizes, bits).persist()
+    if progress:
+        progress({"event": "scanned"} | fs.totals(rows).collect()[0].asDict())
+    seen = Observation()
+    todo = rows.where(regular).observe(seen, F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    files = scratch.save(_objects_of_files(todo, root, sizes, bits), "files")
+    if progress:
+        progress({"event": "chunked"} | seen.get)
     contents = files.select("path", F.col("root").alias("content")).distinct()
     objects = files.select("key", "payload")
     deepest = rows.agg(F.max("depth")).collect()[0][0]
@@ -189,7 +201,8 @@ def distributed(spark: SparkSession, root: str, sizes: cdc.Sizes, bits: int = IT
             continue
         inside = rows.where(F.col("depth") == depth + 1).join(contents, "path", "left").drop("path", "depth", "is_dir", "size")
         listed = dirs.join(inside, F.col("dir") == F.col("parent"), "left").drop("parent")
-        built = listed.groupBy("dir").applyInPandas(build, f"path string, root binary, {OBJECTS}").persist()
+        built = listed.groupBy("dir").applyInPandas(build, f"path string, root binary, {OBJECTS}")
+        built = scratch.save(built, "built")
         contents = contents.unionByName(built.select("path", F.col("root").alias("content")).distinct())
         objects = objects.unionByName(built.select("key", "payload"))
     top = contents.where(F.col("path") == "").select("content").collect()[0][0]

@@ -12,6 +12,8 @@ import stat
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeloom.scratch import Scratch
+
 from treeloom.sources.ignore import FILE_NAME, Matcher
 
 SCHEMA = "path string, parent string, name binary, is_dir boolean, mode long, uid long, gid long, mtime_ns long, size long, link_target binary, rdev struct<major:long,minor:long>, xattrs map<binary,binary>"
@@ -95,7 +97,7 @@ def admit(path: str) -> bool:
 def tree(spark: SparkSession, root: str, use_ignore: bool = True) -> DataFrame:
     """All paths below root and root itself (the empty path)."""
     is_dir = admit(root)
-    level = spark.createDataFrame([row(root, "", b"")], SCHEMA)
+    level, scratch = spark.createDataFrame([row(root, "", b"")], SCHEMA), Scratch(spark, "tree")
     found = level
     while is_dir:
         dirs = level.where("is_dir").select("path")
@@ -108,7 +110,7 @@ def tree(spark: SparkSession, root: str, use_ignore: bool = True) -> DataFrame:
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
         tasks = spark.sparkContext.defaultParallelism
-        level = dirs.repartition(tasks).mapInPandas(lambda it, f=read: f(it), SCHEMA).persist()
+        level = scratch.save(dirs.repartition(tasks).mapInPandas(lambda it, f=read: f(it), SCHEMA), "level")
         found = found.unionByName(level)
         is_dir = not level.where("is_dir").isEmpty()
     return found

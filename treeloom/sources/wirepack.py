@@ -66,9 +66,19 @@ def packed(objects: DataFrame, magic: bytes = codec.PACK_MAGIC, most: int | None
     return objects.select("key", "payload").mapInArrow(write, "content binary, objects long")
 
 
-def write_files(objects: DataFrame, folder: str, magic: bytes = codec.PACK_MAGIC) -> None:
-    """Packs as files of a folder that this process can write to."""
-    os.makedirs(folder, exist_ok=True)
-    for r in packed(objects, magic).toLocalIterator():
-        with open(os.path.join(folder, f"{uuid.uuid4().hex}.pack"), "wb") as f:
-            f.write(r["content"])
+def write_files(objects: DataFrame, folder: str, magic: bytes = codec.PACK_MAGIC, most: int | None = None) -> int:
+    """Packs as files of a folder that all executors mount, written where they are made; returns how many.
+
+    A file is named by its content and appears whole, so a task that runs twice writes the same file."""
+
+    def save(batches):
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                path = os.path.join(folder, f"{codec.blake3(content).hex()}.pack")
+                with open(f"{path}.{uuid.uuid4().hex}.tmp", "wb") as f:
+                    f.write(content)
+                os.replace(f.name, path)
+            yield pa.RecordBatch.from_arrays([b.column(1)], names=["objects"])
+
+    return packed(objects, magic, most).mapInArrow(save, "objects long").count()

@@ -74,9 +74,10 @@ def drain(spark: SparkSession, folder: str, checkpoint: str, quarantine: str, pu
     def batch(files: DataFrame, epoch: int) -> None:
         rows = opened(files).persist()
         put(rows.where("key is not null").select("key", "payload"))
-        rows.where("error is not null").select("path", "ref", "error").write.mode("append").parquet(quarantine)
+        # a batch that is replayed writes over what it has written before
+        rows.where("error is not null").select("path", "ref", "error").write.mode("overwrite").parquet(f"{quarantine}/epoch={epoch}")
         if done:
-            rows.select("path", F.hex("root").alias("root"), F.lit(epoch).alias("epoch"), F.col("error").isNull().alias("sound")).distinct().write.mode("append").parquet(done)
+            rows.select("path", F.hex("root").alias("root"), F.col("error").isNull().alias("sound")).distinct().write.mode("overwrite").parquet(f"{done}/epoch={epoch}")
         rows.unpersist()
 
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.pack").load(folder)
