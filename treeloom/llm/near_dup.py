@@ -242,7 +242,7 @@ def set_rows(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(read, "k long, set binary")
 
 
-def tiles(members: DataFrame) -> DataFrame:
+def tiles(members: DataFrame, scratch: Scratch) -> DataFrame:
     """members of buckets that hold several components, once for each tile that they are compared in.
 
     members: bucket, band, k, c (component) and first of the bucket. The members of a bucket's most frequent
@@ -252,6 +252,7 @@ def tiles(members: DataFrame) -> DataFrame:
     counts = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
     major = counts.groupBy("bucket").agg(F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("x"), F.sum("n").alias("m"))
     major = major.select(F.col("bucket").alias("at"), (-F.col("x.c")).alias("major"), F.col("x.n").alias("inside"), (F.col("m") - F.col("x.n")).alias("outside"))
+    major = scratch.save(major, "major")  # a table of its own, so that the join can split a hot bucket's members
     n_out, n_in = (F.ceil(F.col(x) / BLOCK).cast("int") for x in ("outside", "inside"))
     is_major = F.col("c") == F.col("major")
     mine = F.when(is_major, n_out + F.pmod(F.xxhash64("k", F.lit(3)), n_in).cast("int")).otherwise(F.pmod(F.xxhash64("k", F.lit(3)), n_out).cast("int"))
@@ -379,7 +380,7 @@ def link(spark: SparkSession, docs: DataFrame, key: str, text: str, words: int =
     apart_still = scratch.save(labelled.join(mixed, F.col("bucket") == F.col("at"), "left_semi").select("bucket", "band", "k", "first", "c"), "apart")
     scratch.drop(labelled, mixed, members, texts)
     release(spark)
-    doubtful = scratch.save(crossing(tiles(apart_still), signed, None, percent, miss), "doubtful")
+    doubtful = scratch.save(crossing(tiles(apart_still, scratch), signed, None, percent, miss), "doubtful")
     sets = scratch.save(set_rows(texts_of(spark, docs, key, text, doubtful.select("k").distinct()), words), "sets")
     rest = scratch.save(crossing(doubtful, signed, sets, percent, miss), "links")
     scratch.drop(sets, apart_still, doubtful)
