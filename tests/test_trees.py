@@ -71,6 +71,20 @@ def test_index_of_runs():
     assert all(len(codec.loads(d)) >= 2 for d in store.values())
 
 
+def test_directories_built_together_are_those_built_alone(spark):
+    from treeloom.scratch import Scratch
+
+    r = random.Random(4)
+    wanted = {"": 0, "one": 1, "few": 5, "many": 700, "more": 120}
+    entries = {d: sorted((codec.Entry(b"%d" % r.randrange(10**9), 0o100644, content=codec.blob(r.randbytes(9))[0]) for _ in range(n)), key=lambda e: e.name) for d, n in wanted.items()}
+    items = spark.createDataFrame([(d, e.name, e.encoded()) for d, es in entries.items() for e in es], "dir string, name binary, item binary").repartition(3)
+    dirs = spark.createDataFrame([(d,) for d in wanted], "dir string")
+    roots, objects = build.directories(spark, dirs, items, 2, Scratch(spark, "t"))
+    plain = {d: build.dir_objects(es, build.Runs(2)) for d, es in entries.items()}
+    assert {x["dir"]: bytes(x["key"]) for x in roots.collect()} == {d: k for d, (k, _) in plain.items()}
+    assert {(bytes(x["key"]), bytes(x["payload"])) for x in objects.collect()} == {o for _, made in plain.values() for o in made}
+
+
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "tree"

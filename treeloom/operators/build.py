@@ -2,8 +2,9 @@
 
 Runs: a run of items ends when it has MaxRun of them, or has MinRun and the low bits of the item's
 digest are zero. A level's runs become nodes of the next level until one is left; a single open item at
-the end of a level moves up as it is. Directories are built from the deepest level up, each by one
-task; files by the tasks that read them."""
+the end of a level moves up as it is. Directories are built from the deepest level up, all of a level at
+once: their entries are dealt into runs as one order, and a run, of a bounded size, is what a task holds.
+Files are built by the tasks that read them."""
 
 from __future__ import annotations
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from treeloom.functions import codec
 from treeloom.operators import cdc
+from treeloom.operators.runs import number
 from treeloom.scratch import Scratch
 
 ITEM_BITS, INLINE_XATTRS = 7, 256
@@ -150,6 +152,72 @@ def _objects_of_files(files: DataFrame, root: str, sizes: cdc.Sizes, bits: int)
     return files.select("path").mapInArrow(read, f"path string, root binary, {OBJECTS}")
 
 
+def _entries(inside: DataFrame, inline: int) -> DataFrame:
+    """dir, name and item (the encoded entry) of listed rows, and the object of attributes that don't fit inline."""
+
+    def read(batches):
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                r["xattrs"] = dict(r["xattrs"] or {})
+                e, extra = entry(r, r["content"], inline)
+                out.append((r["parent"], e.name, e.encoded(), *(extra[0] if extra else (None, None))))
+            kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["dir", "name", "item", "extra_key", "extra"])
+
+    return inside.mapInArrow(read, "dir string, name binary, item binary, extra_key binary, extra binary")
+
+
+def directories(spark: SparkSession, dirs: DataFrame, items: DataFrame, bits: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(dir and key of each directory, its objects); dirs: dir; items: dir, name and item (an encoded entry).
+
+    Level by level, all directories at once: items are dealt into runs, each run becomes an object, and these
+    are the items of the next level, until a directory has one."""
+    mask = (1 << bits) - 1
+    empty = codec.dir_leaf([])
+    lone = dirs.select("dir").join(items.select("dir").distinct(), "dir", "left_anti")
+    roots = scratch.save(lone.select("dir", F.lit(empty[0]).alias("key")), "roots")
+    objects = roots.limit(1).select("key", F.lit(empty[1]).alias("payload"))
+    level, leaf = items.select("dir", "name", "item", F.lit(None).cast("binary").alias("key")), True
+    while True:
+
+        def hit(batches, leaf=leaf):
+            for b in batches:
+                whole = b.column(2).to_pylist() if leaf else [codec.dumps([n, k]) for n, k in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)]
+                hits = [int.from_bytes(h[:8], "little") & mask == 0 for h in codec.blake3_many(whole)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, pa.bool_())], names=[*b.schema.names, "hit"])
+
+        def close(batches, leaf=leaf):
+            for b in batches:
+                out = []
+                for d, listed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if leaf:
+                        data = codec.head(4, len(listed)) + b"".join(x["item"] for x in listed)
+                        k = codec.make_key(codec.DIR_LEAF, len(data) + codec.below(data), data)
+                    elif len(listed) == 1:  # open at the level's end: it moves up as it is
+                        k, data = listed[0]["key"], None
+                    else:
+                        k, data = codec.dir_node([(x["name"], x["key"]) for x in listed])
+                    out.append((d, listed[-1]["name"], k, data))
+                kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary())
+                columns = list(zip(*out, strict=True)) if out else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["dir", "name", "key", "payload"])
+
+        found = level.select("dir", "name", "item", "key").mapInArrow(hit, "dir string, name binary, item binary, key binary, hit boolean")
+        numbered = number(found, "dir", "name", "hit", bits, ["item", "key"])
+        grouped = numbered.groupBy("dir", "run").agg(F.array_sort(F.collect_list(F.struct("name", "item", "key"))).alias("listed")).select("dir", "listed")
+        made = scratch.save(grouped.mapInArrow(close, "dir string, name binary, key binary, payload binary"), "level")
+        objects = objects.unionByName(made.where("payload is not null").select("key", "payload"))
+        left = made.groupBy("dir").agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("one"))
+        left = scratch.save(left, "left")
+        roots = roots.unionByName(left.where("n = 1").select("dir", F.col("one").alias("key")))
+        if left.where("n > 1").isEmpty():
+            return roots, objects
+        level = made.join(left.where("n > 1").select("dir"), "dir", "left_semi").select("dir", "name", F.lit(None).cast("binary").alias("item"), "key")
+        leaf = False
+
+
 def distributed(spark: SparkSession, root: str, sizes: cdc.Sizes, bits: int = ITEM_BITS, inline: int = INLINE_XATTRS, use_ignore: bool = True, progress: Callable[[dict], None] | None = None) -> tuple[bytes, DataFrame]:
     """(root key, objects) of a tree: one pass over files, then one over each level of directories.
 
@@ -175,35 +243,15 @@ def distributed(spark: SparkSession, root: str, sizes: cdc.Sizes, bits: int = IT
     objects = files.select("key", "payload")
     deepest = rows.agg(F.max("depth")).collect()[0][0]
 
-    def build(pdf):
-        import pandas as pd
-
-        runs, made, out = Runs(bits), [], []
-        for r in pdf.sort_values("name", key=lambda s: s.map(bytes)).to_dict("records") if pdf["name"].notna().any() else []:
-            if r["name"] is None:
-                continue
-            r["xattrs"] = dict(r["xattrs"]) if r["xattrs"] is not None else {}
-            r["name"] = bytes(r["name"])
-            r["link_target"] = None if r["link_target"] is None else bytes(r["link_target"])
-            for c in ("mode", "uid", "gid", "mtime_ns"):
-                r[c] = int(r[c])
-            e, extra = entry(r, None if r["content"] is None else bytes(r["content"]), inline)
-            out.extend(extra)
-            made.append(e)
-        k, objects = dir_objects(made, runs)
-        out.extend(objects)
-        path = pdf["dir"].iloc[0]
-        return pd.DataFrame({"path": [path] * len(out), "root": [k] * len(out), "key": [o[0] for o in out], "payload": [o[1] for o in out]})
-
     for depth in range(deepest, -1, -1):
         dirs = rows.where((F.col("depth") == depth) & F.col("is_dir")).select(F.col("path").alias("dir"))
         if dirs.isEmpty():
             continue
         inside = rows.where(F.col("depth") == depth + 1).join(contents, "path", "left").drop("path", "depth", "is_dir", "size")
-        listed = dirs.join(inside, F.col("dir") == F.col("parent"), "left").drop("parent")
-        built = listed.groupBy("dir").applyInPandas(build, f"path string, root binary, {OBJECTS}")
-        built = scratch.save(built, "built")
-        contents = contents.unionByName(built.select("path", F.col("root").alias("content")).distinct())
-        objects = objects.unionByName(built.select("key", "payload"))
+        made = scratch.save(_entries(inside, inline), "entries")
+        roots, nodes = directories(spark, dirs, made, bits, scratch)
+        contents = contents.unionByName(roots.select(F.col("dir").alias("path"), F.col("key").alias("content")))
+        extra = made.where("extra_key is not null").select(F.col("extra_key").alias("key"), F.col("extra").alias("payload"))
+        objects = objects.unionByName(nodes).unionByName(extra)
     top = contents.where(F.col("path") == "").select("content").collect()[0][0]
     return bytes(top), objects

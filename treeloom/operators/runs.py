@@ -69,11 +69,11 @@ def leaving(hits: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.nda
     return out[:, 0], out[:, 1]
 
 
-def number(items: DataFrame, sequence: str, order: str, hits: str, bits: int) -> DataFrame:
-    """sequence, order and run (from 0) of every item."""
+def number(items: DataFrame, sequence: str, order: str, hits: str, bits: int, carry: list[str] = []) -> DataFrame:  # noqa: B006  not changed
+    """sequence, order, run (from 0) and the carried columns of every item."""
     least, most = bounds(bits)
     spark = items.sparkSession
-    numbered = chains.parts(items.select(sequence, order, hits), [sequence, order], Scratch(spark, "runs"))
+    numbered = chains.parts(items.select(sequence, order, hits, *carry), [sequence, order], Scratch(spark, "runs"))
     kinds = {f.name: f.dataType.simpleString() for f in items.schema}
 
     def sequences(rows):
@@ -112,8 +112,8 @@ def number(items: DataFrame, sequence: str, order: str, hits: str, bits: int) ->
         for _, h, table in sequences(rows):
             closed = ends(h, least, most, held)
             runs = run + np.searchsorted(closed, np.arange(len(h)), "left")
-            for b in table.select([0, 1]).append_column("run", pa.array(runs, pa.int64())).to_batches():
-                yield pa.RecordBatch.from_arrays(b.columns, names=[sequence, order, "run"])
+            for b in table.select([0, 1, *range(3, 3 + len(carry))]).append_column("run", pa.array(runs, pa.int64())).to_batches():
+                yield pa.RecordBatch.from_arrays(b.columns, names=[sequence, order, *carry, "run"])
             run = held = 0
 
-    return chains.each_part(numbered, [sequence, order], fold, f"`{sequence}` {kinds[sequence]}, `{order}` {kinds[order]}, run long")
+    return chains.each_part(numbered, [sequence, order], fold, "".join(f"`{c}` {kinds[c]}, " for c in (sequence, order, *carry)) + "run long")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import stat
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeloom.functions import codec, display, keys, names
-from treeloom.operators import cdc, closure, dedup, figures, listing, refs, runs, segments
+from treeloom.operators import cdc, closure, dedup, figures, listing, refs, runs, segments, trees
 from treeloom.plans import store
-from treeloom.scratch import small_batches
-from treeloom.sources import filesystem, ignore, wirepack
+from treeloom.scratch import Scratch, small_batches
+from treeloom.sources import archive, filesystem, ignore, wirepack
 from treeloom.streaming import inbox
 
 NOW = "2024-01-01 00:00:00"
@@ -94,7 +96,12 @@ def has_outside_segment(spark, d):
 
 @query
 def dir_listing(spark, d):
-    return hexed(store.files(spark, d).select("source", "lang", "name", "size", "key").orderBy("source", "lang", "name"), "key")
+    """Entries of all directories, built into leaves and index nodes and read back from these in order."""
+    b = store.Built(spark, d)
+    root, objects = b.directories()
+    found = trees.walk(spark, objects, root).where(trees.is_kind(stat.S_IFREG))
+    part = lambda i: F.split(F.decode("path", "UTF-8"), "/")[i]
+    return hexed(found.select(part(0).alias("source"), part(1).alias("lang"), part(2).alias("name"), keys.length(F.col("content")).alias("size"), F.col("content").alias("key")).orderBy("source", "lang", "name"), "key")
 
 
 def _one_dir(spark, d):
@@ -216,19 +223,123 @@ def live_union_grey(spark, d):
 
 @query
 def export_manifest(spark, d):
-    f = store.files(spark, d)
-    mode = F.when(F.col("doc_id") % 2 == 0, 0o100644).otherwise(0o100600)
-    dirs = f.select(F.concat("source", F.lit("/")).alias("path")).unionByName(f.select(F.concat("source", F.lit("/"), "lang", F.lit("/")).alias("path"))).distinct().select("path", F.lit(0).cast("long").alias("size"), F.lit(0o755).alias("mode"), F.lit("dir").alias("kind"))
-    members = f.where(~names.unsafe_entry(F.col("name"))).select(F.concat_ws("/", "source", "lang", "name").alias("path"), keys.length(F.col("key")).alias("size"), mode.bitwiseAND(F.lit(0o7777)).alias("mode"), F.lit("file").alias("kind"))
-    return dirs.unionByName(members).orderBy("path")
+    """Members of a tar archive of the whole tree, as their headers tell."""
+    import pyarrow as pa
+
+    b = store.Built(spark, d)
+    root, objects = b.directories()
+
+    def read(batches):
+        for b in batches:
+            heads = [archive.header(r["path"].decode(), trees.entry_of(r)) for r in b.to_pylist()]
+            rows = [(h.name + ("/" if h.isdir() else ""), h.size, h.mode, "dir" if h.isdir() else "file") for h in heads]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["path", "size", "mode", "kind"])
+
+    found = trees.walk(spark, objects, root).where(~names.unsafe_entry(F.decode("name", "UTF-8")))
+    return found.select("path", *trees.NAMES).mapInArrow(read, "path string, size long, mode int, kind string").orderBy("path")
 
 
 @query
 def file_content_concat(spark, d):
-    whole = store.lines(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda s: s["line"]), "\n").alias("content"))
+    """Documents cut into chunks under index nodes, and their blobs read in order."""
+    roots, objects = store.Built(spark, d).contents()
+    blobs = trees.contents(spark, objects, roots.select(F.col("doc_id").cast("string").cast("binary").alias("at"), F.col("root").alias("key")))
+    each = trees.with_payload(blobs, objects).groupBy("at").agg(F.array_sort(F.collect_list(F.struct("ord", F.hex("payload").alias("x")))).alias("parts"))
+    whole = each.select(F.decode("at", "UTF-8").cast("long").alias("doc_id"), F.unhex(F.array_join(F.transform("parts", lambda s: s["x"]), "")).alias("content"))
     return whole.select("doc_id", F.sha2("content", 256).alias("sha"), F.octet_length("content").cast("long").alias("bytes"))
 
 
+@query
+def store_readback(spark, d):
+    """Documents put into a new store as records and read back: payloads decoded, and whether each frame is sound."""
+    import hashlib
+
+    import pyarrow as pa
+
+    from treeloom import engine
+
+    text = F.coalesce("text", F.lit(""))
+    objects = store.table(spark, d, "documents").select(keys.key(keys.BLOB, F.octet_length(text).cast("long"), keys.digest(text)).alias("key"), text.cast("binary").alias("payload"))
+    e = engine.Engine(spark, f"{Scratch(spark, 'readback').path}/store", engine.Options(segment_size=4 << 20))
+    e.put(objects)
+
+    def read(batches):
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                parsed = codec.parse_record(engine.frame(r))
+                rows.append((r["key"], r["ulen"], parsed.key == r["key"] and parsed.slen == r["slen"], hashlib.sha256(codec.payload(parsed)).hexdigest()))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.bool_(), pa.string()), strict=True)], names=["key", "ulen", "sound", "sha"])
+
+    return hexed(e.records().select("key", "ulen", "slen", "flags", "crc", "data").mapInArrow(read, "key binary, ulen long, sound boolean, sha string"), "key")
+
+
+@query
+def scrub_faults(spark, d):
+    """Records of blobs, of which every thirteenth has a wrong checksum: the scrub finds these and no other."""
+    import pyarrow as pa
+
+    from treeloom import engine
+
+    def name(batches):
+        for b in batches:
+            data = [f"{i} {t or ''}".encode() for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            made = [codec.blob(x, lambda _, h=h: h)[0] for x, h in zip(data, codec.blake3_many(data), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "key", "payload"])
+
+    small_batches(spark)
+    objects = Scratch(spark, "scrub").save(store.table(spark, d, "documents").select("doc_id", "text").mapInArrow(name, "doc_id long, key binary, payload binary"), "objects")
+    harmed = objects.select("key", (F.col("doc_id") % 13 == 0).alias("harm"), "doc_id")
+    records = engine.encoded(objects).join(harmed, "key")
+    records = records.withColumn("crc", F.when(F.col("harm"), (F.col("crc") + 1) % (1 << 32)).otherwise(F.col("crc")))
+    return engine.broken(records).join(harmed, "key").select("doc_id", "why")
+
+
+@query
+def reference_roundtrip(spark, d):
+    """References of the log in their canonical encoding, decoded again, and what a signature covers."""
+    import pyarrow as pa
+
+    log = store.ref_log(spark, d).select("seq", "name", "user", "key")
+
+    def read(batches):
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                made = codec.Reference(r["name"], r["key"], r["user"], r["seq"], b"signature" if r["seq"] % 2 else b"", b"public")
+                again = codec.Reference.decoded(made.encoded())
+                rows.append((again.created_at_ns, again.name, again.user, again.key.hex(), again == made, (made.signed_bytes() == made.encoded()) == (r["seq"] % 2 == 0)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["seq", "name", "user", "key", "same", "unsigned"])
+
+    return log.mapInArrow(read, "seq long, name string, user string, key string, same boolean, unsigned boolean")
+
+
+@query
+def staged_header_roundtrip(spark, d):
+    """Headers of staged packs and attribute sets, encoded and decoded again."""
+    import pyarrow as pa
+
+    turns = store.table(spark, d, "conversations").select("conv_id", "turn", "role")
+
+    def read(batches):
+        for b in batches:
+            rows = []
+            for conv, turn, role in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                head = codec.meta_header(f"conv/{conv}", bytes(32), turn)
+                ref, root, at, body = codec.read_meta_header(head + b"body")
+                attributes = {b"user.role": (role or "").encode(), b"user.turn": str(turn).encode()}
+                rows.append((conv, turn, ref, int(at), body == len(head) and root == bytes(32), codec.decode_xattrs(codec.encode_xattrs(attributes))[b"user.role"].decode()))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["conv_id", "turn", "ref", "at", "same", "role"])
+
+    return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role").mapInArrow(read, "conv_id long, turn long, ref string, at long, same boolean, role string")
+
+
 @query
 def refs_latest_wins(spark, d):
     return hexed(refs.current(store.ref_log(spark, d), ["ts", "seq"]).select("name", "seq", "user", "key"), "key")

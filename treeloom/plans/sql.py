@@ -126,7 +126,11 @@ SQL = {
     "unreferenced_objects": f"WITH RECURSIVE {TREE}, {REACH} SELECT DISTINCT child AS key FROM edges WHERE child NOT IN (SELECT key FROM reach)",
     "live_union_grey": f"WITH {FILES} SELECT DISTINCT key FROM files WHERE doc_id % 2 = 0 OR doc_id % 9 = 1",
     "export_manifest": f"WITH {FILES} SELECT DISTINCT source || '/' AS path, CAST(0 AS BIGINT) AS size, {0o755} AS mode, 'dir' AS kind FROM files UNION ALL SELECT DISTINCT source || '/' || lang || '/', 0, {0o755}, 'dir' FROM files UNION ALL SELECT source || '/' || lang || '/' || name, size, CASE WHEN doc_id % 2 = 0 THEN {0o644} ELSE {0o600} END, 'file' FROM files",
-    "file_content_concat": "SELECT doc_id, sha256(text) AS sha, CAST(strlen(text) AS BIGINT) AS bytes FROM documents",
+    "file_content_concat": "SELECT doc_id, sha256(coalesce(text, '')) AS sha, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes FROM documents",
+    "store_readback": f"WITH t AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents) SELECT {key(0, 'strlen(t)', 't')} AS key, CAST(strlen(t) AS BIGINT) AS ulen, true AS sound, sha256(t) AS sha FROM t",
+    "scrub_faults": "SELECT doc_id, 'record checksum' AS why FROM documents WHERE doc_id % 13 = 0",
+    "reference_roundtrip": f'WITH {CURRENT} SELECT seq, name, "user", key, true AS same, true AS unsigned FROM log',
+    "staged_header_roundtrip": "SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, 'conv/' || CAST(conv_id AS VARCHAR) AS ref, CAST(turn AS BIGINT) AS at, true AS same, coalesce(role, '') AS role FROM conversations",
     "refs_latest_wins": f'WITH {CURRENT} SELECT name, seq, "user", key FROM standing',
     "refs_list_lines": f"WITH {CURRENT} SELECT name, name || ' ' || key || ' ' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || CASE WHEN \"user\" <> '' THEN ' ' || \"user\" ELSE '' END AS line FROM standing",
     "ref_name_validation": f"WITH x AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN c_name || '@x' WHEN 2 THEN c_name || chr(7) WHEN 3 THEN repeat(c_name, 100) WHEN 4 THEN 'a//' || c_name ELSE c_name END AS n FROM customer) SELECT c_custkey, {verdict(False)} AS as_name, {verdict(True)} AS as_user FROM x",

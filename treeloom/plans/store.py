@@ -5,11 +5,12 @@ lines, a stand-in for content-defined ones. Directories stand as one leaf each."
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.functions import keys
-from treeloom.operators import segments
+from treeloom.functions import codec, keys
+from treeloom.operators import build, cdc, segments
 from treeloom.scratch import Scratch
 
 THRESHOLD = 64 << 10
@@ -102,3 +103,55 @@ def ref_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys held by the references: documents of an even id."""
     return files(spark, sf_dir).where(F.col("doc_id") % 2 == 0).select("key").distinct()
+
+
+class Built:
+    """The same tree as the engine stores it: files chunked, directories in leaves and index nodes, keys by BLAKE3."""
+
+    BITS, SIZES = 3, cdc.Sizes(256, 1024, 4096)
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.scratch = spark, Scratch(spark, "built")
+        self.documents = table(spark, sf_dir, "documents")
+
+    def contents(self) -> tuple[DataFrame, DataFrame]:
+        """(doc_id and root of each document's text, all objects of them)."""
+
+        bits, sizes = self.BITS, self.SIZES
+
+        def read(batches):
+            of = build.Runs(bits)
+            for b in batches:
+                for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    k, objects = build.file_objects((t or "").encode(), sizes, of)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(objects), pa.int64()), pa.array([k] * len(objects), pa.binary()), *(pa.array(c, pa.binary()) for c in zip(*objects, strict=True))], names=["doc_id", "root", "key", "payload"])
+
+        made = self.scratch.save(self.documents.select("doc_id", "text").mapInArrow(read, "doc_id long, root binary, key binary, payload binary"), "files")
+        return made.select("doc_id", "root").distinct(), made.select("key", "payload").dropDuplicates(["key"])
+
+    def directories(self) -> tuple[bytes, DataFrame]:
+        """(root, objects) of the directories over documents as single blobs; even ids are readable by all, others by their owner."""
+        mode = F.when(F.col("doc_id") % 2 == 0, 0o100644).otherwise(0o100600).cast("long")
+        text = F.coalesce("text", F.lit(""))
+        entries = self.documents.select(F.concat_ws("/", "source", "lang").alias("dir"), F.col("doc_id").cast("string").cast("binary").alias("name"), mode.alias("mode"), keys.key(keys.BLOB, F.octet_length(text).cast("long"), keys.digest(text)).alias("content"))
+        objects = None
+        while True:
+            items = encoded_entries(entries)
+            roots, made = build.directories(self.spark, entries.select("dir").distinct(), items, self.BITS, self.scratch)
+            roots = self.scratch.save(roots, "roots")
+            objects = made if objects is None else objects.unionByName(made)
+            if (top := roots.where("dir = ''").head()) is not None:
+                return bytes(top["key"]), objects.dropDuplicates(["key"])
+            up = F.regexp_replace("dir", "/?[^/]*$", "")
+            entries = roots.select(up.alias("dir"), F.regexp_extract("dir", "[^/]*$", 0).cast("binary").alias("name"), F.lit(0o040755).cast("long").alias("mode"), F.col("key").alias("content"))
+
+
+def encoded_entries(entries: DataFrame) -> DataFrame:
+    """dir, name and item; entries: dir, name, mode, content."""
+
+    def read(batches):
+        for b in batches:
+            items = [codec.Entry(n, m, content=c).encoded() for n, m, c in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(items, pa.binary())], names=["dir", "name", "item"])
+
+    return entries.select("dir", "name", "mode", "content").mapInArrow(read, "dir string, name binary, item binary")
