@@ -175,6 +175,37 @@ def test_grey_keys_survive(spark, tmp_path):
         e.put(spark.createDataFrame([(objects[0][0], b"other")], "key binary, payload binary"), verify=True)
 
 
+def test_attributes_and_large_attribute_sets_come_back(spark, tmp_path):
+    root = tmp_path / "marked"
+    root.mkdir()
+    (root / "a").write_text("a")
+    (root / "b").write_text("b")
+    try:
+        os.setxattr(root / "a", "user.small", b"1")
+        os.setxattr(root / "b", "user.large", b"2" * 600)
+    except OSError:
+        pytest.skip("no extended attributes here")
+    e = engine(spark, tmp_path)
+    k, _ = e.ingest(str(root), "m")
+    found = {x.name: x for x in e.collect_entries(k)}
+    assert codec.decode_xattrs(found[b"a"].xattrs) == {b"user.small": b"1"} and found[b"b"].xattrs is None and e.has(found[b"b"].xattrs_key)
+    e.restore("ref:m", str(tmp_path / "again"))
+    assert os.getxattr(tmp_path / "again" / "a", "user.small") == b"1" and os.getxattr(tmp_path / "again" / "b", "user.large") == b"2" * 600
+
+
+def test_space_and_segments(spark, tmp_path):
+    e = engine(spark, tmp_path)
+    e.put(spark.createDataFrame([codec.blob(b"x"), codec.blob(b"y")], "key binary, payload binary"))
+    e.options.min_free = 1
+    assert not e.low_space()
+    e.options.min_free = 1 << 62
+    assert e.low_space()
+    with pytest.raises(NotFound):
+        e.remove_segment(77)
+    e.remove_segment(e.index().head()["segment_id"])
+    assert e.index().isEmpty()
+
+
 def test_records_as_stored(spark, tmp_path):
     e = engine(spark, tmp_path)
     objects = [codec.blob(b"word " * 900), codec.blob(random.Random(1).randbytes(700)), codec.blob(b"")]
@@ -326,3 +357,11 @@ def test_inbox(spark, tmp_path):
     done = spark.read.parquet(str(tmp_path / "done"))
     assert done.count() == 2
     assert inbox.pending(done.select("path", "root"), done).isEmpty()
+    other, digest, _ = inbox.stage(folder, "r", objects[1][0], 3, codec.write_pack([codec.encode_record(*codec.blob(b"more"))]))
+    inbox.commit(other, digest)
+    q = inbox.drain(*args)
+    name = f"file:{folder}/{digest.hex()}.pack"
+    staged = lambda: spark.createDataFrame([(name, objects[1][0].hex().upper())], "path string, root string")
+    inbox.wait_for(q, objects[1][0].hex().upper(), staged, lambda: spark.read.parquet(str(tmp_path / "done")))
+    inbox.wait(q)
+    assert inbox.pending(staged(), spark.read.parquet(str(tmp_path / "done"))).isEmpty() and e.has(codec.blob(b"more")[0])

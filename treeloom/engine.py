@@ -56,6 +56,8 @@ class Options:
     sizes: cdc.Sizes = cdc.Sizes(32 << 10, 128 << 10, 256 << 10)
     item_bits: int = build.ITEM_BITS
     inline_xattrs: int = build.INLINE_XATTRS
+    #: Free bytes below which a cycle takes the stricter line; 0 asks for a twentieth of the file system.
+    min_free: int = 0
 
 
 def chunk_sizes(least: int | None, normal: int | None, most: int | None) -> cdc.Sizes | None:
@@ -573,16 +575,18 @@ class Engine:
         found = closure.why(self.spark, self.edges(), self.refs().select("name", "key"), self.spark.createDataFrame([(key,)], "key binary"))
         return [r["name"] for r in found.collect()]
 
-    def gc_run(self, garbage: float = -1, grace_ns: int = 0, grey: DataFrame | None = None, low_space: bool = False) -> dict:
+    def gc_run(self, garbage: float = -1, grace_ns: int = 0, grey: DataFrame | None = None, low_space: bool | None = None) -> dict:
         """Rewrite segments whose dead part reaches the line; new segments are written before old ones go.
 
+        The policy's line (garbage below 0) is stricter where space is low, which is looked up unless it is told.
+
         Keys that writes meet meanwhile are kept, and so are those of `grey`. A cycle that another one overlaps is refused."""
         if self.capturing():
             raise RuntimeError("another cycle runs, or one was cut off: end_barrier() ends it")
         started, error, stats = time.time_ns(), None, {}
         self.begin_barrier()
         try:
-            stats = self._cycle(garbage, grace_ns, grey, low_space)
+            stats = self._cycle(garbage, grace_ns, grey, self.low_space() if low_space is None else low_space)
         except Exception as e:
             error = str(e)[:1000]
             raise
@@ -610,5 +614,17 @@ class Engine:
         moved = wanted if moved is None else moved
         stats = segments.compact_stats(index, table.where(F.col("sealed_at") < horizon), chosen, moved).collect()[0].asDict() | {"marked": live.count()}
         for r in chosen.toLocalIterator():
-            scratch.remove(self.spark, f"{self.path}/objects/segment_id={r['segment_id']}")
+            self.remove_segment(r["segment_id"])
         return stats
+
+    def remove_segment(self, segment: int) -> None:
+        """Drop a sealed segment with all its records; readers that have listed it before fail and read again."""
+        path = f"{self.path}/objects/segment_id={int(segment)}"
+        if not scratch.exists(self.spark, path):
+            raise NotFound(str(segment))
+        scratch.remove(self.spark, path)
+
+    def low_space(self) -> bool:
+        """Whether the store's file system has less free than it should."""
+        free, whole = scratch.space(self.spark, self.path)
+        return free < (self.options.min_free or whole // 20)

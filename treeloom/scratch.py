@@ -79,3 +79,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def space(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Free bytes and all bytes of a path's file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getStatus()
+    return status.getRemaining(), status.getCapacity()

@@ -92,3 +92,9 @@ def pending(staged: DataFrame, done: DataFrame) -> DataFrame:
 def wait(query) -> None:
     """Until all that was there is drained."""
     query.awaitTermination()
+
+
+def wait_for(query, root: str, staged: Callable[[], DataFrame], done: Callable[[], DataFrame], every: float = 0.2) -> None:
+    """Until no staged pack of a root is pending, or the query has ended; staged and done give their tables as they stand."""
+    while query.isActive and not pending(staged().where(F.col("root") == root), done()).isEmpty():
+        query.awaitTermination(every)
