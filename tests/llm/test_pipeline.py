@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tests.llm.test_operators import edited, prose
+from tests.llm.test_operators import edited, linked, prose, without_long_runs
 from treeloom.llm import queries
 from treeloom.llm.sql import SQL
 
@@ -57,6 +57,37 @@ def test_packing_stage(spark, documents):
         assert [x for y in d.drop_duplicates("start").ids for x in y] == ids
 
 
+def test_each_stage_against_brute_force_on_what_the_one_before_kept(spark, tmp_path):
+    docs = queries.table(spark, SMALL, "documents")
+    saved = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r["doc_id"]: r["text"] for r in docs.collect()}
+        stage(spark, docs, SMALL).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        saved[name] = before, {r["doc_id"]: r["text"] for r in docs.collect()}
+        assert docs.count() == len(saved[name][1])
+    before, after = saved["quality_classifier"]
+    assert all(before[k] == t for k, t in after.items())
+    before, after = saved["line_dedup"]
+    want, had = without_long_runs(list(before.items()), 3, 13)
+    assert set(after) == {k for k in want if want[k] or not had[k]}
+    assert all([x.strip() for x in (t or "").split("\n") if x.strip()] == want[k] for k, t in after.items())
+    before, after = saved["minhash_near_dedup"]
+    ids = sorted(before)
+    of = linked([before[k] for k in ids], 5)
+    assert after == {k: before[k] for i, k in enumerate(ids) if of[i][1] == i}
+    before, after = saved["benchmark_decontamination"]
+    plain = lambda t: " ".join((t or "").lower().split())
+    items = [plain(r["text"]) for r in queries.table(spark, SMALL, "benchmark").collect() if plain(r["text"])]
+    grams = {x[i : i + 10] for x in items for i in range(len(x) - 9)}
+    for k, t in before.items():
+        if any(x in plain(t) for x in items):
+            assert k not in after
+        if k not in after:  # by the lemma a part that is contained shares many grams
+            assert sum(plain(t)[i : i + 10] in grams for i in range(len(plain(t)))) >= 20
+    assert all(before[k] == t for k, t in after.items())
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SMALL).toPandas()
     assert len(out) and out.sequence_id.is_unique
