@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from tests.llm.test_operators import edited, linked, prose, without_long_runs
+from tests.llm.test_operators import linked, prose, without_long_runs
 from treeloom.llm import queries
 from treeloom.llm.sql import SQL
 

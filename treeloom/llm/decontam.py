@@ -272,14 +272,14 @@ def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str, text
 
     What a block of items leaves is written before the next block reads it, so that a task holds one block's table."""
     small_batches(spark)
-    out, scratch, where = docs, None, docs.columns.index(text)
+    out, before, scratch, where = docs, None, None, docs.columns.index(text)
     for i, block in enumerate(blocks(items, item_key, item_text)):
         if i:
             scratch = scratch or Scratch(spark, "clean")
-            last, out = (out_saved if i > 1 else None), scratch.save(out, "left")
-            if last is not None:
-                scratch.drop(last)
-            out_saved = out
+            out = scratch.save(out, "left")
+            if before is not None:
+                scratch.drop(before)
+            before = out
         sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def read(batches, sent=sent, name=name):

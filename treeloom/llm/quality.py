@@ -319,8 +319,8 @@ def taught(spark: SparkSession, pool: DataFrame, model: CoTrained) -> dict:
                 for view in (0, 1):
                     for c, sure in ((0, p[1 - view] <= 1 - CONFIDENT), (1, p[1 - view] >= CONFIDENT)):
                         if n := int(sure.sum()):
-                            model = views[view].model
-                            g, h = model.sums(model.design(views[view].see(rows.take(sure))), np.full(n, float(c)))
+                            learner = views[view].model
+                            g, h = learner.sums(learner.design(views[view].see(rows.take(sure))), np.full(n, float(c)))
                             n0, all0 = sums.get((view, c), (0, 0.0))
                             sums[view, c] = n0 + n, all0 + np.concatenate([g[None, :], h]).astype(np.float64)
         for (view, c), (n, total) in sums.items():
