@@ -11,7 +11,6 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from treeloom.scratch import Scratch
 

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.functions import codec
-from treeloom.sources import wirepack
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
