@@ -96,6 +96,11 @@ def has_outside_segment(spark, d):
 
 @query
 def dir_listing(spark, d):
+    return hexed(store.files(spark, d).select("source", "lang", "name", "size", "key").orderBy("source", "lang", "name"), "key")
+
+
+@query
+def built_dir_listing(spark, d):
     """Entries of all directories, built into leaves and index nodes and read back from these in order."""
     b = store.Built(spark, d)
     root, objects = b.directories()

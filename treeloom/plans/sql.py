@@ -111,6 +111,7 @@ SQL = {
     "has_semi": f"WITH {FILES} SELECT doc_id FROM files WHERE key IN (SELECT f.key FROM files f JOIN labels USING (doc_id))",
     "has_outside_segment": f"WITH RECURSIVE {INDEX} SELECT doc_id FROM files WHERE key IN (SELECT key FROM idx WHERE segment_id <> 0)",
     "dir_listing": f"WITH {FILES} SELECT source, lang, name, size, key FROM files",
+    "built_dir_listing": f"WITH {FILES} SELECT source, lang, name, size, key FROM files",
     "dir_page_after": f"WITH {FILES} SELECT name, size FROM files WHERE source = 'src0' AND lang = 'en' AND name > '3' ORDER BY name LIMIT 10",
     "dir_page_more_flag": f"WITH {FILES}, d AS (SELECT name FROM files WHERE source = 'src0' AND lang = 'en') SELECT name, (SELECT count(*) FROM d) > 5 AS more FROM d ORDER BY name LIMIT 5",
     "lookup_entry": f"WITH {FILES} SELECT name, size, key FROM files JOIN labels USING (doc_id) WHERE source = 'src1' AND lang = 'en'",
