@@ -71,6 +71,18 @@ def test_index_of_runs():
     assert all(len(codec.loads(d)) >= 2 for d in store.values())
 
 
+def test_files_built_together_are_those_built_alone(monkeypatch):
+    r, calls, many = random.Random(5), [], codec.blake3_many
+    texts = [b"", b"x", *(r.randbytes(n) for n in (300, 5000, 5000, 90_000)), b"same" * 9000, b"same" * 9000] + [r.randbytes(2000) for _ in range(200)]
+    want = [build.file_objects(x, SIZES, build.Runs(2)) for x in texts]
+    monkeypatch.setattr(codec, "blake3_many", lambda x: calls.append(len(x)) or many(x))
+    assert build.files_objects(texts, SIZES, 2) == want
+    assert len(calls) < 40 and build.files_objects([], SIZES, 2) == []  # calls grow with the levels, not with files
+    sizes = [len(x) for x in texts]
+    cut = list(codec.together(texts, most=20_000))
+    assert [x for some in cut for x in some] == texts and all(len(some) == 1 or sum(map(len, some)) <= 20_000 for some in cut) and max(sizes) > 20_000
+
+
 def test_directories_built_together_are_those_built_alone(spark):
     from treeloom.scratch import Scratch
 

@@ -77,6 +77,29 @@ def file_objects(data: bytes, sizes: cdc.Sizes, runs: Runs) -> tuple[bytes, list
     return root, out
 
 
+def files_objects(contents: list[bytes], sizes: cdc.Sizes, bits: int) -> list[tuple[bytes, list[tuple[bytes, bytes]]]]:
+    """file_objects() of each content by BLAKE3; what stands on the same level of all files is hashed together."""
+    runs = Runs(bits)
+    parts = [cdc.chunks(x, sizes) or [b""] for x in contents]
+    made = iter(codec.make_keys([(codec.BLOB, len(c), c) for p in parts for c in p]))
+    out = [[(next(made), c) for c in p] for p in parts]
+    levels = [[k for k, _ in o] for o in out]
+    while todo := [i for i, level in enumerate(levels) if len(level) > 1]:
+        keys = list(dict.fromkeys(k for i in todo for k in levels[i]))
+        runs.digest = dict(zip(keys, codec.blake3_many(keys), strict=True)).__getitem__
+        cut = []
+        for i in todo:
+            closed, rest = runs.split(levels[i], lambda k: k)
+            cut.append((closed + ([rest] if len(rest) > 1 else []), rest if len(rest) == 1 else []))
+        nodes = [(codec.FILE_NODE, sum(map(codec.key_length, run)), codec.dumps(run)) for closed, _ in cut for run in closed]
+        made = iter(zip(codec.make_keys(nodes), (data for *_, data in nodes), strict=True))
+        for i, (closed, rest) in zip(todo, cut, strict=True):
+            up = [next(made) for _ in closed]
+            out[i] += up
+            levels[i] = [k for k, _ in up] + rest
+    return [(level[0], o) for level, o in zip(levels, out, strict=True)]
+
+
 def dir_objects(entries: Iterable[codec.Entry], runs: Runs) -> tuple[bytes, list[tuple[bytes, bytes]]]:
     """(key, objects) of a directory, whose entries are in order of their names."""
     closed, rest = runs.split(list(entries), lambda e: e.encoded())
@@ -142,12 +165,14 @@ def _objects_of_files(files: DataFrame, root: str, sizes: cdc.Sizes, bits: int)
     """path, root (of the file) and every object of it."""
 
     def read(batches):
-        runs = Runs(bits)
+        def content(path):
+            with open(os.path.join(root, path) if path else root, "rb") as f:
+                return path, f.read()
+
         for b in batches:
-            for path in b.column(0).to_pylist():
-                with open(os.path.join(root, path) if path else root, "rb") as f:
-                    k, objects = file_objects(f.read(), sizes, runs)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(objects), pa.string()), pa.array([k] * len(objects), pa.binary()), pa.array([o[0] for o in objects], pa.binary()), pa.array([o[1] for o in objects], pa.binary())], names=["path", "root", "key", "payload"])
+            for some in codec.together(map(content, b.column(0).to_pylist()), lambda x: len(x[1])):
+                rows = [(path, k, *o) for (path, _), (k, objects) in zip(some, files_objects([x for _, x in some], sizes, bits), strict=True) for o in objects]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), *[pa.binary()] * 3), strict=True)], names=["path", "root", "key", "payload"])
 
     return files.select("path").mapInArrow(read, f"path string, root binary, {OBJECTS}")
 

@@ -91,14 +91,15 @@ def contents(spark: SparkSession, objects: DataFrame, files: DataFrame) -> DataF
     """at, ord and key of the blobs of files, whose order is that of ord; files: at, key (of a blob or a node)."""
     scratch = Scratch(spark, "contents")
     level, found = scratch.save(files.select("at", F.lit(b"").alias("ord"), "key"), "files"), None
+    is_blob = keys.type_of(F.col("key")) == keys.BLOB
+    nodes = objects.where(~is_blob)  # payloads of blobs aren't read on the way
     while True:
-        is_blob = keys.type_of(F.col("key")) == keys.BLOB
         blobs = level.where(is_blob)
         found = blobs if found is None else found.unionByName(blobs)
         inner = level.where(~is_blob)
         if inner.isEmpty():
             return found
-        rows = scratch.save(_opened(inner, objects, False).select("at", "ord", "key", "kind"), "nodes")
+        rows = scratch.save(_opened(inner, nodes, False).select("at", "ord", "key", "kind"), "nodes")
         _whole(rows)
         level = rows.select("at", "ord", "key")
 

@@ -120,11 +120,11 @@ class Built:
         bits, sizes = self.BITS, self.SIZES
 
         def read(batches):
-            of = build.Runs(bits)
             for b in batches:
-                for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    k, objects = build.file_objects((t or "").encode(), sizes, of)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(objects), pa.int64()), pa.array([k] * len(objects), pa.binary()), *(pa.array(c, pa.binary()) for c in zip(*objects, strict=True))], names=["doc_id", "root", "key", "payload"])
+                texts = ((doc, (t or "").encode()) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+                for some in codec.together(texts, lambda x: len(x[1])):
+                    rows = [(doc, k, *o) for (doc, _), (k, objects) in zip(some, build.files_objects([t for _, t in some], sizes, bits), strict=True) for o in objects]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["doc_id", "root", "key", "payload"])
 
         made = self.scratch.save(self.documents.select("doc_id", "text").mapInArrow(read, "doc_id long, root binary, key binary, payload binary"), "files")
         return made.select("doc_id", "root").distinct(), made.select("key", "payload").dropDuplicates(["key"])
