@@ -50,5 +50,28 @@ def test_records_and_packs_hold_whole_documents(spark, tmp_path, monkeypatch):
         assert sorted((r["ulen"], r["sha"], r["error"]) for r in got) == sorted((len(x), hashlib.sha256(x).hexdigest(), None) for x in raw)
 
 
+#: Keys of large tables: their products lie on both sides of a long's greatest value.
+LARGE = [(9_000_000, 1_200_000, 7), (9_000_000, 100_000, 1), (3_000_000_000, 1, 1), (2**40, 2**30, 7), (1, 1, 1), (31, 1, 1), (32, 1, 1), (181, 32, 1), (-5, 3, 1), (3, -5, 1), (9_000_000, -1_200_000, 7)]
+
+
+def sizes_of_large_keys(spark, folder, name):
+    spark.createDataFrame([(o, p, i, n) for i, (o, p, n) in enumerate(LARGE)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").repartition(2).write.parquet(f"{folder}/lineitem.parquet")
+    got = QUERIES[name](spark, str(folder)).collect()
+    shown = {o * o * p * n: None for o, p, n in LARGE}
+    assert sorted((r["l_orderkey"], r["l_linenumber"]) for r in got) == sorted((o, n) for o, _, n in LARGE)
+    return sorted(r["shown"] for r in got), list(shown)
+
+
+def test_human_bytes_beyond_a_long(spark, tmp_path):
+    def show(n):
+        if n < 1024:
+            return f"{n} B"
+        power = next((p for p in range(1, 6) if n / 1024**p < 1023.95), 6)
+        return f"{n / 1024**power:.1f} {'KMGTPE'[power - 1]}iB"
+
+    got, sizes = sizes_of_large_keys(spark, tmp_path, "human_bytes")
+    assert max(sizes) > 2**100 and min(sizes) < -(2**63) and got == sorted(map(show, sizes))
+
+
 def test_slow_queries_are_registered():
     assert set(SQL) >= SLOW

@@ -40,10 +40,15 @@ def scaled(n: Column, digits: int, promote: float) -> Column:
     return out.otherwise(F.concat(n.cast("long").cast("string"), F.lit(" B")))
 
 
+def whole(n: Column) -> Column:
+    """A whole number's digits, also of a decimal beyond a long."""
+    return F.coalesce(n.try_cast("long").cast("string"), n.cast("string"))
+
+
 def human_bytes(n: Column) -> Column:
     """One decimal; a size that would round to 1024 of a unit is one of the next. Bytes need no rounding."""
     value = n.cast("double")
-    out = F.when(value < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
+    out = F.when(value < 1024, F.concat(whole(n), F.lit(" B")))
     for power in range(1, len(UNITS)):
         unit = value / 1024.0**power
         last = power == len(UNITS) - 1

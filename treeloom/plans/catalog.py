@@ -469,7 +469,9 @@ def mode_string(spark, d):
 
 
 def _sizes(spark, d):
-    n = (F.col("l_orderkey") * F.col("l_orderkey") * F.col("l_partkey") * F.col("l_linenumber")).cast("long")
+    """Sizes as exact whole numbers: the product of large tables' keys exceeds a long."""
+    exact = lambda c: F.col(c).cast("decimal(38,0)")
+    n = exact("l_orderkey") * exact("l_orderkey") * exact("l_partkey") * exact("l_linenumber")
     return store.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", n.alias("n"))
 
 
