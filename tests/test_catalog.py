@@ -73,5 +73,14 @@ def test_human_bytes_beyond_a_long(spark, tmp_path):
     assert max(sizes) > 2**100 and min(sizes) < -(2**63) and got == sorted(map(show, sizes))
 
 
+def test_human_bytes2_beyond_a_long(spark, tmp_path):
+    def show(n):
+        power = next((p for p in range(6, 0, -1) if n >= 1024**p), 0)
+        return f"{n / 1024**power:.2f} {'KMGTPE'[power - 1]}iB" if power else f"{n} B"
+
+    got, sizes = sizes_of_large_keys(spark, tmp_path, "human_bytes2")
+    assert got == sorted(map(show, sizes))
+
+
 def test_slow_queries_are_registered():
     assert set(SQL) >= SLOW

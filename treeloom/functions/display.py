@@ -29,6 +29,11 @@ def mode_string(mode: Column) -> Column:
     return F.concat(kind, *triple(6, 0o4000, "s"), *triple(3, 0o2000, "s"), *triple(0, 0o1000, "t"))
 
 
+def whole(n: Column) -> Column:
+    """A whole number's digits, also of a decimal beyond a long."""
+    return F.coalesce(n.try_cast("long").cast("string"), n.cast("string"))
+
+
 def scaled(n: Column, digits: int, promote: float) -> Column:
     """n in the largest unit in which it is at least one; promote: from where the next unit is taken."""
     value = n.cast("double")
@@ -37,12 +42,7 @@ def scaled(n: Column, digits: int, promote: float) -> Column:
         below = promote * 1024.0 ** (power - 1)
         shown = F.format_string(f"%.{digits}f {UNITS[power]}", F.bround(value / 1024.0**power, digits))
         out = F.when(value >= below, shown) if out is None else out.when(value >= below, shown)
-    return out.otherwise(F.concat(n.cast("long").cast("string"), F.lit(" B")))
-
-
-def whole(n: Column) -> Column:
-    """A whole number's digits, also of a decimal beyond a long."""
-    return F.coalesce(n.try_cast("long").cast("string"), n.cast("string"))
+    return out.otherwise(F.concat(whole(n), F.lit(" B")))
 
 
 def human_bytes(n: Column) -> Column:
