@@ -184,3 +184,29 @@ def test_chunks_follow_the_algorithm_byte_by_byte():
                 want.append(data[at:end])
                 at = end
             assert cdc.chunks(data, sizes) == want
+
+
+def test_packs_opened_together_are_those_opened_alone(monkeypatch):
+    from treeloom.streaming import inbox
+
+    blobs = [codec.blob(f"text {i} ".encode() * (i + 1)) for i in range(40)]
+    frames = codec.encode_records(blobs)
+    head = codec.meta_header("r", blobs[0][0], 1)
+    wrong = codec.encode_record(blobs[0][0], blobs[0][1][:-1] + b"?")
+    long = codec.encode_record(codec.make_key(codec.BLOB, 3, b"abcd"), b"abcd")
+    shut = bytearray(codec.encode_record(codec.make_key(codec.BLOB, 900, b"a" * 900), b"a" * 900))
+    shut[46:50] = b"????"
+    shut[42:46] = codec.crc32c(bytes(shut[:42]) + bytes(4) + bytes(shut[46:])).to_bytes(4, "big")
+    harmed = bytearray(frames[3])
+    harmed[-1] ^= 1
+    bodies = [[], frames, [frames[0], wrong, frames[1]], [long], [bytes(shut)], [wrong, bytes(shut)], [bytes(shut), wrong], [frames[1], bytes(harmed)], frames[:1]]
+    files = [(f"p{i}", head + codec.write_pack(x)) for i, x in enumerate(bodies)]
+    files += [("cut", files[1][1][:-1]), ("magic", head + b"?" + files[1][1][len(head) + 1 :]), ("header", b"\0\0"), ("again", files[1][1])]
+    alone = [row for x in files for row in inbox.opened_rows([x])]
+    errors = {path: error for path, *_, error in alone}
+    assert [errors[f"p{i}"] for i in range(9)] == [None, None, "object hash", "object length", "zstd", "object hash", "zstd", "record checksum", None]
+    assert errors["cut"] == "truncated before the end marker" and errors["magic"] == "magic" and errors["header"] == "truncated header"
+    assert [(r[3], bytes(r[4])) for r in alone if r[0] == "again"] == blobs and [r[3:] for r in alone if r[0] == "p0"] == [(None, None, None)]
+    calls, many = [], codec.blake3_many
+    monkeypatch.setattr(codec, "blake3_many", lambda x: calls.append(len(x)) or many(x))
+    assert inbox.opened_rows(files) == alone and len(calls) == 1

@@ -659,12 +659,17 @@ def inbox_stream(spark, d):
 
     def stage(batches):
         for b in batches:
-            rows = []
-            for conv, listed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                blobs = [codec.blob((t["text"] or "").encode()) for t in listed]
-                body = codec.write_pack([codec.encode_record(k, x) for k, x in blobs])
-                rows.append((f"conv/{conv}", codec.meta_header(f"conv/{conv}", blobs[0][0], conv) + (body[:-1] if conv % 10 == 3 else body)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary()), strict=True)], names=["path", "content"])
+            texts = ((conv, [(t["text"] or "").encode() for t in listed]) for conv, listed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            for some in codec.together(texts, lambda x: sum(map(len, x[1])), inbox.TOGETHER):
+                flat = [x for _, listed in some for x in listed]
+                made = codec.make_keys([(codec.BLOB, len(x), x) for x in flat])
+                records = iter(zip(made, codec.encode_records(list(zip(made, flat, strict=True))), strict=True))
+                rows = []
+                for conv, listed in some:
+                    framed = [next(records) for _ in listed]
+                    body = codec.write_pack([r for _, r in framed])
+                    rows.append((f"conv/{conv}", codec.meta_header(f"conv/{conv}", framed[0][0], conv) + (body[:-1] if conv % 10 == 3 else body)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary()), strict=True)], names=["path", "content"])
 
     opened = inbox.opened(turns.mapInArrow(stage, "path string, content binary"))
     return opened.groupBy("path").agg(F.count("key").alias("objects"), F.max("error").alias("error"))

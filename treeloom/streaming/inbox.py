@@ -43,25 +43,50 @@ def commit(path: str, digest: bytes) -> bool:
     return True
 
 
+#: Bytes of packs that are opened together at most; a larger pack stands alone.
+TOGETHER = 1 << 20
+
+
+def opened_rows(files: list[tuple[str, bytes]], magic: bytes = codec.PACK_MAGIC) -> list[tuple]:
+    """What opened() gives of some files, whose records and objects are checked together."""
+    found = []  # path, ref, root, and the pack's body, then its records, or an error
+    for path, data in files:
+        try:
+            ref, root, _, at = codec.read_meta_header(data)
+            found.append([path, ref, root, data[at:]])
+        except codec.Malformed as e:
+            found.append([path, None, None, e])
+    sound = [x for x in found if not isinstance(x[3], codec.Malformed)]
+    for x, records in zip(sound, codec.read_packs([x[3] for x in sound], magic), strict=True):
+        x[3] = records
+    objects, errors = [], {}
+    for i, x in enumerate(found):
+        try:
+            if isinstance(x[3], codec.Malformed):
+                raise x[3]
+            for r in x[3]:
+                objects.append((i, r.key, codec.payload(r)))
+        except codec.Malformed as e:
+            errors[i] = str(e)
+    bad = {}
+    for (i, _, _), why in zip(objects, codec.verify_many([o[1:] for o in objects]), strict=True):
+        if why:
+            bad.setdefault(i, f"object {why}")
+    errors |= bad  # a wrong object comes before the first payload that can't be decoded
+    held = [[] for _ in found]
+    for i, *o in objects:
+        held[i].append(o)
+    return [(*x[:3], *o, errors.get(i)) for i, x in enumerate(found) for o in (i not in errors and held[i] or [(None, None)])]
+
+
 def opened(files: DataFrame, magic: bytes = codec.PACK_MAGIC) -> DataFrame:
     """path, ref, root, key, payload and error: objects of packs, or one row with the error of a bad one."""
 
     def read(batches):
         names, kinds = ["path", "ref", "root", "key", "payload", "error"], (pa.string(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.string())
         for b in batches:
-            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ref = root = None
-                try:
-                    ref, root, _, at = codec.read_meta_header(data)
-                    rows = []
-                    for r in codec.read_pack(data[at:], magic):
-                        payload = codec.payload(r)
-                        if why := codec.verify_object(r.key, payload):
-                            raise codec.Malformed(f"object {why}")
-                        rows.append((path, ref, root, r.key, payload, None))
-                    rows = rows or [(path, ref, root, None, None, None)]
-                except codec.Malformed as e:
-                    rows = [(path, ref, root, None, None, str(e))]
+            for some in codec.together(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), lambda x: len(x[1]), TOGETHER):
+                rows = opened_rows(some, magic)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return files.select("path", "content").mapInArrow(read, "path string, ref string, root binary, key binary, payload binary, error string")
