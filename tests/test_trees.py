@@ -71,6 +71,31 @@ def test_index_of_runs():
     assert all(len(codec.loads(d)) >= 2 for d in store.values())
 
 
+def test_packs_come_in_batches_of_bounded_bytes(spark):
+    import pyarrow as pa
+
+    from treeloom.sources import wirepack
+
+    names = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"]
+    before = {n: spark.conf.get(n) for n in names}
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    try:
+        spark.conf.set(names[0], "64m")
+        packs = spark.range(24, numPartitions=1).selectExpr("cast(id as string) path", "cast(repeat('x', 1000000) as binary) content")
+        assert wirepack.parse(packs).select("error").distinct().collect() == [("magic",)]
+        assert max(r["n"] for r in packs.mapInArrow(sizes, "n long").collect()) <= 9
+        spark.conf.set(names[0], "1m")  # a smaller setting stays
+        wirepack.parse(packs)
+        assert spark.conf.get(names[0]) == "1m"
+    finally:
+        for n, x in before.items():
+            spark.conf.set(n, x)
+
+
 def test_files_built_together_are_those_built_alone(monkeypatch):
     r, calls, many = random.Random(5), [], codec.blake3_many
     texts = [b"", b"x", *(r.randbytes(n) for n in (300, 5000, 5000, 90_000)), b"same" * 9000, b"same" * 9000] + [r.randbytes(2000) for _ in range(200)]

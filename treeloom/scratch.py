@@ -28,15 +28,17 @@ def root(spark: SparkSession) -> str:
     return f"file://{LOCAL_FALLBACK}"
 
 
-#: Rows of an Arrow batch at most: texts are long, and a batch is held on both sides of the pipe.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most: texts and packs are long, and a batch is held on both sides of the pipe.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have this session cut Arrow batches small enough for rows that hold whole texts; smaller settings stay."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Have this session cut Arrow batches small enough for rows that hold whole texts or packs; smaller settings stay."""
+    number = {"maxRecordsPerBatch": int, "maxBytesPerBatch": spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes}
+    for setting, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{setting}"
+        if not 0 < number[setting](spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))
 
 
 class Scratch:

@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from treeloom.functions import codec
+from treeloom.scratch import small_batches
+
+#: Bytes of objects that are framed, or given as a batch, together at most.
+TOGETHER = 1 << 20
 
 SCHEMA = "path string, pos int, key binary, flags int, ulen long, slen long, record binary, payload binary, error string"
 
@@ -23,16 +27,16 @@ def rows_of(path: str, data: bytes, magic: bytes = codec.PACK_MAGIC, decode: boo
 
 
 def parse(packs: DataFrame, magic: bytes = codec.PACK_MAGIC, decode: bool = True) -> DataFrame:
-    """Records of packs; packs: path and content. A pack is read whole by one task."""
+    """Records of packs; packs: path and content. A pack is read whole by one task, few of them in a batch."""
+    small_batches(packs.sparkSession)
 
     def read(batches):
         kinds = (pa.string(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string())
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = rows_of(path, data, magic, decode)
-                columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+                for rows in codec.together(rows_of(path, data, magic, decode), lambda r: len(r[6] or b"") + len(r[7] or b""), TOGETHER):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return packs.select("path", "content").mapInArrow(read, SCHEMA)
 
@@ -54,13 +58,13 @@ def packed(objects: DataFrame, magic: bytes = codec.PACK_MAGIC, most: int | None
             return pa.RecordBatch.from_arrays([pa.array([codec.write_pack(records, magic)], pa.binary()), pa.array([len(records)], pa.int64())], names=["content", "objects"])
 
         for b in batches:
-            for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                r = codec.encode_record(k, d)
-                if most is not None and records and held + len(r) > most:
-                    yield pack()
-                    records, held = [], 0
-                records.append(r)
-                held += len(r)
+            for some in codec.together(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), lambda x: len(x[1]), TOGETHER):
+                for r in codec.encode_records(some):
+                    if most is not None and records and held + len(r) > most:
+                        yield pack()
+                        records, held = [], 0
+                    records.append(r)
+                    held += len(r)
         yield pack()
 
     return objects.select("key", "payload").mapInArrow(write, "content binary, objects long")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.functions import codec
+from treeloom.scratch import small_batches
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -81,6 +82,7 @@ def opened_rows(files: list[tuple[str, bytes]], magic: bytes = codec.PACK_MAGIC)
 
 def opened(files: DataFrame, magic: bytes = codec.PACK_MAGIC) -> DataFrame:
     """path, ref, root, key, payload and error: objects of packs, or one row with the error of a bad one."""
+    small_batches(files.sparkSession)
 
     def read(batches):
         names, kinds = ["path", "ref", "root", "key", "payload", "error"], (pa.string(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.string())
