@@ -71,6 +71,18 @@ def test_index_of_runs():
     assert all(len(codec.loads(d)) >= 2 for d in store.values())
 
 
+def test_runs_closed_together_are_those_closed_alone(monkeypatch):
+    keys = [codec.blob(str(i).encode())[0] for i in range(200)]
+    items = [codec.Entry(str(i).encode(), 0o100644, content=k) for i, k in enumerate(keys)]
+    rows = [{"name": e.name, "item": e.encoded(), "key": k} for e, k in zip(items, keys, strict=True)]
+    cuts = [slice(i, i + n) for i, n in ((0, 1), (1, 9), (10, 30), *((40 + 2 * j, 2) for j in range(80)))]
+    leaves, nodes = [codec.dir_leaf(items[c]) for c in cuts], [codec.dir_node([(r["name"], r["key"]) for r in rows[c]]) for c in cuts]
+    calls, many = [], codec.blake3_many
+    monkeypatch.setattr(codec, "blake3_many", lambda x: calls.append(len(x)) or many(x))
+    assert build._closed([rows[c] for c in cuts], True) == leaves and build._closed([rows[c] for c in cuts], False) == nodes
+    assert calls == [len(cuts)] * 2 and build._closed([], True) == []
+
+
 def test_packs_come_in_batches_of_bounded_bytes(spark):
     import pyarrow as pa
 

@@ -194,6 +194,19 @@ def _entries(inside: DataFrame, inline: int) -> DataFrame:
     return inside.mapInArrow(read, "dir string, name binary, item binary, extra_key binary, extra binary")
 
 
+def _closed(runs: list[list[dict]], leaf: bool) -> list[tuple[bytes, bytes]]:
+    """(key, payload) of the leaf or index node over each run, hashed together."""
+    parts = []
+    for r in runs:
+        if leaf:
+            data = codec.head(4, len(r)) + b"".join(x["item"] for x in r)
+            parts.append((codec.DIR_LEAF, len(data) + codec.below(data), data))
+        else:
+            data = codec.dumps([[x["name"], x["key"]] for x in r])
+            parts.append((codec.DIR_NODE, len(data) + sum(codec.key_length(x["key"]) for x in r), data))
+    return list(zip(codec.make_keys(parts), (data for *_, data in parts), strict=True))
+
+
 def directories(spark: SparkSession, dirs: DataFrame, items: DataFrame, bits: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(dir and key of each directory, its objects); dirs: dir; items: dir, name and item (an encoded entry).
 
@@ -215,16 +228,10 @@ def directories(spark: SparkSession, dirs: DataFrame, items: DataFrame, bits: in
 
         def close(batches, leaf=leaf):
             for b in batches:
-                out = []
-                for d, listed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    if leaf:
-                        data = codec.head(4, len(listed)) + b"".join(x["item"] for x in listed)
-                        k = codec.make_key(codec.DIR_LEAF, len(data) + codec.below(data), data)
-                    elif len(listed) == 1:  # open at the level's end: it moves up as it is
-                        k, data = listed[0]["key"], None
-                    else:
-                        k, data = codec.dir_node([(x["name"], x["key"]) for x in listed])
-                    out.append((d, listed[-1]["name"], k, data))
+                dirs, runs = b.column(0).to_pylist(), b.column(1).to_pylist()
+                made = iter(_closed([r for r in runs if leaf or len(r) > 1], leaf))
+                # an item that is alone at the level's end is open: it moves up as it is
+                out = [(d, r[-1]["name"], *(next(made) if leaf or len(r) > 1 else (r[0]["key"], None))) for d, r in zip(dirs, runs, strict=True)]
                 kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary())
                 columns = list(zip(*out, strict=True)) if out else [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["dir", "name", "key", "payload"])
