@@ -210,3 +210,11 @@ def test_packs_opened_together_are_those_opened_alone(monkeypatch):
     calls, many = [], codec.blake3_many
     monkeypatch.setattr(codec, "blake3_many", lambda x: calls.append(len(x)) or many(x))
     assert inbox.opened_rows(files) == alone and len(calls) == 1
+
+
+def test_leaves_made_together_are_those_made_alone(monkeypatch):
+    many = [[codec.Entry(f"{i}-{j}".encode(), 0o100644, content=codec.blob(b"x" * j)[0]) for j in range(i % 9)] for i in range(60)]
+    want = [codec.dir_leaf(es) for es in many]
+    calls, hashed = [], codec.blake3_many
+    monkeypatch.setattr(codec, "blake3_many", lambda x: calls.append(len(x)) or hashed(x))
+    assert codec.dir_leaves(many) == want and calls == [60] and codec.dir_leaves([]) == []

@@ -632,18 +632,19 @@ def cbor_dirleaf_roundtrip(spark, d):
     """Leaves of eight documents each, encoded and decoded again: what a leaf's key says is below it, and its entries' names."""
     import pyarrow as pa
 
+    small_batches(spark)
     f = store.files(spark, d).select((F.col("doc_id") / 8).cast("long").alias("leaf"), F.struct("name", "key").alias("e"))
     leaves = f.groupBy("leaf").agg(F.array_sort(F.collect_list("e")).alias("entries"))
 
     def read(batches):
         for b in batches:
             rows = []
-            for leaf, listed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                made = [codec.Entry(e["name"].encode(), 0o100644, content=e["key"]) for e in listed]
-                k, data = codec.dir_leaf(made)
+            made = [[codec.Entry(e["name"].encode(), 0o100644, content=e["key"]) for e in listed] for listed in b.column(1).to_pylist()]
+            encoded = codec.dir_leaves(made)
+            for leaf, es, (k, data), why in zip(b.column(0).to_pylist(), made, encoded, codec.verify_many(encoded), strict=True):
                 again = codec.entries(data)
                 below = codec.key_length(k) - len(data)
-                rows.append((leaf, below, again == made and codec.verify_object(k, data) is None, ",".join(f"{e.name.decode()}={e.content.hex()}" for e in again)))
+                rows.append((leaf, below, again == es and why is None, ",".join(f"{e.name.decode()}={e.content.hex()}" for e in again)))
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["leaf", "below", "same", "entries"])
 
