@@ -428,6 +428,57 @@ def test_word_memo_starts_anew(monkeypatch):
     assert [w.ids([t])[0].tolist() for t in texts] == want
 
 
+def test_each_unit_is_encoded_once(monkeypatch):
+    """Case, and whatever punctuation follows, make no new unit; nor do later texts."""
+    encoded = []
+
+    class Watched(pack.WordIds):
+        def encode(self, texts):
+            encoded.extend(w for t in texts for w in t.split())
+            return super().encode(texts)
+
+    w = Watched(queries.tokenizer_path())
+    texts = ["One TWO, été%%% one.%%% it's (two)", "Two... one### &&& ÉTÉ été", "", "one two &&& été,"]
+    want = [w.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [x.tolist() for x in w.ids(texts)] == want
+        assert [x.tolist() for x in w.ids(texts[::-1])] == want[::-1]
+    assert sorted(u for u in encoded) == sorted(["one", "two", "été", "ÉtÉ", "%%%", ".%%%", ",", "...", "###", "&&&", "it's", "(two)"])
+
+
+def test_punctuation_behind_letters_is_tokenized_as_the_tokenizer_does():
+    w = pack.WordIds(queries.tokenizer_path())
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    texts = [f"ab{x}{y} Éx{x}{y}{x} a{x}s{y} <|endoftext|>{x} ab<|endoftext|{y}" for x in marks for y in marks]
+    assert [x.tolist() for x in w.ids(texts)] == [e.ids for e in w.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_batches_are_packed_together_up_to_a_size(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(pack, "GROUP_BYTES", 100)
+    sizes = [10, 20, 0, 300, 30, 30, 60]
+    batches = [pa.RecordBatch.from_pydict({"k": pa.array([i] * min(n, 1), pa.int64()), "t": pa.array([None if n == 20 else "x" * n] * min(n, 1), pa.string())}) for i, n in enumerate(sizes)]
+    made = [(k.to_pylist(), [len(x) for x in t.to_pylist()]) for k, t in pack.together(iter(batches))]
+    assert made == [([0, 1], [10, 0]), ([3], [300]), ([4, 5], [30, 30]), ([6], [60])]
+    assert list(pack.together(iter([]))) == []
+
+
+def test_packing_of_many_ids(spark, documents):
+    """More ids than one output batch holds, in one batch of texts and in one text."""
+    texts = ["a b " * 80_000 + "z " * i for i in range(12)] + ["c " * 1_100_000, "d"]
+    docs = documents(texts).coalesce(1)
+    out = pack.pack(docs, "doc_id", "text", queries.tokenizer_path(), 2).toPandas()
+    w = pack.WordIds(queries.tokenizer_path())
+    for i, t in enumerate(texts):
+        d = out[out.doc_id == i].sort_values("start")
+        want = [*w.tokenizer.encode(t, add_special_tokens=False).ids, 2]
+        assert list(d.start) == [0, *np.cumsum(d.length)[:-1]] and d.length.tolist() == pack.lengths(len(want), 4096)
+        assert np.concatenate(d.ids.tolist()).tolist() == want and set(d.doc_tokens) == {len(want)}
+        assert d.ids_crc32.tolist() == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in d.ids]
+    assert out.sequence_id.is_unique
+
+
 # --- 6 quality ----------------------------------------------------------------------------------
 
 
